@@ -6,12 +6,13 @@ would, with windows as wide as twice the threshold, hold the whole corpus each.
 space is therefore first cut, without loss, where the metric is informative:
 
 1. ``profile``: each document's shingle set gets a 128-bit signature; equal sets are one
-   point from here on.  The same pass counts shingles that are frequent (a bounded
-   list, see ``frequent_share``).
-2. ``cells``: two sets within the threshold share at least one of the rarest
-   ``n - ceil(t n) + 1`` shingles of each under any common order (frequent ones last).
-   A cell is the points that share such a shingle, its pivot its smallest point, and a
-   region is the union of the cells of one pivot.  Every link lies within a region.
+   point from here on.
+2. ``points_and_cells``: two sets within the threshold share at least one of the first
+   ``n - ceil(t n) + 1`` shingles of each under any common order.  The order is rarest
+   first, by exact counts of points (sorted runs of 48-bit keys, counted in shards), so
+   that hot phrases come last and shingles of one point need not be sent at all.  A cell
+   is the points that share such a shingle, its pivot its smallest point, and a region is
+   the union of the cells of one pivot.  Every link lies within a region.
 3. ``regions``: a region is split by further pivots into Voronoi regions; points within
    twice the threshold of a border are copied to both sides; of the ball that a pivot
    links, only points stay that the triangle inequality lets link a point outside; each
@@ -28,16 +29,16 @@ share a component; with fewer words than a shingle the whole sequence is one shi
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keyed, written
+from .common import buckets_for, keyed, written
 from .hashing import Buffer, mix, shingle_sets
 
 BLOCK = 1 << 21
@@ -61,49 +62,18 @@ def _signatures(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def profile(docs: DataFrame, frequent_share: float = 0.0005, width: int = 5) -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, n_shingles, sig_a, sig_b), and the frequent shingles.
-
-    A shingle is frequent if at least ``frequent_share`` of the documents have it, judged
-    from counts of those with a share of half as much within some block of documents.
-    The list orders shingles only, so it changes cost and never results; it has at
-    most (mean set size / frequent_share) entries and is what reaches the driver.
-    """
-    share = frequent_share
+def profile(docs: DataFrame, width: int = 5) -> DataFrame:
+    """doc_id, n_shingles, sig_a, sig_b of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig_a", pa.int64()), ("sig_b", pa.int64()), ("shingle", pa.int64()), ("hits", pa.int64())])
-        held: list[np.ndarray] = []
-        held_docs = 0
-
-        def counted() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= max(2, share / 2 * held_docs)
-            h, c = h[often].view(np.int64), c[often]
-            none = pa.nulls(len(h), pa.int64())
-            return pa.record_batch([none, none, none, none, pa.array(h), pa.array(c)], schema)
-
         for batch in batches:
             buf = Buffer.of(batch.column(1))
             for lo, hi in buf.blocks(BLOCK):
                 h, off = shingle_sets(buf.part(lo, hi), width)
                 a, b = _signatures(h, off)
-                none = pa.nulls(hi - lo, pa.int64())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(a), pa.array(b), none, none], schema)
-                held.append(h)
-                held_docs += hi - lo
-                if sum(map(len, held)) > 3_000_000:
-                    yield counted()
-                    held, held_docs = [], 0
-        if held:
-            yield counted()
-
-    rows = written(keyed(docs, "doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long, shingle long, hits long"))
-    per_doc = rows.filter(F.col("shingle").isNull()).select("doc_id", "n_shingles", "sig_a", "sig_b")
-    n = per_doc.count()
-    often = rows.filter(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("hits").alias("hits")).filter(F.col("hits") >= max(3, math.ceil(share * n)))
-    frequent = np.sort(np.array([r[0] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
-    return per_doc, frequent
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "sig_a", "sig_b"])
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long")
 
 
 def _is_in(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
@@ -114,58 +84,117 @@ def _is_in(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == h
 
 
-def cells(docs: DataFrame, frequent: np.ndarray, n_buckets: int, num: int, den: int, width: int = 5) -> DataFrame:
-    """Distinct (pivot, point) signatures of all regions; a pivot has a row with itself."""
-    bits = max(1, (n_buckets - 1).bit_length())
-    known = docs.sparkSession.sparkContext.broadcast(frequent)
+KEY_SHIFT = np.uint64(16)  # 48 bits of a shingle's hash are its key in counts
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = known.value
-        held: list[tuple[np.ndarray, ...]] = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            h, a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((b, a, h))
-            h, a, b = h[order], a[order], b[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            h, a, b = h[new], a[new], b[new]
-            key = (h >> np.uint64(64 - bits)).astype(np.int64)
-            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
-            blobs = [np.concatenate([h[i:j], a[i:j].view(np.uint64), b[i:j].view(np.uint64)]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.record_batch([pa.array(key[cut[:-1]]), pa.array(blobs, pa.binary())], ["bucket", "rows"])
+def _run_blob(keys: np.ndarray, extra: np.ndarray) -> bytes:
+    """Sorted keys as differences, bytes of equal weight together, then ``extra`` (2 bytes each)."""
+    step = np.diff(keys, prepend=np.uint64(0))
+    planes = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :6].T)
+    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + planes.tobytes() + extra.astype("<u2").tobytes())
 
-        for batch in batches:
-            buf = Buffer.of(batch.column(0))
-            for lo, hi in buf.blocks(BLOCK):
-                h, off = shingle_sets(buf.part(lo, hi), width)
-                if not len(h):
-                    continue
-                a, b = _signatures(h, off)
-                size = np.diff(off)
-                owner = np.repeat(np.arange(hi - lo), size)
-                rare = ~_is_in(h, often)
-                # place of each shingle in its document's order: rare ones by hash, then frequent ones by hash
-                n_rare = np.add.reduceat(np.r_[rare, False].astype(np.int64), off[:-1]) * (size > 0)
-                before = np.cumsum(rare) - rare
-                seen = before - before[np.minimum(off[:-1], len(h) - 1)][owner]
-                place = np.where(rare, seen, n_rare[owner] + (np.arange(len(h)) - off[:-1][owner]) - seen)
-                take = place < _least_common(size, num, den)[owner]
-                held.append((h[take], a[owner[take]], b[owner[take]]))
-                if sum(len(x[0]) for x in held) > 1_500_000:
-                    yield from flush()
-                    held = []
-        if held:
-            yield from flush()
+
+def _run_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(raw[:8], "little")
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :6] = np.frombuffer(raw, np.uint8, 6 * n, 8).reshape(6, n).T
+    return np.cumsum(step.view(np.uint64).ravel()), np.frombuffer(raw, "<u2", n, 8 + 6 * n)
+
+
+def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, width: int = 5, bucket_bytes: int = 3 << 20) -> tuple[DataFrame, DataFrame]:
+    """Regions as (pivot_a, pivot_b, sig_a, sig_b), a pivot with a row of its own, and
+    (sig_a, sig_b, shingles) of every point in one.
+
+    ``classes``: sig_a, sig_b, rep of every point, rep being a doc_id with that set.
+    """
+    n_buckets = buckets_for(docs, bucket_bytes)
+    bits = max(3, (n_buckets - 1).bit_length())
+
+    def bucket(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(n_buckets)).cast("long")
+
+    by_bucket = docs.filter("doc_id is not null").withColumn("bucket", bucket("doc_id")).groupBy("bucket")
+    note = "bucket long, rep long, sig_a long, sig_b long, rows binary"
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("rep", "long"), ("sig_a", "long"), ("sig_b", "long"))]
+    reps = classes.select(bucket("rep").alias("bucket"), "rep", "sig_a", "sig_b", F.lit(None).cast("binary").alias("rows"))
+
+    def members(d: pa.Table, notes: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Shingles, offsets and signatures of the points whose text is in this bucket."""
+        notes = notes.filter(notes["rep"].is_valid())
+        want = set(zip(notes["sig_a"].to_pylist(), notes["sig_b"].to_pylist(), notes["rep"].to_pylist(), strict=True))
+        ids = d["doc_id"].to_pylist()
+        buf = Buffer.of(d["text"])
+        hs, sizes, sa, sb = [np.zeros(0, np.uint64)], [], [], []
+        for lo, hi in buf.blocks(BLOCK):
+            h, off = shingle_sets(buf.part(lo, hi), width)
+            a, b = _signatures(h, off)
+            for i in range(hi - lo):
+                key = (int(a[i]), int(b[i]), ids[lo + i])
+                if key in want:
+                    want.discard(key)  # a repeated row is no second point
+                    hs.append(h[off[i] : off[i + 1]])
+                    sizes.append(off[i + 1] - off[i])
+                    sa.append(a[i])
+                    sb.append(b[i])
+        return np.concatenate(hs), np.r_[0, np.cumsum(np.array(sizes, np.int64))].astype(np.int64), np.array(sa, np.int64), np.array(sb, np.int64)
+
+    def cut_by_shard(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        shard = (keys >> np.uint64(48 - bits)).astype(np.int64)
+        at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(keys) else np.zeros(0, np.int64)
+        return shard[at], np.r_[at, len(keys)]
+
+    def count_runs(key: tuple, d: pa.Table, notes: pa.Table) -> pa.Table:
+        h, _, _, _ = members(d, notes)
+        keys, n = np.unique(h >> KEY_SHIFT, return_counts=True)
+        shard, at = cut_by_shard(keys)
+        n = np.minimum(n, 65535)
+        return pa.table({"shard": pa.array(shard, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(shard), pa.int64()), "rows": pa.array([_run_blob(keys[i:j], n[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+
+    def common(t: pa.Table) -> pa.Table:
+        runs = [_run_of(x.as_py()) for x in t["rows"]]
+        keys, n = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]).astype(np.int64)
+        o = np.argsort(keys, kind="stable")
+        head = np.flatnonzero(np.r_[True, keys[o][1:] != keys[o][:-1]])
+        size = np.diff(np.r_[head, len(o)])
+        total = np.empty(len(o), np.int64)
+        total[o] = np.repeat(np.add.reduceat(n[o], head), size)
+        blobs = []
+        at = np.cumsum([0] + [len(r[0]) for r in runs])
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            many = total[i:j] > 1
+            blobs.append(_run_blob(keys[i:j][many], np.minimum(total[i:j][many], 65535)))
+        return pa.table({"bucket": t["bucket"], "rows": pa.array(blobs, pa.binary())})
+
+    def counted(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        runs = [_run_of(x.as_py()) for x in notes["rows"] if x.is_valid]
+        keys, n = (np.concatenate(x) for x in zip(*runs, strict=True)) if runs else (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
+        o = np.argsort(keys, kind="stable")
+        return keys[o], n[o].astype(np.int64)
+
+    def postings(key: tuple, d: pa.Table, notes: pa.Table) -> pa.Table:
+        h, off, a, b = members(d, notes)
+        keys, n = counted(notes)
+        size = np.diff(off)
+        owner = np.repeat(np.arange(len(size)), size)
+        df = np.ones(len(h), np.int64)
+        if len(keys):
+            at = np.searchsorted(keys, h >> KEY_SHIFT)
+            at[at == len(keys)] = 0
+            df = np.where(keys[at] == h >> KEY_SHIFT, n[at], 1)
+        o = np.lexsort((h, df, owner))
+        place = np.arange(len(h)) - off[:-1][owner]
+        take = o[(place < _least_common(size, num, den)[owner]) & (df[o] > 1)]
+        take = take[np.argsort(h[take], kind="stable")]
+        shard, at = cut_by_shard(h[take] >> KEY_SHIFT)
+        blobs = [np.concatenate([h[take[i:j]], a[owner[take[i:j]]].view(np.uint64), b[owner[take[i:j]]].view(np.uint64)]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"shard": pa.array(shard, pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x.as_py(), np.uint64).reshape(3, -1) for x in t.column("rows")]
+        parts = [np.frombuffer(x.as_py(), np.uint64).reshape(3, -1) for x in t["rows"]]
         h, a, b = np.concatenate(parts, axis=1)
         order = np.lexsort((b, a, h))
         h, a, b = h[order], a[order], b[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        h, a, b = h[new], a[new], b[new]
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[first, len(h)])
         many = np.repeat(count > 1, count)
@@ -174,9 +203,22 @@ def cells(docs: DataFrame, frequent: np.ndarray, n_buckets: int, num: int, den:
         pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 4)
         return pa.table({k: pairs[:, i] for i, k in enumerate(("pivot_a", "pivot_b", "sig_a", "sig_b"))})
 
-    out = "pivot_a long, pivot_b long, sig_a long, sig_b long"
-    blobs = docs.select("text").mapInArrow(prefixes, "bucket long, rows binary")
-    return blobs.groupBy("bucket").applyInArrow(meet, out).distinct()
+    def shingles(d: pa.Table, notes: pa.Table) -> pa.Table:
+        h, off, a, b = members(d, notes)
+        return pa.table({"sig_a": pa.array(a, pa.int64()), "sig_b": pa.array(b, pa.int64()), "shingles": pa.array([h[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())})
+
+    def with_notes(rows: DataFrame) -> DataFrame:
+        return reps.unionByName(rows.select("bucket", *none, "rows")).select(*[x.split()[0] for x in note.split(", ")])
+
+    runs = by_bucket.cogroup(reps.groupBy("bucket")).applyInArrow(count_runs, "shard long, bucket long, rows binary")
+    known = runs.groupBy("shard").applyInArrow(common, "bucket long, rows binary")
+    sent = by_bucket.cogroup(with_notes(known).groupBy("bucket")).applyInArrow(postings, "shard long, rows binary")
+    pairs = sent.groupBy("shard").applyInArrow(meet, "pivot_a long, pivot_b long, sig_a long, sig_b long").distinct()
+    live = pairs.select("sig_a", "sig_b").distinct().join(reps, ["sig_a", "sig_b"]).select("bucket", "rep", "sig_a", "sig_b")
+    sets = by_bucket.cogroup(live.groupBy("bucket")).applyInArrow(shingles, "sig_a long, sig_b long, shingles binary")
+    # one table, so that the texts are dealt to buckets once for all of it
+    both = written(pairs.withColumn("shingles", F.lit(None).cast("binary")).unionByName(sets.withColumns({c: F.lit(None).cast("long") for c in ("pivot_a", "pivot_b")})))
+    return both.filter("shingles is null").drop("shingles"), both.filter("shingles is not null").drop("pivot_a", "pivot_b")
 
 
 # --- the join within a region ------------------------------------------------------------------
@@ -412,28 +454,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     null id keep a null component.
     """
     base = keyed(docs, id_col, text_col)
-    per_doc, frequent = profile(base, width=width)
-    filled = per_doc.filter("n_shingles > 0 and doc_id is not null")
-    classes = written(filled.groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep")))
-    n_buckets = max(8, math.ceil((per_doc.agg(F.sum("n_shingles")).first()[0] or 0) * (1 - num / den) / 400_000))
-    pairs = written(cells(base, frequent, n_buckets, num, den, width))
-    live = pairs.select("sig_a", "sig_b").distinct().join(classes, ["sig_a", "sig_b"])
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            buf = Buffer.of(batch.column(2))
-            for lo, hi in buf.blocks(BLOCK):
-                h, off = shingle_sets(buf.part(lo, hi), width)
-                a, b = _signatures(h, off)
-                want = [batch.column(i).slice(lo, hi - lo).to_numpy() for i in (0, 1)]
-                mine = np.flatnonzero((want[0] == a) & (want[1] == b))  # a repeated doc_id may bring other texts
-                yield pa.record_batch([pa.array(a[mine]), pa.array(b[mine]), pa.array([h[off[i] : off[i + 1]].tobytes() for i in mine], pa.binary())], ["sig_a", "sig_b", "shingles"])
-
-    texts = live.join(base, live["rep"] == base["doc_id"]).select("sig_a", "sig_b", "text")
-    sets = texts.mapInArrow(shingles, "sig_a long, sig_b long, shingles binary")
-    if not per_doc.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        sets = sets.dropDuplicates(["sig_a", "sig_b"])
-    sets = written(sets)
+    per_doc = written(profile(base, width))
+    classes = written(per_doc.filter("n_shingles > 0 and doc_id is not null").groupBy("sig_a", "sig_b").agg(F.min("doc_id").alias("rep")))
+    pairs, sets = points_and_cells(base, classes, num, den, width)
     links = written(regions(pairs, sets, num, den, region_limit))
     ids = links.join(classes.select(F.col("sig_a").alias("src_a"), F.col("sig_b").alias("src_b"), F.col("rep").alias("src")), ["src_a", "src_b"]).join(classes.select(F.col("sig_a").alias("dst_a"), F.col("sig_b").alias("dst_b"), F.col("rep").alias("dst")), ["dst_a", "dst_b"])
     comp = components(ids)
