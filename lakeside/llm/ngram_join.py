@@ -84,6 +84,14 @@ def _is_in(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:
     return sorted_values[at] == h
 
 
+def _distinct_rows(pairs: np.ndarray) -> np.ndarray:
+    o = np.lexsort(pairs.T)
+    p = pairs[o]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]).any(axis=1)
+    return np.ascontiguousarray(p[new])
+
+
 KEY_SHIFT = np.uint64(16)  # 48 bits of a shingle's hash are its key in counts
 
 
@@ -200,8 +208,17 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         many = np.repeat(count > 1, count)
         head = np.repeat(first, count)[many]
         pairs = np.stack([a[head], b[head], a[many], b[many]], axis=1).view(np.int64)
-        pairs = np.unique(pairs, axis=0) if len(pairs) else pairs.reshape(0, 4)
-        return pa.table({k: pairs[:, i] for i, k in enumerate(("pivot_a", "pivot_b", "sig_a", "sig_b"))})
+        pairs = _distinct_rows(pairs)
+        # a pair that many shards found meets itself again in the shard of its own hash
+        shard = (mix(pairs[:, 0].view(np.uint64) ^ mix(pairs[:, 2].view(np.uint64).copy())) >> np.uint64(64 - bits)).astype(np.int64)
+        o = np.argsort(shard, kind="stable")
+        shard, pairs = shard[o], pairs[o]
+        at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(shard) else np.zeros(0, np.int64)
+        return pa.table({"shard": pa.array(shard[at], pa.int64()), "rows": pa.array([pairs[i:j].tobytes() for i, j in zip(at, np.r_[at[1:], len(shard)], strict=False)], pa.binary())})
+
+    def merge(t: pa.Table) -> pa.Table:
+        pairs = _distinct_rows(np.concatenate([np.frombuffer(x.as_py(), np.int64).reshape(-1, 4) for x in t["rows"]]))
+        return pa.table({k: np.ascontiguousarray(pairs[:, i]) for i, k in enumerate(("pivot_a", "pivot_b", "sig_a", "sig_b"))})
 
     def shingles(d: pa.Table, notes: pa.Table) -> pa.Table:
         h, off, a, b = members(d, notes)
@@ -213,7 +230,8 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
     runs = by_bucket.cogroup(reps.groupBy("bucket")).applyInArrow(count_runs, "shard long, bucket long, rows binary")
     known = runs.groupBy("shard").applyInArrow(common, "bucket long, rows binary")
     sent = by_bucket.cogroup(with_notes(known).groupBy("bucket")).applyInArrow(postings, "shard long, rows binary")
-    pairs = sent.groupBy("shard").applyInArrow(meet, "pivot_a long, pivot_b long, sig_a long, sig_b long").distinct()
+    found = sent.groupBy("shard").applyInArrow(meet, "shard long, rows binary")
+    pairs = found.groupBy("shard").applyInArrow(merge, "pivot_a long, pivot_b long, sig_a long, sig_b long")
     live = pairs.select("sig_a", "sig_b").distinct().join(reps, ["sig_a", "sig_b"]).select("bucket", "rep", "sig_a", "sig_b")
     sets = by_bucket.cogroup(live.groupBy("bucket")).applyInArrow(shingles, "sig_a long, sig_b long, shingles binary")
     # one table, so that the texts are dealt to buckets once for all of it
