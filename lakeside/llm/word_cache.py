@@ -17,8 +17,10 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer, normalizers
 
-KEPT_WORDS = 800_000
+KEPT_WORDS = 500_000
 CALL_CHARS = 20_000
+MARK = "\x00"
+SIGNS = ".,!?;:"
 
 
 class WordEncoder:
@@ -40,6 +42,8 @@ class WordEncoder:
             plain = steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and self.drops_space
             # Python's lower case of a capital sigma depends on its place in the word, the library's does not
             self.normalize = (lambda t: t.lower() if t.isascii() or "\u03a3" not in t and unicodedata.is_normalized("NFC", t) else library(t)) if plain else library
+        self.mark = self.tokenizer.encode(" " + MARK, add_special_tokens=False).ids
+        self.signs = dict(zip(SIGNS, self._direct(list(SIGNS)), strict=True))
         self.words: dict[str, bytes | None] = {}
         self.heads: dict[str, bytes] = {}
 
@@ -61,28 +65,46 @@ class WordEncoder:
         return [self._pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Ids of each word after a space; None where white space beside that space may join it."""
-        words, calls, at, size = self.words, [[]], [], 0
+        """Ids of each word after a space; None where white space beside that space may join it.
+
+        Words ending in one sign after a letter are those of the letters and of the sign.
+        Many words go in one call, a mark between them, whose last id no word has.
+        """
+        words, calls, size = self.words, [[]], 0
+        signed = []
         for w in new:
             if not w or w[0].isspace() or w[-1].isspace():
                 words[w] = None
                 continue
+            if len(w) > 1 and w[-1] in SIGNS and w[-2].isalpha():
+                signed.append(w)
+                w = w[:-1]
+                if w in words:
+                    continue
+            words[w] = None
+            if MARK in w:
+                words[w] = self._direct([" " + w])[0]
+                continue
             calls[-1].append(w)
             size += len(w) + 1
             if size > CALL_CHARS:
                 calls.append([])
                 size = 0
-        found = self.tokenizer.encode_batch([" " + " ".join(c) for c in calls], add_special_tokens=False)
-        for call, e in zip(calls, found, strict=True):
+        for call in calls:
             if not call:
                 continue
-            size = np.array([len(w) + 1 for w in call])
-            begin = np.cumsum(size) - size
-            at = np.searchsorted(begin, np.array([o[0] for o in e.offsets]), "right") - 1
-            cut = np.r_[0, np.cumsum(np.bincount(at, minlength=len(call)))] * self.width
-            packed = self._pack(e.ids)
-            cut = cut.tolist()
-            words.update(zip(call, [packed[i:j] for i, j in zip(cut, cut[1:], strict=False)], strict=True))
+            call = list(dict.fromkeys(call))
+            found = self.tokenizer.encode_batch_fast(["".join([f" {w} {MARK}" for w in call])], add_special_tokens=False)[0].ids
+            packed = self._pack(found)
+            end = np.flatnonzero(np.frombuffer(packed, "<u2" if self.width == 2 else "<u4") == self.mark[-1])
+            if len(end) != len(call):
+                raise ValueError("the mark between words was not kept apart")
+            begin = (np.r_[0, end[:-1] + 1] * self.width).tolist()
+            end = ((end - len(self.mark) + 1) * self.width).tolist()
+            words.update(zip(call, [packed[i:j] for i, j in zip(begin, end, strict=True)], strict=True))
+        signs = self.signs
+        for w in signed:
+            words[w] = words[w[:-1]] + signs[w[-1]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
@@ -94,7 +116,7 @@ class WordEncoder:
         firsts = [s[0] for s in split]
         if len(heads) > KEPT_WORDS // 4:
             heads.clear()
-        head = [w for w in dict.fromkeys(firsts) if w not in heads]
+        head = [w for w in dict.fromkeys(firsts) if w not in heads]  # at a text's start, no space before
         heads.update(zip(head, self._direct(head), strict=True))
         every = set().union(*(s[1:] for s in split))
         new = [w for w in every if w not in words]
