@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer, normalizers
 
-KEPT_WORDS = 500_000
+KEPT_WORDS = 900_000
 CALL_CHARS = 20_000
 MARK = "\x00"
 SIGNS = ".,!?;:"
