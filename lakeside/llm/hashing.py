@@ -23,20 +23,22 @@ _INV = pow(BASE, -1, 2**64)
 SHINGLE_FACTORS = _rng.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 _powers: dict[int, np.ndarray] = {}
+KEPT_POWERS = 1 << 22
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        size = -(-max(n, 1) // (1 << 18)) * (1 << 18)
         have = np.ones(size, np.uint64)
         done = 1
         while done < size:
             step = np.uint64(pow(base, done, 2**64))
-            have[done : 2 * done] = have[:done] * step
+            have[done : 2 * done] = have[: min(done, size - done)] * step
             done *= 2
-        _powers[base] = have
+        if size <= KEPT_POWERS:
+            _powers[base] = have
     return have[:n]
 
 

@@ -5,7 +5,7 @@ stands (navigation, notices, adverts, forms, comments and the like are bad), the
 density of stop words and density of links.  Long blocks rich in stop words are good, long
 ones with few are bad, short ones stay undecided.  Pass 2 gives an undecided block the
 label of its nearest decided neighbours on both sides (good if either of equally near
-ones is good).
+ones is good; beside the page's edge it is bad).
 
 A page that marks its main part (article, main, or an element named as content) says more
 than densities do: outside it all is bad, and inside it a block is bad only by place or by
@@ -185,7 +185,7 @@ def main_text(page: str | None) -> str:
         j = i + step
         while 0 <= j < len(label) and label[j] in skip:
             j += step
-        return (abs(j - i), label[j]) if 0 <= j < len(label) else (len(label) + 1, "bad")
+        return (abs(j - i), label[j]) if 0 <= j < len(label) else (0, "edge")
 
     final = list(label)
     for i, x in enumerate(label):
@@ -194,7 +194,7 @@ def main_text(page: str | None) -> str:
             if blocks[i][4]:  # a heading goes with what it heads
                 final[i] = b if b == "good" else a if da == 1 else "bad"
             else:
-                final[i] = a if a == b else "good" if da == db else a if da < db else b
+                final[i] = a if a == b else "bad" if "edge" in (a, b) else "good" if da == db else a if da < db else b
         elif x == "near":
             a, b = neighbour(i, -1, ("short", "near"))[1], neighbour(i, 1, ("short", "near"))[1]
             final[i] = "good" if "good" in (a, b) or not any(y == "good" for y in label) else "bad"

@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 from .common import buckets_for, keyed, written
 from .hashing import Buffer, mix, shingle_sets
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 
 
 def _least_common(n: np.ndarray, num: int, den: int) -> np.ndarray:

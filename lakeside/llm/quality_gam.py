@@ -137,7 +137,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf = Buffer.of(batch.column(1))
-            for lo, hi in buf.blocks(1 << 21):
+            for lo, hi in buf.blocks(1 << 20):
                 x = features_of(buf.part(lo, hi))
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), flat], ["doc_id", "features"])

@@ -42,7 +42,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf = Buffer.of(batch.column(3))
-            for lo, hi in buf.blocks(1 << 21):
+            for lo, hi in buf.blocks(1 << 20):
                 c = counts(buf.part(lo, hi))
                 yield pa.record_batch([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), *(pa.array(c[k], pa.int64()) for k in COLUMNS)], ["doc_id", "lang", "source", *COLUMNS])
 

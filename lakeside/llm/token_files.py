@@ -75,11 +75,11 @@ def read_records(data: bytes, offsets: Iterator[int] | None = None) -> Iterator[
         yield got
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 16 << 20, partition_bytes: int = 8 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", file_bytes: int = 16 << 20, partition_bytes: int = 8 << 20, kept_words: int = 900_000) -> DataFrame:
     """Writes all documents below ``folder`` and gives the manifest: file, part, piece, n_docs, n_tokens, start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, kept_words)
         end = int(end_id).to_bytes(enc.width, "little")
         ctx = TaskContext.get()
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()

@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 from tokenizers import Tokenizer, normalizers
 
-KEPT_WORDS = 900_000
+KEPT_WORDS = 300_000
 CALL_CHARS = 20_000
 MARK = "\x00"
 SIGNS = ".,!?;:"
@@ -26,7 +26,8 @@ SIGNS = ".,!?;:"
 class WordEncoder:
     """Texts to packed little-endian ids of ``width`` bytes each (2 if the vocabulary allows)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT_WORDS):
+        self.kept = kept
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -114,13 +115,13 @@ class WordEncoder:
         words, heads = self.words, self.heads
         split = [t.split(" ") for t in texts]
         firsts = [s[0] for s in split]
-        if len(heads) > KEPT_WORDS // 4:
+        if len(heads) > self.kept // 4:
             heads.clear()
         head = [w for w in dict.fromkeys(firsts) if w not in heads]  # at a text's start, no space before
         heads.update(zip(head, self._direct(head), strict=True))
         every = set().union(*(s[1:] for s in split))
         new = [w for w in every if w not in words]
-        if len(words) + len(new) > KEPT_WORDS:
+        if len(words) + len(new) > self.kept:
             words.clear()
             new = list(every)
         self._learn(new)
@@ -144,7 +145,10 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept: int = KEPT_WORDS) -> WordEncoder:
+    """The worker's encoder of a tokenizer file, which remembers at most ``kept`` words."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path, kept)
+    _encoders[path].kept = kept
     return _encoders[path]
