@@ -117,7 +117,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1) if n else np.zeros((0, 0), np.float32)
 
 
-def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries_where: str = "vec_id % 20 = 0", k: int = 20, rerank: int = 500, sample_rows: int = 20_000, shard_rows: int = 8192, query_rows: int = 2048, coverage: float = 0.98) -> DataFrame:
+def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries_where: str = "vec_id % 20 = 0", k: int = 20, rerank: int = 1500, sample_rows: int = 20_000, shard_rows: int = 8192, query_rows: int = 2048, coverage: float = 0.98) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other rows."""
     spark = df.sparkSession
     vectors = usable(df, id_col, vector_col)

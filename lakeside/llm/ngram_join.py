@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, keyed, written
+from .common import buckets_for, keyed, trim, written
 from .hashing import Buffer, mix, shingle_sets
 
 BLOCK = 1 << 20
@@ -72,6 +72,7 @@ def profile(docs: DataFrame, width: int = 5) -> DataFrame:
                 h, off = shingle_sets(buf.part(lo, hi), width)
                 a, b = _signatures(h, off)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "sig_a", "sig_b"])
+        trim()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long")
 
@@ -153,6 +154,7 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         return shard[at], np.r_[at, len(keys)]
 
     def count_runs(key: tuple, d: pa.Table, notes: pa.Table) -> pa.Table:
+        trim()
         h, _, _, _ = members(d, notes)
         keys, n = np.unique(h >> KEY_SHIFT, return_counts=True)
         shard, at = cut_by_shard(keys)
@@ -160,6 +162,7 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         return pa.table({"shard": pa.array(shard, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(shard), pa.int64()), "rows": pa.array([_run_blob(keys[i:j], n[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
     def common(t: pa.Table) -> pa.Table:
+        trim()
         runs = [_run_of(x.as_py()) for x in t["rows"]]
         keys, n = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]).astype(np.int64)
         o = np.argsort(keys, kind="stable")
@@ -181,6 +184,7 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         return keys[o], n[o].astype(np.int64)
 
     def postings(key: tuple, d: pa.Table, notes: pa.Table) -> pa.Table:
+        trim()
         h, off, a, b = members(d, notes)
         keys, n = counted(notes)
         size = np.diff(off)
@@ -199,6 +203,7 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         return pa.table({"shard": pa.array(shard, pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
+        trim()
         parts = [np.frombuffer(x.as_py(), np.uint64).reshape(3, -1) for x in t["rows"]]
         h, a, b = np.concatenate(parts, axis=1)
         order = np.lexsort((b, a, h))
@@ -221,6 +226,7 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         return pa.table({k: np.ascontiguousarray(pairs[:, i]) for i, k in enumerate(("pivot_a", "pivot_b", "sig_a", "sig_b"))})
 
     def shingles(d: pa.Table, notes: pa.Table) -> pa.Table:
+        trim()
         h, off, a, b = members(d, notes)
         return pa.table({"sig_a": pa.array(a, pa.int64()), "sig_b": pa.array(b, pa.int64()), "shingles": pa.array([h[i:j].tobytes() for i, j in zip(off[:-1], off[1:], strict=True)], pa.binary())})
 
@@ -401,6 +407,7 @@ def regions(pairs: DataFrame, sets: DataFrame, num: int, den: int, region_limit:
         tasks = copies.select(cols).unionByName(points.select(cols))
 
         def step(t: pa.Table) -> pa.Table:
+            trim()
             is_head = np.array([x is not None for x in t["head"].to_pylist()])
             at = np.flatnonzero(~is_head)
             s = arrays(t)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_blocks
-from .common import keyed, written
+from .common import keyed, trim, written
 from .word_cache import encoder
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("ids", pa.binary())])
@@ -150,6 +150,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, size: int
                 yield rows.take()
         rows.left(end_to_end(packer.rest(), size, rows.window), part)
         yield rows.take()
+        trim()
 
     first = written(keyed(docs, id_col, text_col).mapInArrow(run, PIECE_DDL))
     done = [first.filter(F.col("sequence_id").isNotNull())]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, written
+from .common import keyed, trim, written
 from .hashing import Buffer
 from .text_counts import counts
 
@@ -141,6 +141,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 x = features_of(buf.part(lo, hi))
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), flat], ["doc_id", "features"])
+        trim()
 
     return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, features array<double>")
 

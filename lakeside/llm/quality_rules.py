@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import trim, written
 from .hashing import Buffer
 from .text_counts import counts
 
@@ -45,6 +45,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for lo, hi in buf.blocks(1 << 20):
                 c = counts(buf.part(lo, hi))
                 yield pa.record_batch([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), *(pa.array(c[k], pa.int64()) for k in COLUMNS)], ["doc_id", "lang", "source", *COLUMNS])
+        trim()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COLUMNS))

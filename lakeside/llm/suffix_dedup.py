@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for
+from .common import buckets_for, trim
 from .hashing import BYTE_VALUES, SHINGLE_FACTORS, Buffer, mix, prefix_sums, window_hashes
 
 NONE = np.iinfo(np.int64).max
@@ -239,6 +239,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tuple_kinds = ((np.uint64, 1), (np.uint8, width + length), (np.uint8, 1), (np.uint8, 1), (np.int64, 1))
 
     def name_runs(t: pa.Table) -> pa.Table:
+        trim()
         buf, ids = _bucket(t)
         _, name, _, _, doc = _bucket_samples(buf, ids, length, grain)
         o = np.lexsort((ids[doc], name))
@@ -253,6 +254,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"shard": pa.array(keys, pa.int64()), "bucket": pa.array([b] * len(keys), pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
     def repeated(t: pa.Table) -> pa.Table:
+        trim()
         runs = [_unpack(x.as_py(), (np.uint64, 1), (np.uint8, 1)) for x in t["rows"]]
         bucket = np.repeat(t["bucket"].to_numpy(), [len(r[0]) for r in runs])
         name, many = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
@@ -274,6 +276,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x.as_py(), (np.uint64, 1))[0] for x in t["rows"])]))
 
     def tuples(key: tuple, d: pa.Table, w: pa.Table) -> pa.Table:
+        trim()
         buf, ids = _bucket(d)
         (name, ctx, lo, hi, least), _ = _tuples(buf, ids, length, grain, wanted_of(w))
         keys, at = _by_shard(name, bits)
@@ -281,6 +284,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"shard": pa.array(keys, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(keys), pa.int64()), "start": pa.array(at[:-1], pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
     def decide(t: pa.Table) -> pa.Table:
+        trim()
         runs = [_unpack(x.as_py(), *tuple_kinds) for x in t["rows"]]
         name, ctx, lo, hi, least = (np.concatenate(x) for x in zip(*runs, strict=True))
         mask = induced(ctx, name, lo, hi, least, length, width)
@@ -296,6 +300,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     notes = wanted.withColumn("start", F.lit(-1).cast("long")).select("bucket", "start", "rows").unionByName(masks)
 
     def cut_out(key: tuple, d: pa.Table, notes: pa.Table) -> pa.Table:
+        trim()
         buf, ids = _bucket(d)
         start = notes["start"].to_numpy()
         asked = notes.filter(pa.array(start < 0))
