@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, html_main, ngram_join, packing, quality_gam, quality_rules, suffix_dedup, token_files
 from .common import table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,4 +62,3 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_suffix_dedup, op3_chat, op4_html, op5_ann, op6_quality_rules, op7_ngram_join, op8_token_files, op9_quality_gam, op10_packing)}
-ORACLES: dict[str, str] = {}
