@@ -20,8 +20,7 @@ CHUNKS = FILES + ", lined as (select *, string_split(content, chr(10)) as lines
 SYMBOLS = "symbols as (select p_partkey as id, p_partkey as chunk_id, p_name as name, p_brand as file, p_type as kind, p_size as line from part)"
 
 
-def edges_sql(orders: int) -> str:
-    return f"{SYMBOLS}, l as (select distinct l_orderkey as o, l_linenumber as n, l_partkey as p from lineitem where l_orderkey < {orders}), arcs as (select distinct a.p as src_chunk, b.p as dst from l a join l b on a.o = b.o and a.n + 1 = b.n and a.p <> b.p), edges as (select src_chunk, case when dst % 7 <> 0 then dst end as dst_chunk, name as dst_name, case when (src_chunk + dst) % 5 = 0 then 'imports' else 'calls' end as kind, cast((src_chunk * 31 + dst) % 100 + 1 as int) as line from arcs join symbols on id = dst), both_ways as (select src_chunk as a, dst_chunk as b from edges where dst_chunk is not null union select dst_chunk, src_chunk from edges where dst_chunk is not null), backwards as (select distinct dst_chunk as a, src_chunk as b from edges where dst_chunk is not null), forwards as (select distinct src_chunk as a, dst_chunk as b from edges where dst_chunk is not null)"
+EDGES = f"{SYMBOLS}, l as (select distinct l_orderkey as o, l_linenumber as n, l_partkey as p from lineitem), arcs as (select distinct a.p as src_chunk, b.p as dst from l a join l b on a.o = b.o and a.n + 1 = b.n and a.p <> b.p), edges as (select src_chunk, case when dst % 7 <> 0 then dst end as dst_chunk, name as dst_name, case when (src_chunk + dst) % 5 = 0 then 'imports' else 'calls' end as kind, cast((src_chunk * 31 + dst) % 100 + 1 as int) as line from arcs join symbols on id = dst), both_ways as (select src_chunk as a, dst_chunk as b from edges where dst_chunk is not null union select dst_chunk, src_chunk from edges where dst_chunk is not null), backwards as (select distinct dst_chunk as a, src_chunk as b from edges where dst_chunk is not null), forwards as (select distinct src_chunk as a, dst_chunk as b from edges where dst_chunk is not null)"
 
 
 RECORDS = "records as (select conv_id * 100 + turn as id, conv_id % 3 as ws, role as kind, 'chat' as source, case when turn % 2 = 0 then 'completed' else 'open' end as status, string_split(text, chr(10))[1] as title, text as payload, case when conv_id % 4 = 0 then 'sha' || conv_id end as head_sha from conversations)"
@@ -195,9 +194,9 @@ def i24_embed_text(spark, d):
     return ingest.embed_text(c).select("chunk_id", F.md5(F.col("embed_text").cast("binary")).alias("text_md5"))
 
 
-@query(f"with {CHUNKS}, q as (select id as file_id, id % 60 + 1 as line from files where id % 3 = 0), j as (select q.file_id, q.line, c.idx, c.start_line, c.end_line from q left join chunks c on c.file_id = q.file_id and c.start_line <= q.line) select file_id, line, coalesce(min(idx) filter (where end_line >= line), arg_max(idx, start_line), 0) as idx from j group by 1, 2")
+@query(f"with {CHUNKS}, q as (select id as file_id, id % 60 + 1 as line from files), j as (select q.file_id, q.line, c.idx, c.start_line, c.end_line from q left join chunks c on c.file_id = q.file_id and c.start_line <= q.line) select file_id, line, coalesce(min(idx) filter (where end_line >= line), arg_max(idx, start_line), 0) as idx from j group by 1, 2")
 def i21_line_to_chunk(spark, d):
-    q = T.files(spark, d).filter("id % 3 = 0").select(F.col("id").alias("file_id"), (F.col("id") % 60 + 1).alias("line"))
+    q = T.files(spark, d).select(F.col("id").alias("file_id"), (F.col("id") % 60 + 1).alias("line"))
     return ingest.line_owner(q, T.chunks(spark, d)).select("file_id", "line", F.col("idx").cast("long"))
 
 
@@ -259,27 +258,27 @@ def j2_find_definitions(spark, d):
     return s.join(names, "name", "left_semi").withColumn("rn", F.row_number().over(w)).filter("rn <= 25").select("name", "id", "file", "kind")
 
 
-@query(f"with {edges_sql(500)}, n as (select min(name) as name from symbols), e as (select * from edges where kind in ('calls', 'imports')) select distinct src_chunk from e where dst_name = (select name from n) or dst_chunk in (select chunk_id from symbols where name = (select name from n)) order by 1 limit 50")
+@query(f"with {EDGES}, n as (select min(name) as name from symbols), e as (select * from edges where kind in ('calls', 'imports')) select distinct src_chunk from e where dst_name = (select name from n) or dst_chunk in (select chunk_id from symbols where name = (select name from n)) order by 1 limit 50")
 def j3_find_usages(spark, d):
     s = T.symbols(spark, d)
     return lookup.find_usages(T.edges(spark, d), s, s.agg(F.min("name")).first()[0], ["calls", "imports"])
 
 
-@query(f"with {edges_sql(500)} select distinct e.src_chunk, e.dst_chunk, e.kind from edges e where e.dst_chunk in (select p_partkey from part where p_partkey % 50 = 1)")
+@query(f"with {EDGES} select distinct e.src_chunk, e.dst_chunk, e.kind from edges e where e.dst_chunk in (select p_partkey from part)")
 def j4_usages_of_chunk(spark, d):
-    s = T.symbols(spark, d).filter("chunk_id % 50 = 1").select(F.col("chunk_id").alias("dst_chunk"))
+    s = T.symbols(spark, d).select(F.col("chunk_id").alias("dst_chunk"))
     return T.edges(spark, d).join(s, "dst_chunk", "left_semi").select("src_chunk", "dst_chunk", "kind").distinct()
 
 
-RESOLVE = f"{SYMBOLS}, chosen as (select * from symbols where id % 9 < 2), named as (select *, count(*) over () from chosen), e as (select id as edge_id, file, name as dst_name from symbols where id % 11 = 0), scope as (select distinct a.file, b.file as imported from symbols a join symbols b on a.id + 1 = b.id where a.id % 40 = 0), u as (select name, count(distinct file) as n from chosen group by 1), cand as (select e.edge_id, s.chunk_id, s.id, case when e.file = s.file then 1 when i.file is not null then 2 when u.n = 1 then 3 end as r from e join chosen s on s.name = e.dst_name join u on u.name = s.name left join scope i on i.file = e.file and i.imported = s.file)"
+RESOLVE = f"{SYMBOLS}, chosen as (select id, chunk_id, name || '_' || id % 60 as name, file from symbols), e as (select id as edge_id, file, name || '_' || id * 7 % 60 as dst_name from symbols), scope as (select distinct a.file, b.file as imported from symbols a join symbols b on a.id + 1 = b.id and a.line = b.line), u as (select name, count(distinct file) as n from chosen group by 1), cand as (select e.edge_id, s.chunk_id, s.id, case when e.file = s.file then 1 when i.file is not null then 2 when u.n = 1 then 3 end as r from e join chosen s on s.name = e.dst_name join u on u.name = s.name left join scope i on i.file = e.file and i.imported = s.file)"
 
 
 def _resolve_inputs(spark, d):
     s = T.symbols(spark, d)
-    e = s.filter("id % 11 = 0").select(F.col("id").alias("edge_id"), "file", F.col("name").alias("dst_name"), F.lit(None).cast("string").alias("qualifier"))
+    e = s.select(F.col("id").alias("edge_id"), "file", F.concat("name", F.lit("_"), (F.col("id") * 7 % 60).cast("string")).alias("dst_name"), F.lit(None).cast("string").alias("qualifier"))
     a, b = s.alias("a"), s.alias("b")
-    scope = a.join(b, F.expr("a.id + 1 = b.id and a.id % 40 = 0")).select(F.col("a.file").alias("file"), F.col("b.file").alias("imported")).distinct()
-    return e, s.filter("id % 9 < 2"), scope
+    scope = a.join(b, F.expr("a.id + 1 = b.id and a.line = b.line")).select(F.col("a.file").alias("file"), F.col("b.file").alias("imported")).distinct()
+    return e, s.withColumn("name", F.concat("name", F.lit("_"), (F.col("id") % 60).cast("string"))), scope
 
 
 @query(f"with {RESOLVE} select e.edge_id, c.chunk_id as dst_chunk from e left join (select edge_id, arg_min(chunk_id, r * 1000000 + id) as chunk_id from cand where r is not null group by 1) c on c.edge_id = e.edge_id")
@@ -293,24 +292,24 @@ def y9_resolve_any(spark, d):
     return lookup.resolve_any(e, s)
 
 
-@query(f"with {edges_sql(500)}, s as (select chunk_id, name, id % 3 = 0 as concrete, id % 3 = 1 as abstract from symbols), e as (select *, case when kind = 'calls' then 'implements' else 'extends' end as k from edges) select e.src_chunk, e.dst_name, case when k = 'implements' and concrete then 'extends' when k = 'extends' and abstract then 'implements' else k end as kind from e left join s on s.chunk_id = e.dst_chunk and s.name = e.dst_name")
+@query(f"with {EDGES}, s as (select chunk_id, name, id % 3 = 0 as concrete, id % 3 = 1 as abstract from symbols), e as (select *, case when kind = 'calls' then 'implements' else 'extends' end as k from edges) select e.src_chunk, e.dst_name, case when k = 'implements' and concrete then 'extends' when k = 'extends' and abstract then 'implements' else k end as kind from e left join s on s.chunk_id = e.dst_chunk and s.name = e.dst_name")
 def j8_relabel_bases(spark, d):
     s = T.symbols(spark, d).withColumn("kind", F.when(F.col("id") % 3 == 0, "class").when(F.col("id") % 3 == 1, "protocol").otherwise("function"))
     e = T.edges(spark, d).withColumn("kind", F.when(F.col("kind") == "calls", "implements").otherwise("extends"))
     return lookup.relabel_bases(e, s).select("src_chunk", "dst_name", "kind")
 
 
-@query(f"with {CHUNKS}, q as (select path, id % 40 + 1 as line from files where id % 2 = 0) select q.path, q.line, arg_min(c.chunk_id, (c.end_line - c.start_line) * 100000000 + c.chunk_id) as chunk_id from q join chunks c on c.path = q.path and q.line between c.start_line and c.end_line group by 1, 2")
+@query(f"with {CHUNKS}, q as (select path, id % 40 + 1 as line from files) select q.path, q.line, arg_min(c.chunk_id, (c.end_line - c.start_line) * 100000000 + c.chunk_id) as chunk_id from q join chunks c on c.path = q.path and q.line between c.start_line and c.end_line group by 1, 2")
 def j10_line_in_chunk(spark, d):
-    q = T.files(spark, d).filter("id % 2 = 0").select("path", (F.col("id") % 40 + 1).alias("line"))
+    q = T.files(spark, d).select("path", (F.col("id") % 40 + 1).alias("line"))
     return lookup.chunk_at(q, T.chunks(spark, d))
 
 
-@query(f"with {SYMBOLS}, d as (select id, file as path, name, line as decl_line, line + id % 9 as chunk_end from symbols), q as (select distinct file as path, line from symbols where id % 5 = 0) select q.path, q.line, arg_max(d.name, case when chunk_end >= q.line then 10000000000 else 0 end + decl_line * 10000000 + d.id) as name from q join d on d.path = q.path and d.decl_line <= q.line group by 1, 2")
+@query(f"with {SYMBOLS}, d as (select id, file as path, name, line as decl_line, line + id % 9 as chunk_end from symbols), q as (select distinct file as path, line from symbols) select q.path, q.line, arg_max(d.name, case when chunk_end >= q.line then 10000000000 else 0 end + decl_line * 10000000 + d.id) as name from q join d on d.path = q.path and d.decl_line <= q.line group by 1, 2")
 def j11_nearest_declaration(spark, d):
     s = T.symbols(spark, d)
     decls = s.select("id", F.col("file").alias("path"), "name", F.col("line").alias("decl_line"), (F.col("line") + F.col("id") % 9).alias("chunk_end"))
-    return lookup.nearest_declaration(s.filter("id % 5 = 0").select(F.col("file").alias("path"), "line").distinct(), decls)
+    return lookup.nearest_declaration(s.select(F.col("file").alias("path"), "line").distinct(), decls)
 
 
 TRACED = [("/app/src/src1/en/doc_1.txt",), ("en/doc_2.txt",), ("doc_21.txt",), ("x/doc_3.txt",), ("/src/src4/fr/doc_4.txt",)]
@@ -321,10 +320,10 @@ def j12_path_suffix(spark, d):
     return lookup.match_suffix(values(spark, "traced", TRACED), T.files(spark, d))
 
 
-@query(f"with {RECORDS}, u as (select *, 0 as scope from records where id % 3 <> 0 union all select *, 1 from records where id % 2 = 0), r as (select *, row_number() over (partition by kind, title, payload order by scope, id) as rn from u) select id, scope from r where rn = 1")
+@query(f"with {RECORDS}, u as (select *, 0 as scope from records where status = 'completed' union all select *, 1 from records), r as (select *, row_number() over (partition by kind, title, payload order by scope, id) as rn from u) select id, scope from r where rn = 1")
 def j13_union_scopes(spark, d):
     r = T.records(spark, d)
-    return ledger.union_scopes(r.filter("id % 3 <> 0"), r.filter("id % 2 = 0")).select("id", "scope")
+    return ledger.union_scopes(r.filter("status = 'completed'"), r).select("id", "scope")
 
 
 @query(f"with {RECORDS}, {FILES}, {SYMBOLS}, a as (select id, unnest(['src/src0/fr/doc_' || (id // 100) || '.txt', 'name_' || id]) as anchor from records where head_sha is not null and head_sha <> 'sha4') select id, list_sort(list(distinct anchor)) as missing from a where not (contains(anchor, '/') and anchor in (select path from files)) and not (not contains(anchor, '/') and anchor in (select name from symbols)) group by 1")
@@ -343,14 +342,14 @@ def j15_implicit_targets(spark, d):
     return lookup.implicit_targets(e.select(i.alias("id"), F.col("user_id").alias("session"), F.when(F.col("event_type") == "view", "search").otherwise(F.col("event_type")).alias("tool"), F.array(i % 7, i % 5 + 7, i % 3 + 12).alias("top"), (i % 15).alias("target")))
 
 
-@query(f"with {edges_sql(500)} select src_chunk, dst_name from edges where (src_chunk, dst_name) not in (select src_chunk, dst_name from edges where kind = 'imports')")
+@query(f"with {EDGES} select src_chunk, dst_name from edges where (src_chunk, dst_name) not in (select src_chunk, dst_name from edges where kind = 'imports')")
 def j16_edge_audit(spark, d):
     e = T.edges(spark, d)
     return e.join(e.filter("kind = 'imports'"), ["src_chunk", "dst_name"], "left_anti").select("src_chunk", "dst_name")
 
 
 # --- aggregates --------------------------------------------------------------------------------------
-@query(f"with {CHUNKS}, {edges_sql(500)} select (select count(*) from files) as files, (select count(*) from chunks) as chunks, (select count(*) from symbols) as symbols, (select count(*) from edges) as edges, (select count(dst_chunk) from edges) as resolved, (select count(*) from embeddings) as vectors, (select max(mtime) from files) as last_indexed")
+@query(f"with {CHUNKS}, {EDGES} select (select count(*) from files) as files, (select count(*) from chunks) as chunks, (select count(*) from symbols) as symbols, (select count(*) from edges) as edges, (select count(dst_chunk) from edges) as resolved, (select count(*) from embeddings) as vectors, (select max(mtime) from files) as last_indexed")
 def a1_status(spark, d):
     one = T.files(spark, d).agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("last_indexed"))
     for df, aggs in ((T.chunks(spark, d), {"chunks": F.count(F.lit(1))}), (T.symbols(spark, d), {"symbols": F.count(F.lit(1))}), (T.edges(spark, d), {"edges": F.count(F.lit(1)), "resolved": F.count("dst_chunk")}), (T.vectors(spark, d), {"vectors": F.count(F.lit(1))})):
@@ -363,22 +362,22 @@ def a2_language_mix(spark, d):
     return T.files(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(8)
 
 
-@query(f"with {edges_sql(2000)} select s.id, s.name, count(*) as degree from edges e join symbols s on s.chunk_id = e.dst_chunk group by 1, 2 order by degree desc, s.id limit 15")
+@query(f"with {EDGES} select s.id, s.name, count(*) as degree from edges e join symbols s on s.chunk_id = e.dst_chunk group by 1, 2 order by degree desc, s.id limit 15")
 def a3_hub_symbols(spark, d):
-    e, s = T.edges(spark, d, 2000), T.symbols(spark, d)
+    e, s = T.edges(spark, d), T.symbols(spark, d)
     return e.join(s, e["dst_chunk"] == s["chunk_id"]).groupBy("id", "name").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "id").limit(15)
 
 
-@query(f"with {edges_sql(2000)}, d as (select dst_chunk as c, count(*) as n from edges where dst_chunk is not null group by 1 union all select src_chunk, count(*) from edges group by 1) select s.id, s.name, cast(sum(d.n) as bigint) as degree from d join symbols s on s.chunk_id = d.c group by 1, 2 order by degree desc, s.id limit 8")
+@query(f"with {EDGES}, d as (select dst_chunk as c, count(*) as n from edges where dst_chunk is not null group by 1 union all select src_chunk, count(*) from edges group by 1) select s.id, s.name, cast(sum(d.n) as bigint) as degree from d join symbols s on s.chunk_id = d.c group by 1, 2 order by degree desc, s.id limit 8")
 def a4_o5_hubs_in_out(spark, d):
-    e, s = T.edges(spark, d, 2000), T.symbols(spark, d)
+    e, s = T.edges(spark, d), T.symbols(spark, d)
     deg = e.filter("dst_chunk is not null").groupBy(F.col("dst_chunk").alias("c")).count().unionAll(e.groupBy(F.col("src_chunk").alias("c")).count())
     return deg.join(s, deg["c"] == s["chunk_id"]).groupBy("id", "name").agg(F.sum("count").alias("degree")).orderBy(F.desc("degree"), "id").limit(8)
 
 
-@query(f"with {edges_sql(2000)}, t as (select src_chunk as c from edges where dst_chunk is not null union select dst_chunk from edges where dst_chunk is not null) select s.file, count(distinct s.chunk_id) as n from symbols s where s.chunk_id in (select c from t) group by 1 order by n desc, s.file limit 10")
+@query(f"with {EDGES}, t as (select src_chunk as c from edges where dst_chunk is not null union select dst_chunk from edges where dst_chunk is not null) select s.file, count(distinct s.chunk_id) as n from symbols s where s.chunk_id in (select c from t) group by 1 order by n desc, s.file limit 10")
 def a5_o4_hot_files(spark, d):
-    e = T.edges(spark, d, 2000).filter("dst_chunk is not null")
+    e = T.edges(spark, d).filter("dst_chunk is not null")
     t = e.select(F.col("src_chunk").alias("chunk_id")).union(e.select("dst_chunk")).distinct()
     return T.symbols(spark, d).join(t, "chunk_id", "left_semi").groupBy("file").agg(F.count_distinct("chunk_id").alias("n")).orderBy(F.desc("n"), "file").limit(10)
 
@@ -407,7 +406,7 @@ def a10_document_frequency(spark, d):
     return w.join(F.broadcast(atoms), F.expr("startswith(t, atom)")).groupBy("atom").agg(F.count_distinct("doc_id").alias("df"))
 
 
-@query(f"with {CHUNKS}, {edges_sql(500)} select e.src_chunk, e.kind, list_sort(list(distinct e.line)) as lines from edges e where e.dst_chunk is not null group by 1, 2")
+@query(f"with {CHUNKS}, {EDGES} select e.src_chunk, e.kind, list_sort(list(distinct e.line)) as lines from edges e where e.dst_chunk is not null group by 1, 2")
 def a13_grouped_edges(spark, d):
     return T.edges(spark, d).filter("dst_chunk is not null").groupBy("src_chunk", "kind").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
@@ -555,8 +554,8 @@ def r3_a12_symbol_leg(spark, d):
 
 
 # --- graph -------------------------------------------------------------------------------------------
-def _seed(spark, d, orders=500):
-    return T.edges(spark, d, orders).filter("dst_chunk is not null").agg(F.min("src_chunk")).first()[0]
+def _seed(spark, d):
+    return T.edges(spark, d).filter("dst_chunk is not null").agg(F.min("src_chunk")).first()[0]
 
 
 _SEED = "s as (select min(src_chunk) as x from edges where dst_chunk is not null)"
@@ -566,21 +565,21 @@ def _bfs_sql(arcs: str, hops: int) -> str:
     return f"walk as (select x as node, 0 as depth from s union select {arcs}.b, depth + 1 from walk join {arcs} on {arcs}.a = walk.node where depth < {hops}), best as (select node, min(depth) as depth from walk group by 1)"
 
 
-@query(f"with recursive {edges_sql(500)}, {_SEED}, {_bfs_sql('both_ways', 1)}, m as (select e.*, b.depth from edges e join best b on e.src_chunk = b.node union all select e.*, b.depth from edges e join best b on e.dst_chunk = b.node) select src_chunk, dst_chunk, dst_name, kind, min(depth) + 1 as depth from m group by 1, 2, 3, 4 order by depth, src_chunk, dst_name, kind, dst_chunk limit 60")
+@query(f"with recursive {EDGES}, {_SEED}, {_bfs_sql('both_ways', 1)}, m as (select e.*, b.depth from edges e join best b on e.src_chunk = b.node union all select e.*, b.depth from edges e join best b on e.dst_chunk = b.node) select src_chunk, dst_chunk, dst_name, kind, min(depth) + 1 as depth from m group by 1, 2, 3, 4 order by depth, src_chunk, dst_name, kind, dst_chunk limit 60")
 def g1_neighbours(spark, d):
     return graph.neighbours(T.edges(spark, d), _seed(spark, d), depth=2, limit=60)
 
 
-@query(f"with recursive {edges_sql(500)}, s as (select max(dst_chunk) as x from edges), {_bfs_sql('backwards', 3)} select node, depth from best where depth > 0")
+@query(f"with recursive {EDGES}, s as (select max(dst_chunk) as x from edges), {_bfs_sql('backwards', 3)} select node, depth from best where depth > 0")
 def g5_impact(spark, d):
     e = T.edges(spark, d)
     return graph.impact(e, e.agg(F.max("dst_chunk")).first()[0], 3)
 
 
-@query(f"with {edges_sql(500)}, seeds as (select distinct src_chunk as node, 1.0 / src_chunk as score from edges where dst_chunk is not null order by 1 limit 3), s0 as (select node, max(score) as score from seeds group by 1), s1 as (select b as node, max(score) * 0.7 as score from s0 join both_ways on a = node where b not in (select node from s0) group by 1), s2 as (select b as node, max(score) * 0.7 as score from s1 join both_ways on a = node where b not in (select node from s0 union select node from s1) group by 1), u as (select node, 1 as depth, round(score, 4) as score from s1 union all select node, 2, round(score, 4) from s2) select node, depth, score from u order by depth, score desc, node limit 60")
+@query(f"with {EDGES}, seeds as (select distinct src_chunk as node, 1.0 / (src_chunk + 1) as score from edges where dst_chunk is not null order by 1 limit 3), s0 as (select node, max(score) as score from seeds group by 1), s1 as (select b as node, max(score) * 0.7 as score from s0 join both_ways on a = node where b not in (select node from s0) group by 1), s2 as (select b as node, max(score) * 0.7 as score from s1 join both_ways on a = node where b not in (select node from s0 union select node from s1) group by 1), u as (select node, 1 as depth, round(score, 4) as score from s1 union all select node, 2, round(score, 4) from s2) select node, depth, score from u order by depth, score desc, node limit 60")
 def g2_expand(spark, d):
     e = T.edges(spark, d)
-    seeds = e.filter("dst_chunk is not null").select(F.col("src_chunk").alias("node")).distinct().orderBy("node").limit(3).withColumn("score", 1.0 / F.col("node"))
+    seeds = e.filter("dst_chunk is not null").select(F.col("src_chunk").alias("node")).distinct().orderBy("node").limit(3).withColumn("score", 1.0 / (F.col("node") + 1))
     return graph.expand(e, seeds)
 
 
@@ -594,20 +593,20 @@ def _pair(spark, d):
 _TARGET = f"{_bfs_sql('forwards', 3)}, t as (select node as y from best order by depth desc, node limit 1)"
 
 
-@query(f"with recursive {edges_sql(500)}, {_SEED}, {_TARGET}, p as (select x as node, [x] as path from s union all select f.b, list_append(path, f.b) from p join forwards f on f.a = p.node where len(path) <= 4 and not list_contains(path, f.b)) select path from p where node = (select y from t) order by len(path), path limit 1")
+@query(f"with recursive {EDGES}, {_SEED}, {_TARGET}, p as (select x as node, [x] as path from s union all select f.b, list_append(path, f.b) from p join forwards f on f.a = p.node where len(path) <= 4 and not list_contains(path, f.b)) select path from p where node = (select y from t) order by len(path), path limit 1")
 def g3_shortest_path(spark, d):
     return graph.shortest_path(T.edges(spark, d), *_pair(spark, d), hops=4)
 
 
-@query(f"with recursive {edges_sql(500)}, {_SEED}, {_TARGET}, p as (select x as node, [x] as path from s union all select f.b, list_append(path, f.b) from p join forwards f on f.a = p.node where len(path) <= 4 and not list_contains(path, f.b)) select path from p where node = (select y from t) order by len(path), path limit 10")
+@query(f"with recursive {EDGES}, {_SEED}, {_TARGET}, p as (select x as node, [x] as path from s union all select f.b, list_append(path, f.b) from p join forwards f on f.a = p.node where len(path) <= 4 and not list_contains(path, f.b)) select path from p where node = (select y from t) order by len(path), path limit 10")
 def g4_simple_paths(spark, d):
     return graph.simple_paths(T.edges(spark, d), *_pair(spark, d), hops=4)
 
 
-@query(f"with {edges_sql(500)}, seeds as (select distinct src_chunk as seed from edges where src_chunk % 4 = 0), o as (select seed, dst_chunk as node, 'calls' as via from seeds join (select distinct src_chunk, dst_chunk from edges where dst_chunk is not null) on src_chunk = seed union all select seed, src_chunk, 'called_by' from seeds join (select distinct src_chunk, dst_chunk from edges where dst_chunk is not null) on dst_chunk = seed) select seed, node, via from o qualify row_number() over (partition by seed, via order by node) <= 2")
+@query(f"with {EDGES}, seeds as (select distinct src_chunk as seed from edges), o as (select seed, dst_chunk as node, 'calls' as via from seeds join (select distinct src_chunk, dst_chunk from edges where dst_chunk is not null) on src_chunk = seed union all select seed, src_chunk, 'called_by' from seeds join (select distinct src_chunk, dst_chunk from edges where dst_chunk is not null) on dst_chunk = seed) select seed, node, via from o qualify row_number() over (partition by seed, via order by node) <= 2")
 def g6_o3_one_hop(spark, d):
     e = T.edges(spark, d)
-    return graph.one_hop(e, e.filter("src_chunk % 4 = 0").select(F.col("src_chunk").alias("node")).distinct(), 2)
+    return graph.one_hop(e, e.select(F.col("src_chunk").alias("node")).distinct(), 2)
 
 
 NATIONS = "arcs as (select c_nationkey as src, s_nationkey as dst, count(*) as weight from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey where c_nationkey <> s_nationkey group by 1, 2)"
@@ -625,9 +624,15 @@ def g7_a16_pagerank(spark, d):
     return graph.pagerank(arcs, 20).select("node", F.round("rank", 5).alias("rank"))
 
 
-@query(f"with recursive {edges_sql(100)}, w as (select a as node, a as root from both_ways union select both_ways.b, root from w join both_ways on both_ways.a = w.node) select node, min(root) as component from w group by 1")
+def _components_sql(rounds: int) -> str:
+    """Least label of each node and its neighbours, ``rounds`` times: more than the width of the graph."""
+    steps = ", ".join(f"c{k} as materialized (select x.node, least(x.root, min(y.root)) as root from c{k - 1} x join both_ways on a = x.node join c{k - 1} y on y.node = b group by x.node, x.root)" for k in range(1, rounds + 1))
+    return f"c0 as (select distinct a as node, a as root from both_ways), {steps}"
+
+
+@query(f"with {EDGES}, {_components_sql(24)} select node, root as component from c24")
 def g8_components(spark, d):
-    return graph.connected_components(T.edges(spark, d, 100))
+    return graph.connected_components(T.edges(spark, d))
 
 
 # --- ledger ------------------------------------------------------------------------------------------

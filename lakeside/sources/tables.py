@@ -31,9 +31,9 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("chunk_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("file"), F.col("p_type").alias("kind"), F.col("p_size").alias("line"))
 
 
-def edges(spark: SparkSession, sf_dir: str, orders: int = 500) -> DataFrame:
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Consecutive parts of an order call each other; each seventh target is unresolved."""
-    l = read(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") < orders).select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     a, b = l.alias("a"), l.alias("b")
     arcs = a.join(b, F.expr("a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber and a.l_partkey <> b.l_partkey")).select(F.col("a.l_partkey").alias("src_chunk"), F.col("b.l_partkey").alias("dst")).distinct()
     names = symbols(spark, sf_dir).select(F.col("id").alias("dst"), F.col("name").alias("dst_name"))
