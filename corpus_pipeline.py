@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, as a table of documents, and returns such a
 table (the last one the pieces of packed sequences).
+
+Results: decisions go by doc_id.  Rows that share one, and all rows without one, stay
+together when one of them is to stay.  Null, blank and very short texts fail the quality
+rules; an empty table stays empty; columns beyond those of documents are carried along.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from lakeside.llm.common import table, written
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids, "doc_id", "left_semi").select(docs.columns)
+    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.expr("doc_id <=> _kept_id"), "left_semi").select(docs.columns)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +31,8 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays."""
-    return _only(docs, ngram_join.similar_documents(docs).filter("doc_id = component_id").select("doc_id"))
+    """The smallest doc_id of each group of near duplicates stays; rows without one are in no group."""
+    return _only(docs, ngram_join.similar_documents(docs).filter("doc_id is null or doc_id = component_id").select("doc_id"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
