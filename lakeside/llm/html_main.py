@@ -7,9 +7,11 @@ ones with few are bad, short ones stay undecided.  Pass 2 gives an undecided blo
 label of its nearest decided neighbours on both sides (good if either of equally near
 ones is good; beside the page's edge it is bad).
 
-A page that marks its main part (article, main, or an element named as content) says more
-than densities do: outside it all is bad, and inside it a block is bad only by place or by
-links, and otherwise good.
+Both passes go over all blocks.  A main part that the page marks (article, main, or an
+element named as content) is evidence when it holds at least half of the text that pass 1
+finds good or nearly so: inside it a block is then bad only by place or by links, and
+otherwise good; outside it a short block is good only between two good ones.  A marked
+part with less (a teaser, a card) changes nothing.
 
 Results: null and empty pages have an empty text; unclosed tags end with their parent;
 every row keeps its own result.
@@ -177,9 +179,11 @@ def first_pass(text: str, in_links: int, bad: bool, main: bool, heading: bool, s
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
-    if any(m and not b for _, _, b, m, _ in blocks):
-        blocks = [x for x in blocks if x[3] and not x[2]]
-    label = [first_pass(*b) for b in blocks]
+    label = [first_pass(text, links, bad, False, heading) for text, links, bad, _, heading in blocks]
+    rich = [len(b[0]) * (x in ("good", "near")) for b, x in zip(blocks, label, strict=True)]
+    marked = any(b[3] and not b[2] for b in blocks) and 2 * sum(n for b, n in zip(blocks, rich, strict=True) if b[3]) >= sum(rich)
+    if marked:
+        label = [first_pass(*b) if b[3] else x for b, x in zip(blocks, label, strict=True)]
 
     def neighbour(i: int, step: int, skip: tuple[str, ...]) -> tuple[int, str]:
         j = i + step
@@ -191,7 +195,9 @@ def main_text(page: str | None) -> str:
     for i, x in enumerate(label):
         if x == "short":
             (da, a), (db, b) = neighbour(i, -1, ("short", "near")), neighbour(i, 1, ("short", "near"))
-            if blocks[i][4]:  # a heading goes with what it heads
+            if marked and not blocks[i][3]:
+                final[i] = "good" if a == b == "good" else "bad"
+            elif blocks[i][4]:  # a heading goes with what it heads
                 final[i] = b if b == "good" else a if da == 1 else "bad"
             else:
                 final[i] = a if a == b else "bad" if "edge" in (a, b) else "good" if da == db else a if da < db else b

@@ -124,6 +124,15 @@ def test_html_main(spark):
     assert sorted(len(r.text) for r in html_main.extract(df).collect())[:2] == [0, 0]
 
 
+def test_html_marked_part_is_evidence():
+    long = "The cat is in the house and it was on the mat for a day with all of us. " * 4
+    teaser = "Read of the day in our town and what it was for us all to be there then."
+    card = f"<body><div>Menu</div><article class=card><p>{teaser}</p></article><div>{long}</div><div>Said so.</div><div>{long}</div><footer>x</footer></body>"
+    assert html_main.main_text(card) == "\n".join([teaser, long.strip(), "Said so.", long.strip()])
+    outside = f"<body><div>Menu</div><article><p>{long}</p><p>{long}</p></article><div>{long}</div><div>Tags</div><footer>x</footer></body>"
+    assert html_main.main_text(outside) == "\n".join([long.strip()] * 3)
+
+
 def test_ann_recall_and_odd_rows(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     odd = spark.createDataFrame([(-20, None), (-40, [0.0] * 64), (-60, [float("nan")] * 64), (-80, [1.0]), (-100, [None] * 64)], "vec_id long, embedding array<float>")
