@@ -48,6 +48,7 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, scope: DataFrame, qualif
     """
     own = F.coalesce(F.col("qualifier"), F.lit("")).isin("", "self", "cls", "this", "super")
     unique = symbols.groupBy("name").agg(F.count_distinct("file").alias("n_files"))
+    symbols = symbols.groupBy("name", "file").agg(F.min_by("chunk_id", "id").alias("chunk_id"), F.min("id").alias("id"))  # ranks go by name and file
     cand = edges.alias("e").join(symbols.alias("s"), F.expr("e.dst_name = s.name")).join(unique.alias("u"), F.expr("u.name = s.name")).join(scope.withColumn("seen", F.lit(True)).alias("i"), F.expr("i.file = e.file and i.imported = s.file"), "left")
     rank = F.when(F.expr("e.file = s.file"), 1).when(F.col("seen"), 2).when(F.col("n_files") == 1, 3)
     best = cand.filter(own).select("edge_id", "s.chunk_id", F.struct(rank.alias("rank"), F.col("s.id").alias("id")).alias("key")).filter("key.rank is not null")
@@ -60,6 +61,7 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, scope: DataFrame, qualif
 
 def resolve_any(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """The looser rule: any symbol of the name, same file first, then the smallest chunk."""
+    symbols = symbols.groupBy("name", "file").agg(F.min("chunk_id").alias("chunk_id"))
     cand = edges.alias("e").join(symbols.alias("s"), F.expr("e.dst_name = s.name"), "left")
     key = F.struct(F.expr("e.file <> s.file").alias("other"), F.col("s.chunk_id").alias("c"))
     return cand.groupBy("edge_id").agg(F.min_by("s.chunk_id", key).alias("dst_chunk"))

@@ -292,6 +292,28 @@ def y9_resolve_any(spark, d):
     return lookup.resolve_any(e, s)
 
 
+RESOLVE_NAMES = f"{SYMBOLS}, e as (select a.id as edge_id, a.file, b.name as dst_name from symbols a left join symbols b on b.id = a.id + 1), scope as (select distinct a.file, b.file as imported from symbols a join symbols b on a.id + 1 = b.id and a.line = b.line), u as (select name, count(distinct file) as n from symbols group by 1), cand as (select e.edge_id, s.chunk_id, s.id, case when e.file = s.file then 1 when i.file is not null then 2 when u.n = 1 then 3 end as r from e join symbols s on s.name = e.dst_name join u on u.name = s.name left join scope i on i.file = e.file and i.imported = s.file)"
+
+
+def _named_inputs(spark, d):
+    """An edge of every part to the next part's name, which all parts of that name define."""
+    _, _, scope = _resolve_inputs(spark, d)
+    s = T.symbols(spark, d)
+    e = s.alias("a").join(s.alias("b"), F.expr("b.id = a.id + 1"), "left").select(F.col("a.id").alias("edge_id"), F.col("a.file").alias("file"), F.col("b.name").alias("dst_name"), F.lit(None).cast("string").alias("qualifier"))
+    return e, s, scope
+
+
+@query(f"with {RESOLVE_NAMES} select e.edge_id, c.chunk_id as dst_chunk from e left join (select edge_id, arg_min(chunk_id, r * 1000000000000 + id) as chunk_id from cand where r is not null group by 1) c on c.edge_id = e.edge_id")
+def j5_j6_resolve_names(spark, d):
+    return lookup.resolve_edges(*_named_inputs(spark, d))
+
+
+@query(f"with {RESOLVE_NAMES} select e.edge_id, arg_min(s.chunk_id, case when e.file <> s.file then 1000000000000 else 0 end + s.chunk_id) as dst_chunk from e left join symbols s on s.name = e.dst_name group by 1")
+def y9_resolve_any_name(spark, d):
+    e, s, _ = _named_inputs(spark, d)
+    return lookup.resolve_any(e, s)
+
+
 @query(f"with {EDGES}, s as (select chunk_id, name, id % 3 = 0 as concrete, id % 3 = 1 as abstract from symbols), e as (select *, case when kind = 'calls' then 'implements' else 'extends' end as k from edges) select e.src_chunk, e.dst_name, case when k = 'implements' and concrete then 'extends' when k = 'extends' and abstract then 'implements' else k end as kind from e left join s on s.chunk_id = e.dst_chunk and s.name = e.dst_name")
 def j8_relabel_bases(spark, d):
     s = T.symbols(spark, d).withColumn("kind", F.when(F.col("id") % 3 == 0, "class").when(F.col("id") % 3 == 1, "protocol").otherwise("function"))

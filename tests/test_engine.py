@@ -23,6 +23,22 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert compare.spark_rows(df) == rows
 
 
+def test_names_resolve_among_all_definitions(spark, sf, duck):
+    parts = duck.execute("select p_partkey, p_name, p_brand, p_size from part").fetchall()
+    size_file = {i: (size, file) for i, _, file, size in parts}
+    scope = {(file, size_file[i + 1][1]) for i, _, file, size in parts if i + 1 in size_file and size_file[i + 1][0] == size}
+    name_of = {i: n for i, n, _, _ in parts}
+    best, loose = {}, {}
+    for edge, _, file, _ in parts:
+        name = name_of.get(edge + 1)
+        defs = [(i, f) for i, n, f, _ in parts if n == name]
+        only = len({f for _, f in defs}) == 1
+        ranked = [(1 if f == file else 2 if (file, f) in scope else 3, i) for i, f in defs if f == file or (file, f) in scope or only]
+        best[edge], loose[edge] = min(ranked, default=(0, None))[1], min(((f != file, i) for i, f in defs), default=(0, None))[1]
+    assert {r.edge_id: r.dst_chunk for r in engine.QUERIES["j5_j6_resolve_names"](spark, sf).collect()} == best
+    assert {r.edge_id: r.dst_chunk for r in engine.QUERIES["y9_resolve_any_name"](spark, sf).collect()} == loose
+
+
 def test_trace_and_diff():
     t = 'File "src/x.py", line 42, in run\n  at go (web/a.ts:10:5)\nlib/b.rs:7 oops'
     assert analysis.parse_trace(t) == [("src/x.py", 42, "run"), ("web/a.ts", 10, "go"), ("lib/b.rs", 7, None)]
