@@ -94,6 +94,12 @@ def s5_s12_s14_strings(spark, d):
     return T.read(spark, d, "documents").select("doc_id", X.trunc_head(t, 40).alias("head"), X.trunc_tail(t, 40).alias("tail"), X.est_tokens(t).alias("tokens"), X.normalize_query(F.left(t, F.lit(60))).alias("norm"))
 
 
+@query("with n as (select doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as norm from documents) select doc_id, md5(norm) as norm_md5, length(norm) as n from n")
+def s14_normalize_text(spark, d):
+    norm = X.normalize_query(F.col("text"))
+    return T.read(spark, d, "documents").select("doc_id", F.md5(norm.cast("binary")).alias("norm_md5"), F.length(norm).cast("long").alias("n"))
+
+
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k, round(sqrt(abs(value)), 6) as root, cast(ceil(value) as bigint) as up, greatest(value, 50) as most, case event_type when 'click' then 1 else 0 end as is_click, sha256(event_type) as sha from events")
 def s1_s6_s8_s9_scalars(spark, d):
     return T.read(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.round(F.sqrt(F.abs("value")), 6).alias("root"), F.ceil("value").alias("up"), F.greatest(F.col("value"), F.lit(50.0)).alias("most"), F.when(F.col("event_type") == "click", 1).otherwise(0).alias("is_click"), F.sha2(F.col("event_type").cast("binary"), 256).alias("sha"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import compare
 import pytest
 
@@ -23,6 +26,12 @@ def test_query_equals_sql(spark, sf, duck, name):
     assert compare.spark_rows(df) == rows
 
 
+def test_whole_texts_are_normalized(spark, sf, duck):
+    norm = {i: re.sub("[ \\t\\n\\x0b\\f\\r]+", " ", t.lower()).strip(" ") for i, t in duck.execute("select doc_id, text from documents where text is not null").fetchall()}
+    got = {r.doc_id: (r.norm_md5, r.n) for r in engine.QUERIES["s14_normalize_text"](spark, sf).filter("n is not null").collect()}
+    assert got == {i: (hashlib.md5(t.encode()).hexdigest(), len(t)) for i, t in norm.items()} and max(map(len, norm.values())) > 60
+
+
 def test_names_resolve_among_all_definitions(spark, sf, duck):
     parts = duck.execute("select p_partkey, p_name, p_brand, p_size from part").fetchall()
     size_file = {i: (size, file) for i, _, file, size in parts}
