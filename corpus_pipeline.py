@@ -3,8 +3,11 @@
 Each stage takes what its predecessor kept, as a table of documents, and returns such a
 table (the last one the pieces of packed sequences).
 
-Results: decisions go by doc_id.  Rows that share one, and all rows without one, stay
-together when one of them is to stay.  Null, blank and very short texts fail the quality
+Results: verdicts of the rules and the classifier go by row (doc_id, text, lang and source,
+by their hash).  In the n-gram join and suffix dedup a row without a doc_id stands for
+itself: of equal texts among such rows one stays, and its key there is a hash of the text
+beyond all doc_ids (2 ** 62 and more).  Rows that share a doc_id are one document in both: they
+stay or go together and are not cut against each other.  Null, blank and very short texts fail the quality
 rules; an empty table stays empty; columns beyond those of documents are carried along.
 """
 
@@ -18,26 +21,42 @@ from lakeside.llm import ngram_join, packing, quality_gam, quality_rules, suffix
 from lakeside.llm.common import table, written
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_kept_id")), F.expr("doc_id <=> _kept_id"), "left_semi").select(docs.columns)
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    return docs.join(keys.select(F.col("_key").alias("_kept")), F.expr("_key = _kept"), "left_semi").drop("_key")
+
+
+def _by_row(docs: DataFrame) -> DataFrame:
+    """A key of all that a row's verdict depends on; rows that share it get equal verdicts."""
+    parts = ("doc_id", "text", "lang", "source")
+    return docs.withColumn("_key", F.xxhash64(*parts, *(F.col(c).isNull() for c in parts)))
+
+
+def _by_document(docs: DataFrame) -> DataFrame:
+    """The doc_id, or a key of the text of a row without one."""
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules.judge(docs).filter("kept").select("doc_id"))
+    docs = _by_row(docs)
+    return _only(docs, quality_rules.judge(docs, id_col="_key").filter("kept").selectExpr("doc_id as _key"))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_gam.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select("doc_id"))
+    docs = _by_row(docs)
+    return _only(docs, quality_gam.classify(docs, table(spark, sf_dir, "labels"), carry=("_key",)).filter("predicted = 1"))
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates stays; rows without one are in no group."""
-    return _only(docs, ngram_join.similar_documents(docs).filter("doc_id is null or doc_id = component_id").select("doc_id"))
+    """The smallest doc_id of each group of near duplicates stays; without one, a row of the group does."""
+    lone, worded = docs.filter("doc_id is null"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    docs = docs.filter("doc_id is not null").unionByName(lone.filter(~worded)).unionByName(lone.filter(worded).dropDuplicates(["text"]))
+    docs = _by_document(docs)
+    return _only(docs, ngram_join.similar_documents(docs, id_col="_key").filter("doc_id = component_id").selectExpr("doc_id as _key"))
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated spans; a character cut by a span's end goes whole."""
-    cut = suffix_dedup.repeated_spans(docs, carry=tuple(docs.columns))
+    cut = suffix_dedup.repeated_spans(_by_document(docs), id_col="_key", carry=tuple(docs.columns))
     text = F.expr("cast(kept as string)")
     repaired = cut.select("row", F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit(""))).alias("text"))
     new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}

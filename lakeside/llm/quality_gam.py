@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, trim, written
+from .common import trim, written
 from .hashing import Buffer
 from .text_counts import counts
 
@@ -131,8 +131,9 @@ class Gam:
         return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
-def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ``features`` (array of double) of every row."""
+def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``features`` (array of double) and the columns ``carry`` of every row."""
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +141,10 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for lo, hi in buf.blocks(1 << 20):
                 x = features_of(buf.part(lo, hi))
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), flat], ["doc_id", "features"])
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), flat, *(c.slice(lo, hi - lo) for c in batch.columns[2:])], ["doc_id", "features", *carry])
         trim()
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, features array<double>")
+    return base.mapInArrow(run, ", ".join(["doc_id long, features array<double>", *(f"{c} {base.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -161,19 +162,21 @@ def fit(features: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Ga
 
 
 def scored(features: DataFrame, model: Gam) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+    """doc_id, held_out, score, predicted and what ``features`` carries."""
+    carry = features.columns[2:]
     sent = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, len(FEATURES))
-                yield pa.record_batch([batch.column(0), pa.array(sent.value.score(x))], ["doc_id", "score"])
+                yield pa.record_batch([batch.column(0), pa.array(sent.value.score(x)), *batch.columns[2:]], ["doc_id", "score", *carry])
 
-    return features.mapInArrow(run, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    ddl = ", ".join(["doc_id long, score double", *(f"{c} {features.schema[c].dataType.simpleString()}" for c in carry)])
+    return features.mapInArrow(run, ddl).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *carry)
 
 
-def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
-    features = written(text_features(docs))
+def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the columns ``carry`` of every row."""
+    features = written(text_features(docs, carry=carry))
     return scored(features, fit(features, labels, sample_rows))

@@ -65,3 +65,16 @@ def test_packing_stage(spark, sf, docs):
     assert {r.doc_id for r in rows} == {r.doc_id for r in docs.collect()}
     for doc in (2, 3):
         assert [(r.start, r.length, r.doc_tokens) for r in rows if r.doc_id == doc] == [(0, 1, 1)]
+
+
+def test_verdicts_and_copies_without_ids(spark, sf):
+    shared = prose(98, 30)
+    texts = [(None, prose(1, 60)), (None, prose(1, 60)), (None, "short"), (None, prose(2, 40) + " " + shared), (None, prose(3, 40) + " " + shared), (None, ""), (None, None), (5, prose(5, 60)), (5, "short"), (None, prose(5, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t), True, "r", 0.0, 0, 0) for i, t in texts], COLUMNS).repartition(3)
+    ruled = corpus_pipeline.quality_rules_stage(spark, docs, sf).collect()
+    assert len(ruled) == 6 and all(r.text and len(r.text) > 100 for r in ruled)
+    joined = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_join_stage(spark, docs, sf).collect()]
+    # the first copies the second, the third and the last copy rows of document 5; null and empty texts are in no group
+    assert sorted(joined, key=repr) == sorted([texts[1], *texts[3:9]], key=repr)
+    cut = [r.text for r in corpus_pipeline.suffix_dedup_stage(spark, docs.filter(f"text like '%{shared}'"), sf).collect()]
+    assert sum(t.endswith(shared) for t in cut) == 1 and len(cut) == 2
