@@ -2,8 +2,9 @@
 
 Pass 1 cuts a page into blocks at block-level tags and judges each on its own: where it
 stands (navigation, notices, adverts, forms, comments and the like are bad), then length,
-density of stop words and density of links.  Long blocks rich in stop words are good, long
-ones with few are bad, short ones stay undecided.  Pass 2 gives an undecided block the
+density of stop words and density of links.  Long blocks rich in stop words are good, short
+ones and those with few stay undecided; if no block of a page is rich in them (other
+languages), length and density of links decide.  Pass 2 gives an undecided block the
 label of its nearest decided neighbours on both sides (good if either of equally near
 ones is good; beside the page's edge it is bad).
 
@@ -160,7 +161,7 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool, bool]]:
 
 
 def first_pass(text: str, in_links: int, bad: bool, main: bool, heading: bool, short: int = 70, long: int = 200, low: float = 0.08, high: float = 0.2, max_links: float = 0.5) -> str:
-    """good, near (as good, to be confirmed), bad or short."""
+    """good, near (as good, to be confirmed), bad, short, or weak and long (with few stop words, undecided)."""
     if bad:
         return "bad"
     density = in_links / max(len(text), 1)
@@ -174,12 +175,14 @@ def first_pass(text: str, in_links: int, bad: bool, main: bool, heading: bool, s
     stop = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
     if stop >= high:
         return "good" if len(text) > long else "near"
-    return "near" if stop >= low else "bad"
+    return "near" if stop >= low else "long" if len(text) > long else "weak"
 
 
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     label = [first_pass(text, links, bad, False, heading) for text, links, bad, _, heading in blocks]
+    if not any(x in ("good", "near") for x in label):
+        label = [{"long": "good", "weak": "near"}.get(x, x) for x in label]
     rich = [len(b[0]) * (x in ("good", "near")) for b, x in zip(blocks, label, strict=True)]
     marked = any(b[3] and not b[2] for b in blocks) and 2 * sum(n for b, n in zip(blocks, rich, strict=True) if b[3]) >= sum(rich)
     if marked:
@@ -191,6 +194,7 @@ def main_text(page: str | None) -> str:
             j += step
         return (abs(j - i), label[j]) if 0 <= j < len(label) else (0, "edge")
 
+    label = ["short" if x in ("weak", "long") else x for x in label]
     final = list(label)
     for i, x in enumerate(label):
         if x == "short":

@@ -133,6 +133,14 @@ def test_html_marked_part_is_evidence():
     assert html_main.main_text(outside) == "\n".join([long.strip()] * 3)
 
 
+def test_html_few_stop_words_are_undecided():
+    finnish = "Kissa istui talossa koko aamun ja katseli ikkunasta sadetta kunnes aurinko paistoi taas pihalle. " * 3
+    assert html_main.main_text(f"<body><div>Valikko</div><div>{finnish}</div><div>{finnish}</div><footer>x</footer></body>") == "\n".join([finnish.strip()] * 2)
+    long = "The cat is in the house and it was on the mat for a day with all of us. " * 4
+    table = "Oslo 12, Bergen 14, Trondheim 9, Stavanger 13, Drammen 11, Fredrikstad 12, Kristiansand 14, Sandnes 13"
+    assert html_main.main_text(f"<body><div>{long}</div><pre>{table}</pre><div>{long}</div></body>") == "\n".join([long.strip(), table, long.strip()])
+
+
 def test_ann_recall_and_odd_rows(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
     odd = spark.createDataFrame([(-20, None), (-40, [0.0] * 64), (-60, [float("nan")] * 64), (-80, [1.0]), (-100, [None] * 64)], "vec_id long, embedding array<float>")
