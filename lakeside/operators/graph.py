@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Checkpointed where the session has a shared folder for it."""
@@ -136,6 +138,21 @@ def pagerank(arcs: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance
     return ranks.select("node", "rank")
 
 
+def normalized(ranks: DataFrame) -> DataFrame:
+    """node, rank as its share of the span between the least and the greatest rank; 0 where all are equal."""
+    span = ranks.agg(F.min("rank").alias("least"), F.max("rank").alias("most"))
+    return ranks.crossJoin(span).select("node", F.when(F.expr("most > least"), F.expr("(rank - least) / (most - least)")).otherwise(0.0).alias("rank"))  # one row
+
+
+def communities(components: DataFrame, paths: DataFrame, top: int = 8) -> DataFrame:
+    """component, size, label of the largest: the commonest top folder of their distinct files (node, path), smaller name first."""
+    sizes = components.groupBy("component").agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("size"), "component").limit(top)
+    files = components.join(sizes, "component", "left_semi").join(paths.filter("path <> ''"), "node").select("component", "path").distinct()
+    hist = files.groupBy("component", X.top_dir(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"))
+    label = hist.groupBy("component").agg(F.min_by("dir", F.struct(-F.col("n"), "dir")).alias("label"))
+    return sizes.join(label, "component", "left").select("component", "size", X.trunc_head(F.coalesce("label", F.lit("?")), 28).alias("label"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) over resolved edges, by large-star and small-star rounds."""
     e = edges.filter("dst_chunk is not null").select(F.greatest("src_chunk", "dst_chunk").alias("u"), F.least("src_chunk", "dst_chunk").alias("v")).filter("u <> v").distinct()

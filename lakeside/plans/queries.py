@@ -645,11 +645,20 @@ def _pagerank_sql(rounds: int) -> str:
     return f"{NATIONS}, nodes as (select src as node from arcs union select dst from arcs), t as (select cast(count(*) as double) as c from nodes), o as (select src, sum(weight) as total from arcs group by 1), sh as (select a.src, a.dst, a.weight / o.total as share from arcs a join o on o.src = a.src), r0 as (select node, 1 / t.c as rank from nodes cross join t), {steps}"
 
 
-@query(f"with {_pagerank_sql(12)} select node, round(rank, 5) as rank from r12")
-def g7_a16_pagerank(spark, d):
+def _nation_ranks(spark, d):
     c, o, l, s = (T.read(spark, d, n) for n in ("customer", "orders", "lineitem", "supplier"))
     arcs = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(s, l["l_suppkey"] == s["s_suppkey"]).groupBy(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).agg(F.count(F.lit(1)).alias("weight"))
-    return graph.pagerank(arcs, 20).select("node", F.round("rank", 5).alias("rank"))
+    return graph.pagerank(arcs, 20)
+
+
+@query(f"with {_pagerank_sql(12)} select node, round(rank, 5) as rank from r12")
+def g7_a16_pagerank(spark, d):
+    return _nation_ranks(spark, d).select("node", F.round("rank", 5).alias("rank"))
+
+
+@query(f"with {_pagerank_sql(12)} select node, round(case when max(rank) over () > min(rank) over () then (rank - min(rank) over ()) / (max(rank) over () - min(rank) over ()) else 0 end, 4) as rank from r12")
+def a16_normalized_pagerank(spark, d):
+    return graph.normalized(_nation_ranks(spark, d)).select("node", F.round("rank", 4).alias("rank"))
 
 
 def _components_sql(rounds: int) -> str:
@@ -663,6 +672,12 @@ def g8_components(spark, d):
     return graph.connected_components(T.edges(spark, d))
 
 
+@query(f"with {EDGES}, {_components_sql(24)}, paths as (select chunk_id, replace(kind, ' ', '/') || '/' || file as path from symbols), sizes as (select root, count(*) as size from c24 group by 1 order by size desc, root limit 8), f as (select distinct root, path from c24 join paths on chunk_id = node where root in (select root from sizes)), h as (select root, string_split(path, '/')[1] as dir, count(*) as n from f group by 1, 2), labels as (select root, dir from h qualify row_number() over (partition by root order by n desc, dir) = 1) select s.root as component, size, dir as label from sizes s join labels on labels.root = s.root")
+def g8_communities(spark, d):
+    paths = T.symbols(spark, d).select(F.col("chunk_id").alias("node"), F.concat(F.replace("kind", F.lit(" "), F.lit("/")), F.lit("/"), "file").alias("path"))
+    return graph.communities(graph.connected_components(T.edges(spark, d)), paths)
+
+
 # --- ledger ------------------------------------------------------------------------------------------
 @query(f"with {RECORDS} select id, kind from records qualify row_number() over (partition by kind order by id desc) <= case kind when 'user' then 200 when 'assistant' then 100 else 20 end")
 def l1_quota(spark, d):

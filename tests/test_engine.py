@@ -7,8 +7,9 @@ import re
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
-from lakeside.operators import analysis
+from lakeside.operators import analysis, graph
 from lakeside.plans import queries as engine
 from lakeside.streaming import watch
 
@@ -48,6 +49,16 @@ def test_names_resolve_among_all_definitions(spark, sf, duck):
     assert {r.edge_id: r.dst_chunk for r in engine.QUERIES["y9_resolve_any_name"](spark, sf).collect()} == loose
 
 
+def test_normalized_ranks_and_communities(spark):
+    ranks = spark.createDataFrame([("a", 0.1), ("b", 0.3), ("c", 0.5)], "node string, rank double")
+    assert {r.node: round(r["rank"], 6) for r in graph.normalized(ranks).collect()} == {"a": 0.0, "b": 0.5, "c": 1.0}
+    assert {r["rank"] for r in graph.normalized(ranks.withColumn("rank", F.lit(0.2))).collect()} == {0.0}
+    components = spark.createDataFrame([(i, c) for c in range(10) for i in range(100 * c, 100 * c + 2 + c)], "node long, component long")
+    paths = spark.createDataFrame([(900, "b/x"), (901, "b/x"), (902, "b/x"), (903, "a/y"), (904, "c/z"), (905, "c/w"), (800, "b/1"), (801, "a/1")], "node long, path string")
+    got = {r.component: (r["size"], r.label) for r in graph.communities(components, paths).collect()}
+    assert got == {c: (2 + c, {9: "c", 8: "a"}.get(c, "?")) for c in range(2, 10)}
+
+
 def test_trace_and_diff():
     t = 'File "src/x.py", line 42, in run\n  at go (web/a.ts:10:5)\nlib/b.rs:7 oops'
     assert analysis.parse_trace(t) == [("src/x.py", 42, "run"), ("web/a.ts", 10, "go"), ("lib/b.rs", 7, None)]
