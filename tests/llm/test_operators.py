@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -122,6 +124,80 @@ def test_html_main(spark):
     assert html_main.main_text(plain) == "\n".join([long.strip(), "Short one.", long.strip()])
     df = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", PAGE), (3, "u", PAGE)], "page_id long, url string, html string")
     assert sorted(len(r.text) for r in html_main.extract(df).collect())[:2] == [0, 0]
+    assert html_main.extract(df.limit(0)).count() == 0
+
+
+class Article(HTMLParser):
+    """Blocks of text inside article, by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks, self.text = False, [], []
+
+    def flush(self):
+        words = "".join(self.text).split()
+        self.text = []
+        if words and self.inside:
+            self.blocks.append(" ".join(words))
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("p", "h1", "ul", "li", "div", "article"):
+            self.flush()
+            self.inside = self.inside or tag == "article"
+        elif tag == "br":
+            self.text.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("p", "h1", "ul", "li", "div", "article"):
+            self.flush()
+            self.inside = self.inside and tag != "article"
+
+    def handle_data(self, data):
+        self.text.append(data)
+
+
+def article_of(page):
+    a = Article()
+    a.feed(page)
+    return "\n".join(a.blocks)
+
+
+def test_html_equals_the_articles_of_the_pages(spark, sf):
+    """All pages of the table have one article; without its mark, or any, densities and neighbours find it."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("text", F.lit("other")).withColumn("n_chars", F.lit(0))
+    html_of = {r.page_id: r.html for r in pages.collect()}
+    got = html_main.extract(pages).collect()
+    assert len(got) == len(html_of) and all(r.text == article_of(html_of[r.page_id]) for r in got)
+    bare = {i: re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|footer|nav|main|aside|header)\b", r"<\1div", h)) for i, h in html_of.items()}
+    texts = {i: html_main.main_text(h) for i, h in bare.items()}
+    assert all(set(article_of(h).split("\n")) <= set(texts[i].split("\n")) for i, h in html_of.items())
+    assert sum(texts[i] == article_of(h) for i, h in html_of.items()) >= 0.9 * len(html_of)
+    assert html_main.share_of_reasons(list(html_of.values()))["density"] > 0.5 * sum(map(len, texts.values()))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>Short page.</p>", "Short page."),
+        ("<p>" + "这是一个测试页面内容" * 50 + "</p>", "这是一个测试页面内容" * 50),
+        ("<article><p>The cat is in the house and it was on the mat.</p><section class='search-results-study'><p>Findings of the study.</p></section><section class='related-work'><p>Others too.</p></section></article>", "The cat is in the house and it was on the mat.\nFindings of the study.\nOthers too."),
+        ("<div class='post-notice-board'><p>The board is in the house and it was on the mat for a day with all of us.</p></div>", "The board is in the house and it was on the mat for a day with all of us."),
+        ("<p>A <button>x and on</p><p>The rest of it is here.</p>", "A x and on\nThe rest of it is here."),
+        ("<p>A <button>x</button> and on</p><p>The rest of it is here.</p>", "A and on\nThe rest of it is here."),
+        ("", ""),
+        ("<p></p><!-- a", ""),
+    ],
+)
+def test_html_small_pages(page, text):
+    assert html_main.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<a x='", '<a "<a >" ', "<b>", "<button>", "<i><div></i>", "<svg>", "<", "&amp;", "<p>a "])
+def test_html_is_linear(piece):
+    page = piece * (1_000_000 // len(piece))
+    began = time.time()
+    html_main.main_text(page)
+    assert time.time() - began < 10
 
 
 def test_html_marked_part_is_evidence():
