@@ -48,7 +48,7 @@ c as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text ||
 select conv_id, n_turns, sha256(said) as turns_sha256, length(trained)::bigint as loss_chars, sha256(trained) as loss_sha256, formatted_chars::bigint as formatted_chars, valid from c"""
 
 
-def quality_rules_sql(window: int = 5, reach: int = 4, min_group: int = 50) -> str:
+def quality_rules_sql(window: int = 5, reach: int = 4, prior: int = 50) -> str:
     """The counts by regular expressions; sketches are counts by bucket, so their quantiles are exact integers here too."""
     def count(c: str) -> str:
         return f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))"
@@ -66,7 +66,8 @@ def quality_rules_sql(window: int = 5, reach: int = 4, min_group: int = 50) -> s
 {name} as (select {by}, max(total) as total, min({value}) filter (100 * upto >= 50 * total) as q50, min({value}) filter (100 * upto >= 75 * total) as q75 from {name}_r group by {by})"""
 
     def pick(q: str) -> str:
-        return f"(case when a.total >= {min_group} then a.{q} when b.total >= {min_group} then b.{q} else c.{q} end)"
+        by_lang = f"((b.total * b.{q} + {prior} * c.{q}) // (b.total + {prior}))"
+        return f"((a.total * a.{q} + {prior} * {by_lang}) // (a.total + {prior}))"
 
     return f"""with d as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select doc_id, regexp_extract_all(text, '{WORD}') as words from d),

@@ -4,7 +4,9 @@ Base rules are fixed.  The others compare a document's rates with thresholds tha
 its own language and source: a sketch counts, for each (lang, source) and rate, values by
 bucket (exact below 64, then 64 buckets for each power of two, so within 1/64).  Sketches
 merge by adding counts: in tasks before the shuffle, and from (lang, source) to lang to
-all documents for groups of fewer than ``min_group`` documents.  A threshold lies ``reach``
+all documents.  A group's quantile is averaged with its language's, and that with all
+documents', as if ``prior`` further documents had those: small groups lean on the larger
+one, large groups on themselves, by one formula for every size.  A threshold lies ``reach``
 quartile distances above the upper quartile and never below a floor, so a rate that is
 usual in a group, or that no clean text exceeds, rejects nothing.
 
@@ -66,7 +68,7 @@ def quartiles(merged: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return ranked.groupBy(*keys, "rate").agg(F.max("total").alias("total"), *(F.expr(f"min({value}) filter (where 100 * upto >= {q} * total)").alias(f"q{q}") for q in (50, 75)))
 
 
-def thresholds(sk: DataFrame, reach: int = 4, min_group: int = 50) -> DataFrame:
+def thresholds(sk: DataFrame, reach: int = 4, prior: int = 50) -> DataFrame:
     """lang, source, and of each rate the threshold t_<rate>; coarser sketches are sums of finer ones."""
     fine = quartiles(sk, ("lang", "source"))
     by_lang = quartiles(sk.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n")), ("lang",))
@@ -76,17 +78,18 @@ def thresholds(sk: DataFrame, reach: int = 4, min_group: int = 50) -> DataFrame:
     both = a.join(b, F.expr("a.lang <=> b.lang and a.rate = b.rate")).join(c, F.expr("a.rate = c.rate"))
 
     def pick(q: str) -> str:
-        return f"case when a.total >= {min_group} then a.{q} when b.total >= {min_group} then b.{q} else c.{q} end"
+        by_lang = f"((b.total * b.{q} + {prior} * c.{q}) div (b.total + {prior}))"
+        return f"((a.total * a.{q} + {prior} * {by_lang}) div (a.total + {prior}))"
 
     chosen = both.selectExpr("a.lang", "a.source", "a.rate", f"({pick('q75')}) + {reach} * (({pick('q75')}) - ({pick('q50')})) as t")
     return chosen.withColumn("t", F.greatest("t", floor[F.col("rate")])).groupBy("lang", "source").pivot("rate", list(RATES)).agg(F.max("t")).withColumnsRenamed({r: f"t_{r}" for r in RATES})
 
 
-def judge(docs: DataFrame, reach: int = 4, min_group: int = 50, **columns) -> DataFrame:
+def judge(docs: DataFrame, reach: int = 4, prior: int = 50, **columns) -> DataFrame:
     """doc_id, lang, source, the base counts, rates, base_failed and kept of every row."""
     counted = written(count_words(docs, **columns))
     rated = counted.selectExpr("*", *(f"{sql} as {name}" for name, (sql, _) in RATES.items()), "n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed")
-    t = thresholds(sketch(rated), reach, min_group).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    t = thresholds(sketch(rated), reach, prior).withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     joined = rated.join(t, F.expr("lang <=> t_lang and source <=> t_source"), "left")
     fine = " and ".join(f"{r} <= t_{r}" for r in RATES)
     return joined.withColumn("kept", F.expr(f"not base_failed and ({fine})")).drop("t_lang", "t_source")

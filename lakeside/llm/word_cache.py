@@ -3,8 +3,9 @@
 Where a tokenizer splits texts by a pattern that never joins the two sides of a single
 space, the ids of a text are those of its stretches between spaces, one after the other.
 The library then gets each distinct stretch once, many in a call, and a dictionary gives
-the rest.  Texts with other runs of white space around a space, and all texts of
-tokenizers of other kinds, go to the library whole.
+the rest.  Texts with other runs of white space around a space, texts that hold an added token of the
+tokenizer (the library gives such a token its own id), and all texts of tokenizers of
+other kinds go to the library whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ class WordEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library = Tokenizer.from_file(path)  # as it is, for texts with added tokens
+        self.added = [t["content"] for t in spec.get("added_tokens") or []]
+        self.folded = [a.lower() for a in self.added] if spec.get("normalizer") else []  # normalising must not make one
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.by_words = self._splits_at_spaces(spec.get("pre_tokenizer") or {})
         self.normalize = None
@@ -107,7 +110,23 @@ class WordEncoder:
         for w in signed:
             words[w] = words[w[:-1]] + signs[w[-1]]
 
+    def _has_added(self, text: str) -> bool:
+        return any(a in text for a in self.added) or bool(self.folded) and any(a in text.lower() for a in self.folded)
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if self._has_added(t)]
+        if not whole:
+            return self._encode(texts)
+        rest = set(whole)
+        others = [i for i in range(len(texts)) if i not in rest]
+        out: list[bytes] = [b""] * len(texts)
+        for i, packed in zip(others, self._encode([texts[i] for i in others]), strict=True):
+            out[i] = packed
+        for i, e in zip(whole, self.library.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
+            out[i] = self._pack(e.ids)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self._direct(texts)
         if self.normalize is not None:

@@ -7,6 +7,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -20,7 +21,7 @@ from lakeside.llm import ann, bpe, chat, html_main, ngram_join, packing, quality
 from lakeside.llm.word_cache import WordEncoder
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
-TEXTS = [None, "", " ", "one", LONG, LONG, LONG + " end", "x " * 400, LONG.upper() + "!", "été à Noël — 中文 " * 5, "a" * 300, LONG[:60], "\n\n \t" + LONG + "\n" + LONG, "<|im_end|> \\<| ok", " ".join(f"w{i}" for i in range(3000))]
+TEXTS = [None, "", " ", "one", LONG, LONG, LONG + " end", "x " * 400, LONG.upper() + "!", "été à Noël — 中文 " * 5, "a" * 300, LONG[:60], "hello <|endoftext|> there <|startoftext|>", " ".join(["mot"] * 40_000), "\n\n \t" + LONG + "\n" + LONG, "<|im_end|> \\<| ok", " ".join(f"w{i}" for i in range(3000))]
 
 
 @pytest.fixture(scope="module")
@@ -59,11 +60,10 @@ def test_replay_on_random_strings():
 def test_word_encoder_equals_library(name):
     path = public_tokenizers.path(name)
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     enc = WordEncoder(path, kept=500)
     pool = [chr(c) for c in range(0x180)] + list("̧́가ΩΣσİ　 ..,'") * 3
     rng = random.Random(2)
-    texts = ["".join(rng.choices(pool, k=rng.randint(0, 50))) for _ in range(800)] + [t or "" for t in TEXTS] + ["a  b", "a\n \nb", " a ", "<|endoftext|>", "x \x00 y. z"]
+    texts = ["".join(rng.choices(pool, k=rng.randint(0, 50))) for _ in range(800)] + [t or "" for t in TEXTS] + ["a  b", "a\n \nb", " a ", "<|endoftext|>", "hello <|endoftext|> there", "a <|startoftext|>b", "<|ENDOFTEXT|> x", "x \x00 y. z"]
     got = [np.frombuffer(b, "<u2" if enc.width == 2 else "<u4").tolist() for b in enc.encode(texts)]
     assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
@@ -244,7 +244,8 @@ def test_quality_counts_and_verdicts(docs, none, spark, sf):
         t = r.text or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-        rep = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)} if len(w) < 1000 else set()
+        times = Counter(grams)
+        rep = {i + k for i, g in enumerate(grams) if times[g] > 1 for k in range(5)}
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         g = got[(r.doc_id, len(w))]
         assert (g.word_chars, g.n_symbols, g.n_dup_lines) == (sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)))
@@ -298,7 +299,6 @@ def test_ngram_join_odd_rows(docs, none):
 def test_token_files(docs, none):
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
     manifest, read = token_files.token_output(docs, path, 2, file_bytes=4000)
     rows = sorted(((r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or "") for r in docs.collect()))
     got = sorted(read.collect(), key=lambda r: r.start)
@@ -316,6 +316,37 @@ def test_token_files(docs, none):
     assert token_files.token_output(none, path, 2)[1].count() == 0
 
 
+def test_gam_tables_equal_a_plain_loop():
+    """Scores are the sum of the tables' entries, looked up one by one; a step fits the two best cuts of brute force."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(400, 4)), 1)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] > 0.2) ^ (rng.random(400) < 0.05)).astype(float)
+    m = quality_gam.Gam(bins=8, rounds=30, pairs=3, pair_bins=4).fit(x, y)
+    for row, score in zip(x, m.score(x), strict=True):
+        b = [sum(v >= e for e in edges) for v, edges in zip(row, m.edges, strict=True)]
+        f = m.base + sum(t[k] for t, k in zip(m.tables, b, strict=True)) + sum(t[m.fold[i][b[i]], m.fold[j][b[j]]] for i, j, t in m.pairs)
+        assert abs(score - 1 / (1 + np.exp(-f))) < 1e-9
+    assert np.mean((m.score(x) >= 0.5) == (y == 1)) > 0.8 and len(m.pairs) == 3
+    g, h = rng.normal(size=6), rng.random(6) + 0.5
+
+    def gain(parts):
+        return sum(g[i:j].sum() ** 2 / (h[i:j].sum() + m.ridge) for i, j in parts)
+
+    first = max(range(1, 6), key=lambda c: gain([(0, c), (c, 6)]))
+    cuts = [[(0, c), (c, first), (first, 6)] for c in range(1, first)] + [[(0, first), (first, c), (c, 6)] for c in range(first + 1, 6)]
+    best = max(cuts, key=gain)
+    want = np.concatenate([[g[i:j].sum() / (h[i:j].sum() + m.ridge)] * (j - i) for i, j in best])
+    assert np.allclose(m._tree(g, h), want)
+
+
+def test_classifier_odd_rows(spark, docs):
+    labels = spark.createDataFrame([(1, None, 0), (1, 1, 0), (4, 0, 0), (4, 1, None), (None, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    got = quality_gam.classify(docs.withColumn("score", F.lit("x")).withColumn("features", F.lit(1)), labels).collect()
+    assert len(got) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got)
+    same = {r.score for r in got if r.doc_id == 4}
+    assert len(same) == 1  # repeated rows have one score
+
+
 def test_classifier_held_out(spark, docs, none, sf):
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     got = quality_gam.classify(d, labels).join(labels, "doc_id").filter("held_out").collect()
@@ -325,23 +356,35 @@ def test_classifier_held_out(spark, docs, none, sf):
     assert quality_gam.classify(none, labels).count() == 0
 
 
-def test_packing(docs, none):
+def test_packing(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     lib = Tokenizer.from_file(path)
-    lib.encode_special_tokens = True
-    want = sorted(tuple(lib.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in docs.filter("doc_id is not null and not (doc_id = 4)").collect())
-    out = packing.pack_documents(docs, path, 1, size=64, n_open=2, least_cut=4)
-    rows = out.collect()
-    assert sum(r.length for r in rows) == sum(len(lib.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
-    by_seq, by_doc = {}, {}
-    for r in rows:
-        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
-        by_doc.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
-    for p in by_seq.values():
-        p.sort()
-        assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 64
-    assert len(want) == len([d for d in by_doc if d is not None and d != 4])
-    assert sum(sum(n for _, n in p) < 60 for p in by_seq.values()) <= 1
+    tied = spark.createDataFrame([(None, LONG), (None, LONG), (7, LONG)], "doc_id long, text string")
+    for df in (docs, docs.select("doc_id", "text").unionByName(tied)):
+        want = sorted(((repr(r.doc_id), tuple([*lib.encode(r.text or "", add_special_tokens=False).ids, 1])) for r in df.collect()))
+        rows = packing.pack_documents(df, path, 1, size=64, n_open=2, least_cut=4).collect()
+        by_seq = {}
+        for r in rows:
+            by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        for p in by_seq.values():
+            p.sort()
+            assert [o for o, _ in p] == [sum(n for _, n in p[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 64
+        assert sum(sum(n for _, n in p) < 60 for p in by_seq.values()) <= 1
+        # each document's pieces, and rows that share a doc_id together, hold exactly its ids
+        pieces = {}
+        for r in rows:
+            pieces.setdefault((repr(r.doc_id), r.doc_tokens), []).append((r.start, r.length, r.ids_crc32))
+        need = {}
+        for d, ids in want:
+            need.setdefault((d, len(ids)), []).append(ids)
+        assert pieces.keys() == need.keys()
+        for key, texts in need.items():
+            have = sorted(pieces[key])
+            assert sum(n for _, n, _ in have) == sum(map(len, texts))
+            for start, n, crc in have:
+                assert crc in {zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes()) for ids in texts}
+            if len(texts) == 1:
+                assert [s for s, _, _ in have] == [sum(n for _, n, _ in have[:i]) for i in range(len(have))]
     assert packing.pack_documents(none, path, 1).count() == 0
 
 
