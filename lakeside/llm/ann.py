@@ -4,17 +4,23 @@ A bounded sample of vectors, fitted on the driver, gives coarse centroids and, o
 residuals, one codebook for each group of dimensions.  Every row is indexed: its list is
 its nearest centroid, its code the nearest codeword of each group.  A query visits the
 lists whose centroids have the largest inner product with it; how many is chosen from the
-sample, so that they cover ``coverage`` of its true neighbours.  Scores come from tables of
+sample, so that they cover ``coverage`` of its true neighbours: few where vectors form
+clusters, about half of all where they have no structure.  Scores come from tables of
 inner products between the query and all codewords (asymmetric distances); the best
 ``rerank`` of a shard, with all that tie with the last of them, are scored again exactly
-in double precision.
+in double precision on the vectors as given.
 
-Lists are dealt to shards of about ``shard_rows`` rows, a longer list to several; blocks of
-queries meet shards in separate tasks, and each sends on its best k a query.
+Of equal vectors, only the k + 1 with the smallest ids can be among a query's k nearest, so
+only these are indexed, and equal queries are asked once: large groups of copies cost
+nothing.  Lists are dealt to shards of at most ``shard_rows`` rows, a longer list to several.
+A query goes to the shards with a list that it visits, and only there; rows stay in their
+shard once, in memory, while its queries stream past.  Only a shard that more than
+``shard_queries`` queries visit is held by more than one task.
 
 Results: vectors that are null, zero, of another length than most, or that hold null or
-non-finite components take no part; repeated ids are rows of their own; ties go to the
-smaller id; fewer candidates than k give fewer rows.
+non-finite components take no part; rows equal in id and vector count once, and a row is
+no neighbour of a query with its id; ties go to the smaller id; fewer candidates than k
+give fewer rows, an empty table none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import written
+from .common import trim, written
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -83,20 +90,21 @@ class Index:
         cut = -np.partition(-s, self.n_probe - 1, axis=1)[:, self.n_probe - 1]
         return s >= cut[:, None]
 
-    def search(self, q: np.ndarray, q_ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, ids, scores) of its best k among the rows, which are sorted by id."""
-        visit = self.probes(q)
-        to_list = q @ self.coarse.T
-        flat = codes.astype(np.int64) + np.arange(codes.shape[1]) * 256
+    def search(self, q: np.ndarray, lists: np.ndarray, codes: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, rerank: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of its best k among the rows of visited lists; ``vectors`` as given, ``q`` alike."""
+        q32 = q.astype(np.float32)
+        visit = self.probes(q32)
+        to_list = q32 @ self.coarse.T
+        flat = codes.astype(np.int32) + np.arange(codes.shape[1], dtype=np.int32) * 256
+        tables = np.zeros((len(q), 256 * len(self.books)), np.float32)
+        for m, (g, b) in enumerate(zip(self.groups, self.books, strict=True)):
+            tables[:, 256 * m : 256 * m + len(b)] = q32[:, g] @ b.T
         for i in range(len(q)):
-            table = np.zeros(256 * len(self.books), np.float32)
-            for m, (g, b) in enumerate(zip(self.groups, self.books, strict=True)):
-                table[256 * m : 256 * m + len(b)] = b @ q[i, g]
-            rows = np.flatnonzero(visit[i][lists] & (ids != q_ids[i]))
+            rows = np.flatnonzero(visit[i][lists])
             if not len(rows):
                 continue
-            s = table[flat[rows]].sum(axis=1) + to_list[i][lists[rows]]
             if len(rows) > rerank:
+                s = tables[i].take(flat[rows]).sum(axis=1) + to_list[i][lists[rows]]
                 least = -np.partition(-s, rerank - 1)[rerank - 1]
                 rows = rows[s >= least - 1e-5 * (1 + abs(least))]
             exact = (vectors[rows].astype(np.float64) * q[i].astype(np.float64)).sum(axis=1)
@@ -105,84 +113,127 @@ class Index:
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id and vector (array of float) of the rows that take part."""
-    v = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("vector")).filter("vec_id is not null and size(vector) > 0")
+    """vec_id, vector and the hash (two columns) of that vector, of the rows that take part, each once."""
+    kind = df.schema[vector_col].dataType
+    exact = "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+    v = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(exact).alias("vector")).filter("vec_id is not null and size(vector) > 0")
     v = v.filter("forall(vector, x -> x is not null and not isnan(x) and abs(x) < float('infinity')) and exists(vector, x -> x <> 0)")
     usual = v.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return v.filter(F.size("vector") == (usual["n"] if usual else -1))
+    v = v.filter(F.size("vector") == (usual["n"] if usual else -1))
+    plain = F.transform("vector", lambda x: x + F.lit(0.0).cast(exact[6:-1]))  # -0.0 equals 0.0
+    return v.withColumns({"h1": F.xxhash64(plain), "h2": F.xxhash64(F.lit(20240817), plain)}).groupBy("h1", "h2", "vec_id").agg(F.first("vector").alias("vector"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """One row a vector, in the type given."""
     n = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(n, -1) if n else np.zeros((0, 0), np.float32)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0), np.float32)
 
 
-def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries_where: str = "vec_id % 20 = 0", k: int = 20, rerank: int = 1500, sample_rows: int = 20_000, shard_rows: int = 8192, query_rows: int = 2048, coverage: float = 0.98) -> DataFrame:
+def hashed_sample(df: DataFrame, n_rows: int, wanted: int, *keys: str) -> DataFrame:
+    """The ``wanted`` rows (all, if fewer) with the smallest hash of ``keys``; only about that many are sorted."""
+    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    share = min(1.0, 1.3 * wanted / max(n_rows, 1) + 200 / max(n_rows, 1))
+    return df.withColumn("_h", h).filter(F.col("_h") < int(share * (1 << 40))).orderBy("_h", *keys).limit(wanted).drop("_h")
+
+
+def _shards(sizes: dict[int, int], shard_rows: int) -> tuple[dict[int, int], dict[int, int]]:
+    """First shard and number of shards of each list: runs of short lists share one, a long list has several."""
+    first, parts, shard, room = {}, {}, 0, shard_rows
+    for at, size in sorted(sizes.items()):
+        if size > room and room < shard_rows:
+            shard, room = shard + 1, shard_rows
+        first[at], parts[at] = shard, max(1, math.ceil(size / shard_rows))
+        if parts[at] > 1:
+            shard, room = shard + parts[at], shard_rows
+        else:
+            room -= size
+    return first, parts
+
+
+def nearest_neighbours(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries_where: str = "vec_id % 20 = 0", k: int = 20, rerank: int = 300, sample_rows: int = 20_000, shard_rows: int = 8192, shard_queries: int = 1 << 16, coverage: float = 0.95) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query among all other rows."""
     spark = df.sparkSession
-    vectors = usable(df, id_col, vector_col)
+    vectors = written(usable(df, id_col, vector_col))
+    exact = vectors.schema["vector"].dataType.simpleString()
+    copies = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    rows = vectors.withColumn("rn", F.row_number().over(copies)).filter(F.col("rn") <= k + 1).select("vec_id", "vector")
     n = vectors.count()
-    out_ddl = "query_id long, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows)
-    x = np.array([r[0] for r in sample.select("vector").toLocalIterator()], np.float32)
-    index = Index.fit(x, max(1, min(1024, round(math.sqrt(n)), len(x) // 16)), k=k, coverage=coverage)
+    sample = hashed_sample(vectors, n, sample_rows, "vec_id", "h1").select("vector")
+    x = np.array([r[0] for r in sample.toLocalIterator()], np.float32)
+    index = Index.fit(x, max(1, min(4 * round(math.sqrt(n)), len(x) // 16)), k=k, coverage=coverage)
     sent = spark.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                at, code = sent.value.encode(_matrix(b.column(1)))
+                at, code = sent.value.encode(_matrix(b.column(1)).astype(np.float32))
                 yield pa.record_batch([b.column(0), b.column(1), pa.array(at, pa.int64()), pa.array([c.tobytes() for c in code], pa.binary())], ["vec_id", "vector", "list", "code"])
 
-    indexed = written(vectors.mapInArrow(place, "vec_id long, vector array<float>, list long, code binary"))
-    # lists to shards: a run of short lists shares one, a long list has several
-    sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}
-    first, parts, shard, room = {}, {}, 0, shard_rows
-    for l, size in sorted(sizes.items()):
-        if size > room and room < shard_rows:
-            shard, room = shard + 1, shard_rows
-        first[l], parts[l] = shard, max(1, math.ceil(size / shard_rows))
-        if parts[l] > 1:
-            shard, room = shard + parts[l], shard_rows
-        else:
-            room -= size
-    dealt = spark.createDataFrame([(l, first[l], parts[l]) for l in sizes], "list long, first long, parts long")
-    of_shard: dict[int, list[int]] = {}
-    for l in sizes:
-        for s in range(first[l], first[l] + parts[l]):
-            of_shard.setdefault(s, []).append(l)
-
-    asked = vectors.filter(queries_where)
-    n_blocks = max(1, math.ceil(asked.count() / query_rows))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)))
+    indexed = written(rows.mapInArrow(place, f"vec_id long, vector {exact}, list long, code binary"))
+    sizes = {r["list"]: r["count"] for r in indexed.groupBy("list").count().collect()}  # a row a list, of which the sample bounds the number
+    first, parts = _shards(sizes, shard_rows)
+    dealt = spark.createDataFrame([(at, first[at], parts[at]) for at in sizes], "list long, first long, parts long")
+    at_row = indexed.join(F.broadcast(dealt), "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row of a query for each shard with a list that it visits."""
+        """Each query with the shards that hold a list it visits."""
         for b in batches:
             if b.num_rows:
-                visit = sent.value.probes(_matrix(b.column(1)))
-                for s, lists in of_shard.items():
-                    rows = pa.array(np.flatnonzero(visit[:, lists].any(axis=1)))
-                    t = b.take(rows)
-                    yield pa.record_batch([*t.columns, pa.array(np.full(t.num_rows, s), pa.int64())], ["vec_id", "vector", "block", "shard"])
-
-    routed = asked.mapInArrow(route, "vec_id long, vector array<float>, block long, shard long")
-    rows = indexed.join(dealt, "list").withColumn("shard", F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-
-    def meet(q: pa.Table, c: pa.Table) -> pa.Table:
-        got: list[tuple[np.ndarray, ...]] = []
-        if q.num_rows and c.num_rows:
-            c = c.sort_by("vec_id").combine_chunks()
-            q = q.combine_chunks()
-            codes = np.frombuffer(b"".join(c["code"].to_pylist()), np.uint8).reshape(c.num_rows, -1)
-            q_ids = q["vec_id"].to_numpy()
-            for i, ids, score in sent.value.search(_matrix(q["vector"].combine_chunks()), q_ids, c["list"].to_numpy(), codes, c["vec_id"].to_numpy(), _matrix(c["vector"].combine_chunks()), k, rerank):
-                got.append((np.full(len(ids), q_ids[i]), ids, score))
-        cols = [np.concatenate(x) for x in zip(*got, strict=True)] if got else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
-
-    found = routed.groupBy("shard", "block").cogroup(rows.select("shard", "block", "vec_id", "vector", "list", "code").groupBy("shard", "block")).applyInArrow(meet, out_ddl)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                visit = sent.value.probes(_matrix(b.column(2)).astype(np.float32))
+                to = [sorted({s for at in np.flatnonzero(v).tolist() if at in first for s in range(first[at], first[at] + parts[at])}) for v in visit]
+                yield pa.record_batch([*b.columns, pa.array(to, pa.list_(pa.int64()))], ["h1", "h2", "vector", "shards"])
+
+    queries = vectors.filter(queries_where)
+    asked = queries.groupBy("h1", "h2").agg(F.first("vector").alias("vector"))
+    routed = written(asked.mapInArrow(route, f"h1 long, h2 long, vector {exact}, shards array<long>").select("h1", "h2", "vector", F.explode("shards").alias("shard")))
+    load = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / shard_queries).cast("int").alias("copies"))
+    salted = routed.join(load, "shard").withColumn("copy", F.pmod(F.xxhash64("h1", "h2"), F.col("copies")).cast("int"))
+    held = at_row.join(load, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    left = held.select("shard", "copy", F.lit(False).alias("asks"), F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2"), "vec_id", "vector", "list", "code")
+    right = salted.select("shard", "copy", F.lit(True).alias("asks"), "h1", "h2", F.lit(None).cast("long").alias("vec_id"), "vector", F.lit(None).cast("long").alias("list"), F.lit(None).cast("binary").alias("code"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's rows are gathered, then its queries pass in batches."""
+        names = ["h1", "h2", "vec_id", "score"]
+        now, pieces, ready = None, [], None
+
+        def answer(q: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal ready
+            if ready is None:
+                t = pa.Table.from_batches(pieces).combine_chunks()
+                column = {c: t[c].combine_chunks() for c in ("vec_id", "vector", "list", "code")}
+                codes = np.frombuffer(b"".join(column["code"].to_pylist()), np.uint8).reshape(t.num_rows, -1)
+                ready = (column["list"].to_numpy(), codes, column["vec_id"].to_numpy(), _matrix(column["vector"]))
+            h1, h2 = q["h1"].to_numpy(), q["h2"].to_numpy()
+            got = [(np.full(len(ids), h1[i]), np.full(len(ids), h2[i]), ids, score) for i, ids, score in sent.value.search(_matrix(q["vector"]), *ready, k + 1, rerank)]
+            cols = [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+            return pa.record_batch([pa.array(c) for c in cols], names)
+
+        for b in batches:
+            key = b["shard"].to_numpy() * (1 << 20) + b["copy"].to_numpy()
+            kind = b["asks"].to_numpy(zero_copy_only=False)
+            cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])]) if b.num_rows else []
+            for lo, hi in zip(cut, [*cut[1:], b.num_rows], strict=True):
+                part = b.slice(lo, hi - lo)
+                if key[lo] != now:
+                    now, pieces, ready = key[lo], [], None
+                if not kind[lo]:
+                    pieces.append(part)
+                elif pieces:
+                    for at in range(0, part.num_rows, 512):
+                        yield answer(part.slice(at, 512))
+        trim()
+
+    tasks = left.unionByName(right).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "asks")
+    found = tasks.mapInArrow(meet, "h1 long, h2 long, vec_id long, score double")
+    best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
+    top = found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1)
+    # to every query of a vector, its k + 1 nearest: those may be many, so in 16 parts
+    lists = top.groupBy("h1", "h2").agg(F.collect_list(F.struct("vec_id", "score")).alias("near")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    each = queries.select("h1", "h2", F.col("vec_id").alias("query_id"), F.pmod(F.xxhash64("vec_id"), F.lit(16)).cast("int").alias("salt"))
+    others = F.filter(F.array_sort("near", lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["vec_id"] < b["vec_id"], -1).otherwise(1)), lambda c: c["vec_id"] != F.col("query_id"))
+    ranked = each.join(lists, ["h1", "h2", "salt"]).select("query_id", F.posexplode(F.slice(others, 1, k)).alias("at", "near"))
+    return ranked.select("query_id", (F.col("at") + 1).alias("rank"), "near.vec_id", "near.score")

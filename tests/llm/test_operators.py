@@ -238,6 +238,42 @@ def test_ann_recall_and_odd_rows(spark, sf):
     assert ann.nearest_neighbours(df.limit(0)).count() == 0
 
 
+def test_ann_ties_copies_and_precision(spark):
+    """Everything visited and rescored, so the result is exact: copies, ties, repeated ids, doubles."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(12, 6))
+    rows = [(i, base[i % 12].tolist()) for i in range(240)] + [(i, (base[0] * (1 + i * 1e-12)).tolist()) for i in range(300, 320)]
+    rows += [(40, base[4].tolist()), (40, base[5].tolist()), (60, base[0].tolist())]
+    df = spark.createDataFrame([(i, v, "x", 0) for i, v in rows], "vec_id long, embedding array<double>, vector string, h1 int")
+    got = {}
+    for r in ann.nearest_neighbours(df, coverage=1.0, rerank=1000, shard_rows=7, shard_queries=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    once = {(i, tuple(v)) for i, v in rows}
+    for query in {i for i, _ in rows if i % 20 == 0}:
+        want = []
+        for v in (v for i, v in once if i == query):
+            score = sorted((-float((np.array(w) * np.array(v)).sum()), i) for i, w in once if i != query)
+            want += [(k + 1, i, -s) for k, (s, i) in enumerate(score[:20])]
+        assert sorted(got[query]) == sorted(want)
+
+
+def test_ann_visits_few_lists_of_clusters(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 4000)] + 0.2 * rng.normal(size=(4000, 16))).astype(np.float32)
+    index = ann.Index.fit(x, 120, coverage=0.95)
+    assert index.n_probe < 30
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    hit = 0
+    found = {}
+    for r in ann.nearest_neighbours(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for i in range(0, 4000, 20):
+        s = x.astype(float) @ x[i].astype(float)
+        hit += len(found[i] & set([j for j in np.argsort(-s, kind="stable") if j != i][:20]))
+    assert hit >= 0.9 * 20 * 200
+
+
 def test_quality_counts_and_verdicts(docs, none, spark, sf):
     got = {(r.doc_id, r.n_words): r for r in quality_rules.judge(docs).collect()}
     for r in docs.collect():
