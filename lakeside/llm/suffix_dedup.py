@@ -1,35 +1,38 @@
-"""Removal of byte strings that also start in an earlier document, by induced suffix sorting.
+"""Removal of byte strings that also start in an earlier document, by external induced sorting.
 
-Sorting every suffix of a corpus costs several passes over 8-byte records for each of its
-bytes.  Only prefixes of ``length`` bytes matter here, and most never repeat, so the
-induction runs on what can repeat:
+A tuple for each suffix of a corpus is at least 8 bytes for each of its bytes.  Only prefixes of
+``length`` bytes matter here, and most never repeat, so the induction starts from samples:
 
 1. *Sampled suffixes.*  The suffixes that stand at a local minimum of a hash of their
    first ``grain`` bytes are the sample (as the S* suffixes of induced sorting stand at
    local minima of the alphabet).  Every string of ``length`` bytes holds one at a place
    that its own bytes determine.
-2. *First recursion.*  The sample is named by the hash of its first bytes.  A name that
-   only one document has ends there; the test goes through the cluster's shuffle in
-   sorted runs, each name once a bucket of documents, however often it stands in it.
+2. *Reduction.*  The sample is named by the hash of its first bytes.  A name that only one
+   document has ends there; the test goes through the cluster's shuffle, each name once a
+   bucket of documents, and merges in a queue on disk.
 3. *Suffix tuples.*  Of other samples, (bytes before, bytes after, smallest doc_id) go to
    the shard of their name, each distinct tuple once a bucket of documents.
-4. *Induction.*  A shard sorts its tuples by the bytes after the sample and keeps the
-   common-prefix length of neighbours.  Suffixes one byte to the left are then ordered by
-   (that byte, the order so far), step by step, and each step's common-prefix lengths
-   follow from those before.  Neighbours with ``length`` bytes in common form an
+4. *Induction.*  A shard sorts its tuples by the bytes after the sample in a priority queue
+   of runs on disk, with the common-prefix length of neighbours.  Suffixes one byte to the
+   left are induced from that order: a queue with a bucket for each first byte takes them
+   in the order so far, and common-prefix lengths go with them; so on, level by level, to the
+   leftmost string of a sample.  Neighbours with ``length`` bytes in common form an
    interval, whose smallest doc_id decides for the tuples in it.
 5. Decisions return to their bucket of documents as bit masks.
 
-The queues between the steps are Spark's shuffle files, on disk and restored on loss; a
-bucket and a shard hold a bounded share of the input, so a task's memory does not grow
-with it.  A string that a third of all documents hold is one tuple in each bucket.
+A queue holds ``queue_bytes`` in memory and the rest in scratch files, so a shard may be
+far larger than memory, also where one string that a third of all documents hold fills it
+(it is one tuple a bucket).  Shards grow with the square root of the number of buckets.
+Shuffles between the steps are Spark's and survive lost executors.
 
 Results: null texts count as empty; matches never cross documents; rows that share a
-doc_id never cause each other's removal; rows without a doc_id keep all their bytes.
+doc_id never cause each other's removal; rows without a doc_id keep all their bytes; an
+empty table gives none; other columns are not read, but for those in ``carry``.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buckets_for, trim
+from .external import SortedQueue, induce, scratch_file, tuple_type
 from .hashing import BYTE_VALUES, SHINGLE_FACTORS, Buffer, mix, prefix_sums, window_hashes
 
 NONE = np.iinfo(np.int64).max
@@ -177,65 +181,26 @@ def _tuples(buf: Buffer, ids: np.ndarray, length: int, grain: int, wanted: np.nd
     return (name[lead], ctx[lead], x_low[lead], x_high[lead], least), (which, doc, first, last)
 
 
-def induced(ctx: np.ndarray, name: np.ndarray, x_low: np.ndarray, x_high: np.ndarray, doc: np.ndarray, length: int, width: int) -> np.ndarray:
-    """Bit x of a tuple's mask: its string that starts x bytes before the sample also starts in an earlier document.
+NAME = np.dtype([("name", "<u8"), ("bucket", "<i8"), ("many", "u1")])
 
-    ``ctx`` has ``width`` bytes before each sample and ``length`` from it on.
-    """
-    n = len(name)
-    mask = np.zeros(n, np.uint64)
-    if not n:
-        return mask
-    right = np.ascontiguousarray(ctx[:, width:])
-    # the sample's suffixes in order, and the common prefix of each with the one before it
-    order = np.lexsort((_ranks(right), name))
-    srt, nm = right[order], name[order]
-    same = srt[1:] == srt[:-1]
-    lcp = np.where(same.all(axis=1), length, np.argmin(same, axis=1))
-    lcp[nm[1:] != nm[:-1]] = -1
-    lcp = np.r_[-1, lcp]
-    rank_of = np.empty(n, np.int64)
-    rank_of[order] = np.arange(n)
-    left = np.zeros(n, np.int64)  # name of the x bytes to the left
-    for x in range(width + 1):
-        if x:
-            more = np.flatnonzero(x_high >= x)
-            left[more] = np.unique(left[more] * 256 + ctx[more, width - x], return_inverse=True)[1]
-        live = np.flatnonzero((x_low <= x) & (x <= x_high))
-        if not len(live):
-            continue
-        # suffixes x bytes further left: ordered by (those bytes, order so far); equal on
-        # ``length`` bytes where those bytes agree and at least length - x bytes follow alike
-        run = np.cumsum(lcp < length - x)[rank_of[live]]
-        key = left[live] * (n + 1) + run
-        o = np.lexsort((doc[live], key))
-        k, d = key[o], doc[live][o]
-        head = np.r_[True, k[1:] != k[:-1]]
-        least = d[np.flatnonzero(head)][np.cumsum(head) - 1]
-        mask[live[o[least < d]]] |= np.uint64(1) << np.uint64(x)
-    return mask
-
-
-def _ranks(rows: np.ndarray) -> np.ndarray:
-    """Dense rank of each row of bytes in lexicographic order."""
-    n, w = rows.shape
-    pad = (-w) % 8
-    words = np.concatenate([rows, np.zeros((n, pad), np.uint8)], axis=1) if pad else np.ascontiguousarray(rows)
-    words = words.view(">u8").astype(np.uint64)
-    o = np.lexsort(tuple(words[:, k] for k in range(words.shape[1] - 1, -1, -1)))
-    s = words[o]
-    out = np.empty(n, np.int64)
-    out[o] = np.cumsum(np.r_[False, (s[1:] != s[:-1]).any(axis=1)])
-    return out
 
+def _by_bucket(rows: np.ndarray) -> pa.RecordBatch:
+    """Names grouped by the bucket that asks for them."""
+    rows = rows[np.lexsort((rows["name"], rows["bucket"]))]
+    names, bucket = np.ascontiguousarray(rows["name"]), rows["bucket"]
+    cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(rows) else np.zeros(0, np.int64)
+    blobs = [_pack(names[i:j]) for i, j in zip(cut, [*cut[1:], len(rows)], strict=True)] if len(rows) else []
+    return pa.record_batch([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, grain: int = 20, bucket_bytes: int = 3 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, grain: int = 20, bucket_bytes: int = 3 << 20, queue_bytes: int = 48 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, spans (array of start, end of the maximal removed runs, in bytes), kept (binary), and with ``carry`` a struct ``row`` of those columns."""
     n_docs = buckets_for(docs, bucket_bytes)
-    bits = max(3, (n_docs - 1).bit_length())
+    bits = 3 + ((n_docs - 1).bit_length() + 1) // 2  # shards grow with the square root of the buckets, blobs with the power 3/2
     width = length - grain
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
-    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n_docs)).cast("long"))
+    base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n_docs)).cast("long")).repartition(n_docs, "bucket")
+    suffix = np.dtype([("right", f"S{length}"), *[(c, tuple_type(width)[c].subdtype or tuple_type(width)[c]) for c in ("left", "low", "high", "doc", "id")]])
     tuple_kinds = ((np.uint64, 1), (np.uint8, width + length), (np.uint8, 1), (np.uint8, 1), (np.int64, 1))
 
     def name_runs(t: pa.Table) -> pa.Table:
@@ -253,24 +218,27 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         b = t["bucket"][0].as_py()
         return pa.table({"shard": pa.array(keys, pa.int64()), "bucket": pa.array([b] * len(keys), pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
-    def repeated(t: pa.Table) -> pa.Table:
+    def repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The names of a shard that several documents have, back to each bucket with one of them."""
         trim()
-        runs = [_unpack(x.as_py(), (np.uint64, 1), (np.uint8, 1)) for x in t["rows"]]
-        bucket = np.repeat(t["bucket"].to_numpy(), [len(r[0]) for r in runs])
-        name, many = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs])
-        o = np.argsort(name, kind="stable")
-        s = name[o]
-        head = np.r_[True, s[1:] != s[:-1]]
-        cut = np.flatnonzero(head)
-        count = np.diff(np.r_[cut, len(s)])
-        hot = (count > 1) | (np.maximum.reduceat(many[o], cut) > 0)
-        keep = o[np.repeat(hot, count)]
-        nm, bk = name[keep], bucket[keep]
-        o = np.lexsort((nm, bk))
-        nm, bk = nm[o], bk[o]
-        cut = np.flatnonzero(np.r_[True, bk[1:] != bk[:-1]]) if len(bk) else np.zeros(0, np.int64)
-        end = np.r_[cut[1:], len(bk)] if len(bk) else cut
-        return pa.table({"bucket": pa.array(bk[cut], pa.int64()), "rows": pa.array([_pack(nm[i:j]) for i, j in zip(cut, end, strict=True)], pa.binary())})
+        queue = SortedQueue(NAME, "name", queue_bytes)
+        for batch in batches:
+            for b, blob in zip(batch["bucket"].to_pylist(), batch["rows"], strict=True):
+                name, many = _unpack(blob.as_py(), (np.uint64, 1), (np.uint8, 1))
+                rows = np.empty(len(name), NAME)
+                rows["name"], rows["many"], rows["bucket"] = name, many, b
+                queue.push(rows)
+        open_name, pending = None, np.zeros(0, NAME)  # a name may go on in the next block
+        for block in queue.blocks(1 << 20):
+            name = block["name"]
+            cut = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+            count = np.diff(np.r_[cut, len(block)])
+            hot = (count > 1) | (np.maximum.reduceat(block["many"], cut) > 0)
+            goes_on = open_name is not None and name[0] == open_name
+            hot[0] |= goes_on
+            keep = block[np.repeat(hot, count)]
+            yield _by_bucket(np.concatenate([pending, keep]) if goes_on else keep)
+            open_name, pending = name[-1], block[cut[-1] :] if not hot[-1] else block[:0]
 
     def wanted_of(t: pa.Table) -> np.ndarray:
         return np.sort(np.concatenate([np.zeros(0, np.uint64), *(_unpack(x.as_py(), (np.uint64, 1))[0] for x in t["rows"])]))
@@ -283,19 +251,50 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         blobs = [_pack(name[i:j], ctx[i:j], lo[i:j], hi[i:j], least[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"shard": pa.array(keys, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(keys), pa.int64()), "start": pa.array(at[:-1], pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
-    def decide(t: pa.Table) -> pa.Table:
+    def decide(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Induction over a shard's suffix tuples, in queues on disk beyond ``queue_bytes``."""
         trim()
-        runs = [_unpack(x.as_py(), *tuple_kinds) for x in t["rows"]]
-        name, ctx, lo, hi, least = (np.concatenate(x) for x in zip(*runs, strict=True))
-        mask = induced(ctx, name, lo, hi, least, length, width)
-        at = np.cumsum([0] + [len(r[0]) for r in runs])
-        return pa.table({"bucket": t["bucket"], "start": t["start"], "rows": pa.array([_pack(mask[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
+        queue = SortedQueue(suffix, "right", queue_bytes)
+        runs: list[tuple[int, int, int]] = []
+        n = 0
+        for batch in batches:
+            for b, start, blob in zip(batch["bucket"].to_pylist(), batch["start"].to_pylist(), batch["rows"], strict=True):
+                _, ctx, low, high, least = _unpack(blob.as_py(), *tuple_kinds)
+                rows = np.empty(len(ctx), suffix)
+                rows["right"] = np.ascontiguousarray(ctx[:, width:]).view(f"S{length}").ravel()
+                rows["left"], rows["low"], rows["high"], rows["doc"], rows["id"] = ctx[:, :width], low, high, least, n + np.arange(len(ctx))
+                queue.push(rows)
+                runs.append((b, start, len(ctx)))
+                n += len(ctx)
+
+        def ordered() -> Iterator[np.ndarray]:
+            """The tuples with the bytes that each has in common with the one before it."""
+            last = None
+            for block in queue.blocks():
+                right = np.ascontiguousarray(block["right"]).view(np.uint8).reshape(-1, length)
+                differs = right != np.concatenate([right[:1] if last is None else last, right[:-1]])
+                out = np.empty(len(block), tuple_type(width))
+                for c in ("left", "low", "high", "doc", "id"):
+                    out[c] = block[c]
+                out["lcp"] = np.where(differs.any(axis=1), differs.argmax(axis=1), length)
+                if last is None:
+                    out["lcp"][0] = 0
+                last = right[-1:]
+                yield out
+
+        mask = np.zeros(n, np.uint64) if 8 * n <= queue_bytes else np.memmap(scratch_file(), np.uint64, "w+", shape=(n,))
+        induce(ordered(), mask, length, width, queue_bytes)
+        at = 0
+        for b, start, size in runs:
+            part = np.array(mask[at : at + size])
+            at += size
+            yield pa.record_batch([pa.array([b], pa.int64()), pa.array([start], pa.int64()), pa.array([_pack(part)], pa.binary())], ["bucket", "start", "rows"])
 
     names = base.groupBy("bucket").applyInArrow(name_runs, "shard long, bucket long, rows binary")
-    wanted = names.groupBy("shard").applyInArrow(repeated, "bucket long, rows binary")
+    wanted = names.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(repeated, "bucket long, rows binary")
     docs_by_bucket = base.groupBy("bucket")
     sent = docs_by_bucket.cogroup(wanted.groupBy("bucket")).applyInArrow(tuples, "shard long, bucket long, start long, rows binary")
-    masks = sent.groupBy("shard").applyInArrow(decide, "bucket long, start long, rows binary")
+    masks = sent.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(decide, "bucket long, start long, rows binary")
     # one cogroup takes two sides: names and masks of a bucket travel as one, told apart by start
     notes = wanted.withColumn("start", F.lit(-1).cast("long")).select("bucket", "start", "rows").unionByName(masks)
 

@@ -17,7 +17,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakeside.llm import ann, bpe, chat, html_main, ngram_join, packing, quality_gam, quality_rules, queries, suffix_dedup, token_files
+from lakeside.llm import ann, bpe, chat, external, html_main, ngram_join, packing, quality_gam, quality_rules, queries, suffix_dedup, token_files
 from lakeside.llm.word_cache import WordEncoder
 
 LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
@@ -91,14 +91,57 @@ def test_suffix_dedup_brute_force(docs, none):
     assert "row" in suffix_dedup.repeated_spans(docs, carry=("lang", "bucket")).columns
 
 
-def test_suffix_dedup_random(spark):
+@pytest.mark.parametrize("queue_bytes", [48 << 20, 3000])
+def test_suffix_dedup_random(spark, queue_bytes):
+    """The same with all in memory and with nearly all on disk, a shard being many times the queue's share of memory."""
     rng = random.Random(3)
     parts = ["".join(rng.choices("ab ", k=rng.randint(20, 90))) for _ in range(8)]
     rows = [(i, "".join(rng.choices(parts, k=rng.randint(0, 6)))) for i in range(40)]
-    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), queue_bytes=queue_bytes).collect()
     assert sorted((repr(r.doc_id), r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got) == brute_spans(rows, 50)
 
 
+def test_queues_on_disk():
+    rng = np.random.default_rng(6)
+    kind = np.dtype([("k", "S4"), ("v", "<i8")])
+    q = external.SortedQueue(kind, "k", limit=2000)
+    rows = np.zeros(5000, kind)
+    rows["k"] = rng.integers(97, 101, (5000, 4)).astype(np.uint8).view("S4").ravel()
+    rows["v"] = np.arange(5000)
+    for part in np.array_split(rows, 37):
+        q.push(part)
+    out = np.concatenate(list(q.blocks(100)))
+    assert len(q.runs) > 10 and (out["k"][1:] >= out["k"][:-1]).all() and sorted(out["v"]) == list(range(5000))
+
+
+@pytest.mark.parametrize("limit", [0, 4000, 1 << 20])
+def test_induction_brute_force(limit):
+    """Masks of random tuples, level by level, against comparison of their strings."""
+    rng = np.random.default_rng(7)
+    n, length, width = 700, 12, 5
+    ctx = rng.choice(np.array([97, 98], np.uint8), (n, width + length), p=[0.8, 0.2])
+    ctx[rng.random(n) < 0.5] = ctx[rng.integers(0, 9, n)][rng.random(n) < 0.5][0]
+    high = rng.integers(0, width + 1, n)
+    low = (high * rng.random(n)).astype(int)
+    rows = np.zeros(n, external.tuple_type(width))
+    rows["left"], rows["low"], rows["high"], rows["doc"], rows["id"] = ctx[:, :width], low, high, rng.integers(0, 60, n), np.arange(n)
+    right = ctx[:, width:]
+    rows = rows[np.lexsort(right.T[::-1])]
+    right = right[rows["id"]]
+    differs = right[1:] != right[:-1]
+    rows["lcp"] = np.r_[0, np.where(differs.any(axis=1), differs.argmax(axis=1), length)]
+    mask = np.zeros(n, np.uint64)
+    external.induce(iter(np.array_split(rows, 9)), mask, length, width, limit)
+    for x in range(width + 1):
+        first = {}
+        ok = [r for r in rows if r["low"] <= x <= r["high"]]
+        for r in ok:
+            s = ctx[r["id"], width - x : width - x + length].tobytes()
+            first[s] = min(first.get(s, 99), r["doc"])
+        want = {int(r["id"]) for r in ok if first[ctx[r["id"], width - x : width - x + length].tobytes()] < r["doc"]}
+        assert want == set(np.flatnonzero((mask >> np.uint64(x)) & np.uint64(1)).tolist())
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "hi\n<|im_end|>"), (1, 1, "assistant", "a\\b<|<\\|\\\\"), (2, 1, None, None), (2, 0, "us\ner<|", "x"), (2, 0, "us\ner<|", "x"), (None, None, "assistant", "z"), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "v")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
