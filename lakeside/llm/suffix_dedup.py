@@ -103,9 +103,9 @@ def _take(data: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     raw = b"".join(np.ascontiguousarray(a).tobytes() for a in arrays)
-    return zstandard.ZstdCompressor(level=1).compress(len(arrays[0]).to_bytes(8, "little") + raw)
+    return zstandard.ZstdCompressor(level=level).compress(len(arrays[0]).to_bytes(8, "little") + raw)
 
 
 def _unpack(blob: bytes, *kinds: tuple) -> list[np.ndarray]:
@@ -201,7 +201,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("row")] if carry else []))
     base = base.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(n_docs)).cast("long")).repartition(n_docs, "bucket")
     suffix = np.dtype([("right", f"S{length}"), *[(c, tuple_type(width)[c].subdtype or tuple_type(width)[c]) for c in ("left", "low", "high", "doc", "id")]])
-    tuple_kinds = ((np.uint64, 1), (np.uint8, width + length), (np.uint8, 1), (np.uint8, 1), (np.int64, 1))
+    tuple_kinds = ((np.uint8, width + length), (np.uint8, 1), (np.uint8, 1), (np.int64, 1))
 
     def name_runs(t: pa.Table) -> pa.Table:
         trim()
@@ -248,7 +248,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         buf, ids = _bucket(d)
         (name, ctx, lo, hi, least), _ = _tuples(buf, ids, length, grain, wanted_of(w))
         keys, at = _by_shard(name, bits)
-        blobs = [_pack(name[i:j], ctx[i:j], lo[i:j], hi[i:j], least[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]
+        blobs = [_pack(ctx[i:j], lo[i:j], hi[i:j], least[i:j], level=3) for i, j in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"shard": pa.array(keys, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(keys), pa.int64()), "start": pa.array(at[:-1], pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
     def decide(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +259,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         n = 0
         for batch in batches:
             for b, start, blob in zip(batch["bucket"].to_pylist(), batch["start"].to_pylist(), batch["rows"], strict=True):
-                _, ctx, low, high, least = _unpack(blob.as_py(), *tuple_kinds)
+                ctx, low, high, least = _unpack(blob.as_py(), *tuple_kinds)
                 rows = np.empty(len(ctx), suffix)
                 rows["right"] = np.ascontiguousarray(ctx[:, width:]).view(f"S{length}").ravel()
                 rows["left"], rows["low"], rows["high"], rows["doc"], rows["id"] = ctx[:, :width], low, high, least, n + np.arange(len(ctx))
