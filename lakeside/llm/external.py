@@ -113,7 +113,7 @@ class SortedQueue:
         self.store.close()
 
 
-def _range_minima(a: np.ndarray):
+def range_minima(a: np.ndarray):
     """A function that gives the minimum of a[i..j] for arrays of i <= j."""
     rows, step = [a], 1
     while 2 * step <= len(a):
@@ -172,7 +172,7 @@ class LevelQueue:
         common[new] = np.minimum(self.since[c[new]], before[at[new]])
         rest = np.flatnonzero(~new)
         if len(rest):
-            common[rest] = _range_minima(lcp)(at[rest - 1] + 1, at[rest])
+            common[rest] = range_minima(lcp)(at[rest - 1] + 1, at[rest])
         after = np.minimum.accumulate(lcp[::-1])[::-1]
         self.since = np.minimum(self.since, before[-1])
         last = np.flatnonzero(np.r_[new[1:], True]) if len(c) else np.zeros(0, np.int64)

@@ -13,13 +13,17 @@ space is therefore first cut, without loss, where the metric is informative:
    that hot phrases come last and shingles of one point need not be sent at all.  A cell
    is the points that share such a shingle, its pivot its smallest point, and a region is
    the union of the cells of one pivot.  Every link lies within a region.
-3. ``regions``: a region is split by further pivots into Voronoi regions; points within
-   twice the threshold of a border are copied to both sides; of the ball that a pivot
-   links, only points stay that the triangle inequality lets link a point outside; each
-   side is joined recursively and exactly.  Where borders would copy most points, every
-   point outside the largest linked class becomes a pivot in turn instead.  Regions
-   beyond ``region_limit`` points do this spread over tasks, each with copies of the
-   pivots, and never meet in one task.
+   A point of n that meets another first at its i-th shingle shares at most n - i + 1 with it,
+   so only points that some partner in the cell allows for by size stay: near misses of
+   one text, all of which differ in their rare shingles, leave here, at linear cost.
+3. ``regions``: a region is split by pivots into Voronoi regions; points within twice the
+   threshold of a border are copied to both sides; of the ball that a pivot links, only
+   points stay that the triangle inequality lets link a point outside; each side is
+   joined recursively and exactly, until it is one linked class.  Pivots come from
+   outside the largest class and, their distances known, leave; where borders would copy
+   most points, the region stays one without them.  Regions beyond ``region_limit``
+   points take these steps spread over tasks, each with copies of the pivots, and never
+   meet in one task.
 4. ``components``: links are contracted to the smallest id by alternating large-star
    and small-star rounds.
 
@@ -29,6 +33,7 @@ share a component; with fewer words than a shingle the whole sequence is one shi
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import buckets_for, keyed, trim, written
+from .external import range_minima
 from .hashing import Buffer, mix, shingle_sets
 
 BLOCK = 1 << 20
@@ -196,18 +202,26 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
             df = np.where(keys[at] == h >> KEY_SHIFT, n[at], 1)
         o = np.lexsort((h, df, owner))
         place = np.arange(len(h)) - off[:-1][owner]
+        rank = np.empty(len(h), np.int64)
+        rank[o] = place
         take = o[(place < _least_common(size, num, den)[owner]) & (df[o] > 1)]
         take = take[np.argsort(h[take], kind="stable")]
         shard, at = cut_by_shard(h[take] >> KEY_SHIFT)
-        blobs = [np.concatenate([h[take[i:j]], a[owner[take[i:j]]].view(np.uint64), b[owner[take[i:j]]].view(np.uint64)]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+        fit = ((size[owner[take]].astype(np.uint64) << np.uint64(32)) | rank[take].astype(np.uint64))
+        blobs = [np.concatenate([h[take[i:j]], a[owner[take[i:j]]].view(np.uint64), b[owner[take[i:j]]].view(np.uint64), fit[i:j]]).tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"shard": pa.array(shard, pa.int64()), "rows": pa.array(blobs, pa.binary())})
 
     def meet(t: pa.Table) -> pa.Table:
         trim()
-        parts = [np.frombuffer(x.as_py(), np.uint64).reshape(3, -1) for x in t["rows"]]
-        h, a, b = np.concatenate(parts, axis=1)
+        parts = [np.frombuffer(x.as_py(), np.uint64).reshape(4, -1) for x in t["rows"]]
+        h, a, b, fit = np.concatenate(parts, axis=1)
         order = np.lexsort((b, a, h))
-        h, a, b = h[order], a[order], b[order]
+        h, a, b, fit = h[order], a[order], b[order], fit[order]
+        n, place = (fit >> np.uint64(32)).astype(np.int64), (fit & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        fits = may_link(h, n, partner_limit(n, place, num, den), num, den)
+        h, a, b = h[fits], a[fits], b[fits]
+        if not len(h):
+            return pa.table({"shard": pa.array([], pa.int64()), "rows": pa.array([], pa.binary())})
         first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
         count = np.diff(np.r_[first, len(h)])
         many = np.repeat(count > 1, count)
@@ -272,9 +286,66 @@ class Metric:
 EPS = 1e-9
 
 
-def join_region(sets: list[np.ndarray], metric: Metric, n_pivots: int = 6, leaf: int = 24) -> list[tuple[int, int]]:
-    """Links among sorted distinct arrays that connect exactly what all links connect."""
+def partner_limit(n: np.ndarray, place: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Largest set that may link with one of n whose first common shingle is its ``place``-th in the common order."""
+    return (num + den) * (n - place) // num - n
+
+
+def may_link(cell: np.ndarray, n: np.ndarray, limit: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which points of each cell (a number, in runs) have a partner in it by size: each within the other's limit."""
+    out = np.zeros(len(n), bool)
+    big = np.int64(1) << 32
+    cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+    steps = np.searchsorted(cut, np.arange(0, len(cell), 1 << 17))  # whole cells, about so many points at a time
+    pieces = np.unique(np.r_[0, cut[steps[steps < len(cut)]], len(cell)]).astype(np.int64)
+    for lo, hi in zip(pieces[:-1], pieces[1:], strict=True):
+        c, m, top = cell[lo:hi].astype(np.int64), n[lo:hi].astype(np.int64), limit[lo:hi].astype(np.int64)
+        c = np.cumsum(np.r_[0, c[1:] != c[:-1]]) * big
+        o = np.argsort(c + m, kind="stable")
+        key, m, top = (c + m)[o], m[o], top[o]
+        first = np.searchsorted(key, c[o] + (m * num + den - 1) // den)
+        last = np.searchsorted(key, c[o] + np.maximum(top, 0), "right") - 1
+        most = _range_maxima(top)
+        at = np.arange(len(m))
+        ok = np.zeros(len(m), bool)
+        for i, j in ((first, np.minimum(last, at - 1)), (np.maximum(first, at + 1), last)):
+            has = np.flatnonzero(i <= j)
+            ok[has] |= most(i[has], j[has]) >= m[has]
+        out[lo + o[ok]] = True
+    return out
+
+
+def _range_maxima(a: np.ndarray):
+    least = range_minima(-a)
+    return lambda i, j: -least(i, j)
+
+
+def _worth_joining(sets: list[np.ndarray], metric: Metric) -> list[int]:
+    """Points of a region that share one of their rarest shingles there with one they may link with."""
+    size = np.array([len(s) for s in sets])
+    h, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    _, which, count = np.unique(h, return_inverse=True, return_counts=True)
+    o = np.lexsort((which, count[which], owner))
+    place = np.arange(len(h)) - np.r_[0, np.cumsum(size)[:-1]][owner]
+    keep = (place < _least_common(size, metric.num, metric.den)[owner]) & (count[which[o]] > 1)
+    cell, point, place = which[o][keep], owner[o][keep], place[keep]
+    o = np.argsort(cell, kind="stable")
+    cell, point, place = cell[o], point[o], place[o]
+    n = size[point]
+    return np.unique(point[may_link(cell, n, partner_limit(n, place, metric.num, metric.den), metric.num, metric.den)]).tolist()
+
+
+def join_region(sets: list[np.ndarray], metric: Metric, n_pivots: int = 10, counts: Counter | None = None) -> list[tuple[int, int]]:
+    """Links among sorted distinct arrays that connect exactly what all links connect.
+
+    Pivots are the points farthest from one another outside the largest linked class.  Their
+    distances to all points give their links, and they leave.  The others go to the
+    Voronoi regions of the pivots and, within twice the threshold of a border, to both
+    sides; regions that share most of their points stay one.  Each is joined in the same
+    way until it is one class.  ``counts`` gathers what happened.
+    """
     parent = list(range(len(sets)))
+    counts = Counter() if counts is None else counts
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -290,58 +361,61 @@ def join_region(sets: list[np.ndarray], metric: Metric, n_pivots: int = 6, leaf:
             parent[max(a, b)] = min(a, b)
             links.append((i, j))
 
-    def sweep(members: list[int]) -> None:
-        """Direct distances from every point outside the largest linked class to all points
-        that differ from it in class and by at most the threshold in size."""
-        members = sorted(members, key=lambda i: len(sets[i]))
-        size = np.array([len(sets[i]) for i in members])
-        alive = np.ones(len(members), bool)
-        while True:
-            cls = np.array([root(i) for i in members])
-            names, count = np.unique(cls[alive], return_counts=True)
-            if len(names) < 2:
-                return
-            k = int(np.flatnonzero(alive & (cls != names[np.argmax(count)]))[0])
-            alive[k] = False
-            lo, hi = np.searchsorted(size, [size[k] * metric.num / metric.den - EPS, size[k] * metric.den / metric.num + EPS])
-            rest = lo + np.flatnonzero(alive[lo:hi] & (cls[lo:hi] != cls[k]))
-            if len(rest):
-                _, near = metric.to([sets[members[j]] for j in rest], sets[members[k]])
-                for j in rest[near]:
-                    link(members[k], members[j])
-
-    stack = [list(range(len(sets)))]
+    stack = [_worth_joining(sets, metric)] if len(sets) > 1 else []
+    counts["points"] += len(sets)
+    counts["points joined"] += len(stack[0]) if stack else 0
     while stack:
         members = stack.pop()
-        if len(members) <= leaf:
-            sweep(members)
+        cls = np.array([root(i) for i in members])
+        names, size = np.unique(cls, return_counts=True)
+        if len(names) < 2:
             continue
+        outside = np.flatnonzero(cls != names[np.argmax(size)]) if size.max() > 1 else np.arange(len(members))
         at = [sets[i] for i in members]
+        counts["regions"] += 1
         far = np.full(len(members), np.inf)
-        dist, ball = [], []
-        nxt = 0
-        for _ in range(n_pivots):
+        pivots, dist, ball = [], [], []
+        nxt = int(outside[0])
+        for _ in range(min(n_pivots, 2 + len(outside) // 8)):
             d, near = metric.to(at, at[nxt])
+            pivots.append(nxt)
             dist.append(d)
             ball.append(near)
             for j in np.flatnonzero(near):
                 link(members[nxt], members[j])
             far = np.minimum(far, d)
-            nxt = int(np.argmax(far))
+            far[nxt] = -1
+            nxt = int(outside[np.argmax(far[outside])])
             if far[nxt] <= 0:
                 break
-        d, ball = np.array(dist), np.array(ball)
-        own = d.min(axis=0)
-        sides = d <= own + 2 * metric.reach + EPS  # the Voronoi regions with all points near their borders
-        if sides.sum(axis=1).max() > 0.6 * len(members):
-            sweep(members)
+        counts["pivots"] += len(pivots)
+        rest = np.ones(len(members), bool)
+        rest[pivots] = False
+        if not rest.any():
             continue
-        for j, side in enumerate(sides):
-            out = side & ~ball[j]
-            if out.any():
-                # triangle inequality: a point of the ball can link a point outside only this near its border
-                inner = side & ball[j] & (d[j] >= d[j][out].min() - metric.reach - EPS)
-                stack.append([members[i] for i in np.flatnonzero(out | inner)])
+        d, ball = np.array(dist), np.array(ball)
+        sides = (d <= d.min(axis=0) + 2 * metric.reach + EPS) & rest
+        shared = sides.astype(np.int64) @ sides.T
+        group = list(range(len(pivots)))
+        for i in range(len(group)):
+            for j in range(i):
+                if 2 * shared[i, j] > min(shared[i, i], shared[j, j]):
+                    old, new = group[i], group[j]
+                    group = [new if g == old else g for g in group]
+        merged = [np.flatnonzero(np.array(group) == g) for g in sorted(set(group))]
+        wholes = [sides[m].any(axis=0) for m in merged]
+        if sum(w.sum() for w in wholes) > 1.5 * rest.sum():
+            merged, wholes = [np.arange(len(pivots))], [rest]
+        counts["regions split"] += len(wholes) > 1
+        counts["points copied"] += int(sum(w.sum() for w in wholes) - rest.sum())
+        for m, side in zip(merged, wholes, strict=True):
+            if len(m) == 1:
+                out = side & ~ball[m[0]]
+                if not out.any():
+                    continue
+                # triangle inequality: a point of the ball can link one outside only this near its border
+                side = out | side & ball[m[0]] & (d[m[0]] >= d[m[0]][out].min() - metric.reach - EPS)
+            stack.append([members[i] for i in np.flatnonzero(side)])
     return links
 
 
@@ -408,22 +482,22 @@ def regions(pairs: DataFrame, sets: DataFrame, num: int, den: int, region_limit:
 
         def step(t: pa.Table) -> pa.Table:
             trim()
-            is_head = np.array([x is not None for x in t["head"].to_pylist()])
-            at = np.flatnonzero(~is_head)
+            head = t["head"].to_pylist()
             s = arrays(t)
-            near_of: list[list[int]] = [[] for _ in range(len(s))]
-            size = np.array([len(x) for x in s])
-            for k, j in zip(t["head"].to_pylist(), range(len(s)), strict=True):
-                if k is None:
-                    continue
-                fit = at[(metric.den * size[at] >= metric.num * size[j] - EPS) & (metric.num * size[at] <= metric.den * size[j] + EPS)]
-                others = np.concatenate([fit, np.flatnonzero(is_head)])
-                _, near = metric.to([s[i] for i in others], s[j])
-                for i in others[near]:
-                    near_of[i].append(k)
-            return t.drop(["shingles", "salt"]).append_column("near", pa.array(near_of, pa.list_(pa.int32())))
-
-        measured = written(tasks.groupBy(*key, "salt").applyInArrow(step, "pivot_a long, pivot_b long, sig_a long, sig_b long, cls long, head int, near array<int>"))
+            near_of: list[list[int]] = [[] for _ in s]
+            which = [j for j, k in enumerate(head) if k is not None]
+            dist = np.empty((len(which), len(s)))
+            for row, j in enumerate(which):
+                dist[row], near = metric.to(s, s[j])
+                for i in np.flatnonzero(near):
+                    if i != j:
+                        near_of[i].append(head[j])
+            sides = dist <= dist.min(axis=0) + 2 * metric.reach + EPS
+            name = np.array([head[j] for j in which])
+            side_of = [name[sides[:, i]].tolist() if k is None else [] for i, k in enumerate(head)]
+            return t.drop(["shingles", "salt"]).append_column("near", pa.array(near_of, pa.list_(pa.int32()))).append_column("sides", pa.array(side_of, pa.list_(pa.int32())))
+
+        measured = written(tasks.groupBy(*key, "salt").applyInArrow(step, "pivot_a long, pivot_b long, sig_a long, sig_b long, cls long, head int, near array<int>, sides array<int>"))
         hits = measured.filter(F.size("near") > 0)
         named = pivots.select(*key, "head", F.col("sig_a").alias("src_a"), F.col("sig_b").alias("src_b"))
         # one link per point, and one between any two pivots that a point or an older class ties together
@@ -437,14 +511,20 @@ def regions(pairs: DataFrame, sets: DataFrame, num: int, den: int, region_limit:
 
         pairs_of = ties.select(*key, "x", "y", F.lit(None).cast("long").alias("old")).unionByName(old.select(*key, "x", F.lit(None).cast("int").alias("y"), "old")).unionByName(pivots.select(*key, F.col("head").alias("x"), F.col("head").alias("y"), F.lit(None).cast("long").alias("old")))
         new = written(pairs_of.groupBy(*key).applyInArrow(_classes_from(names), "pivot_a long, pivot_b long, head int, old long, new long"))
-        stay = measured.filter("head is null").select(*key, "sig_a", "sig_b", "cls", F.when(F.size("near") > 0, F.col("near")[0]).alias("head"))
+        stay = measured.filter("head is null").select(*key, "sig_a", "sig_b", "cls", "sides", F.when(F.size("near") > 0, F.col("near")[0]).alias("head"))
         stay = stay.join(new.filter("head is not null").select(*key, "head", F.col("new").alias("by_head")), [*key, "head"], "left").join(new.filter("old is not null").select(*key, F.col("old").alias("cls"), F.col("new").alias("by_old")), [*key, "cls"], "left")
         # an older class that met no pivot keeps its name
-        stay = stay.select(*key, "sig_a", "sig_b", F.coalesce("by_head", "by_old", "cls").alias("cls"))
-        rest = written(stay)
+        stay = stay.select(*key, "sig_a", "sig_b", F.coalesce("by_head", "by_old", "cls").alias("cls"), "sides")
+        # Voronoi regions with their borders' points on both sides, unless most points are near borders
+        copies = measured.filter("head is null").groupBy(*key).agg((F.sum(F.size("sides")) <= 1.5 * F.count(F.lit(1))).alias("splits"))
+        stay = stay.join(copies, key).withColumn("side", F.explode(F.when(F.col("splits"), F.col("sides")).otherwise(F.array(F.lit(-1)))))
+        side_key = [F.when(F.col("splits"), F.xxhash64(*c)).otherwise(F.col(k)).alias(k) for k, c in (("pivot_a", ("pivot_a", "pivot_b", "side")), ("pivot_b", ("side", "pivot_b", "pivot_a")))]
+        rest = written(stay.select(*side_key, "sig_a", "sig_b", "cls"))
         count = rest.groupBy(*key).agg(F.count(F.lit(1)).alias("points"))
         top = rest.filter("cls is not null").groupBy(*key, "cls").count().groupBy(*key).agg(F.max_by("cls", F.struct("count", "cls")).alias("largest"), F.max("count").alias("held"))
-        large = written(count.join(top, key, "left").filter(F.col("points") > F.coalesce("held", F.lit(0))))
+        left = written(count.join(top, key, "left").filter(F.col("points") > F.coalesce("held", F.lit(0))))
+        small, large = left.filter(F.col("points") <= region_limit), left.filter(F.col("points") > region_limit)
+        links = links.unionByName(rest.join(small.select(*key), key).join(sets, ["sig_a", "sig_b"]).groupBy(key).applyInArrow(leaf, link_schema))
         rest = rest.join(large.select(*key), key)
         heads_each = 400
     return links

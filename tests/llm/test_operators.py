@@ -369,6 +369,42 @@ def test_ngram_join_brute_force(spark, limit):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows)
 
 
+def test_voronoi_regions_brute_force():
+    """Regions of clusters split and copy border points; links connect what all pairs connect."""
+    rng = np.random.default_rng(12)
+    centres = [rng.choice(1 << 40, 200, replace=False) for _ in range(8)]
+    sets = []
+    for i in range(240):
+        c = np.r_[centres[i % 8][:160], centres[(i + 1) % 8][:40]] if i % 3 else centres[i % 8]
+        sets.append(np.unique(np.r_[rng.choice(c, int(len(c) * rng.uniform(0.85, 1)), replace=False), rng.choice(1 << 40, rng.integers(0, 10))]).astype(np.uint64))
+    counts = Counter()
+    links = ngram_join.join_region(sets, ngram_join.Metric(75, 100), counts=counts)
+
+    def classes(pairs):
+        up = list(range(len(sets)))
+        for i, j in pairs:
+            old, new = up[i], up[j]
+            up = [min(old, new) if u in (old, new) else u for u in up]
+        return up
+
+    every = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))]
+    assert set(links) | {(j, i) for i, j in links} <= set(every) | {(j, i) for i, j in every}
+    assert classes(links) == classes(every) and len(set(classes(every))) < 200
+    assert counts["regions split"] >= 1 and counts["pivots"] < 240
+
+
+@pytest.mark.parametrize("n", [20_000])
+def test_near_misses_of_one_text_cost_linear_time(n):
+    """Each pair has a similarity of 0.69: all of them leave before any distance is taken."""
+    rng = np.random.default_rng(13)
+    shared = rng.choice(1 << 50, 163, replace=False)
+    sets = [np.sort(np.r_[shared, rng.integers(1 << 50, 1 << 60, 37)]).astype(np.uint64) for _ in range(n)]
+    counts = Counter()
+    began = time.time()
+    assert ngram_join.join_region(sets, ngram_join.Metric(75, 100), counts=counts) == []
+    assert counts["points joined"] == 0 and time.time() - began < 30
+
+
 def test_ngram_join_odd_rows(docs, none):
     got = ngram_join.similar_documents(docs).collect()
     assert len(got) == docs.count() and all(r.component_id is None for r in got if r.doc_id is None)
