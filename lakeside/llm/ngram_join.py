@@ -33,6 +33,7 @@ share a component; with fewer words than a shingle the whole sequence is one shi
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import buckets_for, keyed, trim, written
-from .external import range_minima
+from .external import SortedQueue, range_minima
 from .hashing import Buffer, mix, shingle_sets
 
 BLOCK = 1 << 20
@@ -99,6 +100,7 @@ def _distinct_rows(pairs: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(p[new])
 
 
+COUNT = np.dtype([("key", "<u8"), ("bucket", "<i8"), ("n", "<i8")])
 KEY_SHIFT = np.uint64(16)  # 48 bits of a shingle's hash are its key in counts
 
 
@@ -117,19 +119,19 @@ def _run_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step.view(np.uint64).ravel()), np.frombuffer(raw, "<u2", n, 8 + 6 * n)
 
 
-def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, width: int = 5, bucket_bytes: int = 3 << 20) -> tuple[DataFrame, DataFrame]:
+def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, width: int = 5, bucket_bytes: int = 3 << 20, queue_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
     """Regions as (pivot_a, pivot_b, sig_a, sig_b), a pivot with a row of its own, and
     (sig_a, sig_b, shingles) of every point in one.
 
     ``classes``: sig_a, sig_b, rep of every point, rep being a doc_id with that set.
     """
     n_buckets = buckets_for(docs, bucket_bytes)
-    bits = max(3, (n_buckets - 1).bit_length())
+    bits = 3 + ((n_buckets - 1).bit_length() + 1) // 2  # shards grow with the square root of the buckets
 
     def bucket(c: str):
         return F.pmod(F.xxhash64(c), F.lit(n_buckets)).cast("long")
 
-    by_bucket = docs.filter("doc_id is not null").withColumn("bucket", bucket("doc_id")).groupBy("bucket")
+    by_bucket = docs.filter("doc_id is not null").withColumn("bucket", bucket("doc_id")).repartition(n_buckets, "bucket").groupBy("bucket")
     note = "bucket long, rep long, sig_a long, sig_b long, rows binary"
     none = [F.lit(None).cast(t).alias(c) for c, t in (("rep", "long"), ("sig_a", "long"), ("sig_b", "long"))]
     reps = classes.select(bucket("rep").alias("bucket"), "rep", "sig_a", "sig_b", F.lit(None).cast("binary").alias("rows"))
@@ -167,21 +169,31 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         n = np.minimum(n, 65535)
         return pa.table({"shard": pa.array(shard, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(shard), pa.int64()), "rows": pa.array([_run_blob(keys[i:j], n[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())})
 
-    def common(t: pa.Table) -> pa.Table:
+    def common(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """To each bucket, the counts over all buckets of its shingles that more than one point has."""
         trim()
-        runs = [_run_of(x.as_py()) for x in t["rows"]]
-        keys, n = np.concatenate([r[0] for r in runs]), np.concatenate([r[1] for r in runs]).astype(np.int64)
-        o = np.argsort(keys, kind="stable")
-        head = np.flatnonzero(np.r_[True, keys[o][1:] != keys[o][:-1]])
-        size = np.diff(np.r_[head, len(o)])
-        total = np.empty(len(o), np.int64)
-        total[o] = np.repeat(np.add.reduceat(n[o], head), size)
-        blobs = []
-        at = np.cumsum([0] + [len(r[0]) for r in runs])
-        for i, j in zip(at[:-1], at[1:], strict=True):
-            many = total[i:j] > 1
-            blobs.append(_run_blob(keys[i:j][many], np.minimum(total[i:j][many], 65535)))
-        return pa.table({"bucket": t["bucket"], "rows": pa.array(blobs, pa.binary())})
+        queue = SortedQueue(COUNT, "key", queue_bytes)
+        for batch in batches:
+            for b, blob in zip(batch["bucket"].to_pylist(), batch["rows"], strict=True):
+                keys, n = _run_of(blob.as_py())
+                rows = np.empty(len(keys), COUNT)
+                rows["key"], rows["n"], rows["bucket"] = keys, n, b
+                queue.push(rows)
+        held = np.zeros(0, COUNT)  # rows of a key that may go on in the next block, one a bucket
+        for block in itertools.chain(queue.blocks(1 << 18), [None]):
+            rows = held if block is None else np.concatenate([held, block])
+            if not len(rows):
+                continue
+            head = np.flatnonzero(np.r_[True, rows["key"][1:] != rows["key"][:-1]])
+            stop = len(rows) if block is None else int(head[-1])
+            held, rows, head = rows[stop:], rows[:stop], head[head < stop]
+            total = np.repeat(np.add.reduceat(rows["n"], head), np.diff(np.r_[head, len(rows)])) if len(head) else np.zeros(0, np.int64)
+            rows, total = rows[total > 1], np.minimum(total[total > 1], 65535)
+            o = np.argsort(rows["bucket"], kind="stable")
+            rows, total = rows[o], total[o]
+            at = np.flatnonzero(np.r_[True, rows["bucket"][1:] != rows["bucket"][:-1]]) if len(rows) else np.zeros(0, np.int64)
+            keys = np.ascontiguousarray(rows["key"])
+            yield pa.record_batch([pa.array(rows["bucket"][at], pa.int64()), pa.array([_run_blob(keys[i:j], total[i:j]) for i, j in zip(at, [*at[1:], len(rows)], strict=False)], pa.binary())], ["bucket", "rows"])
 
     def counted(notes: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         runs = [_run_of(x.as_py()) for x in notes["rows"] if x.is_valid]
@@ -248,9 +260,9 @@ def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, wi
         return reps.unionByName(rows.select("bucket", *none, "rows")).select(*[x.split()[0] for x in note.split(", ")])
 
     runs = by_bucket.cogroup(reps.groupBy("bucket")).applyInArrow(count_runs, "shard long, bucket long, rows binary")
-    known = runs.groupBy("shard").applyInArrow(common, "bucket long, rows binary")
+    known = runs.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(common, "bucket long, rows binary")
     sent = by_bucket.cogroup(with_notes(known).groupBy("bucket")).applyInArrow(postings, "shard long, rows binary")
-    found = sent.groupBy("shard").applyInArrow(meet, "shard long, rows binary")
+    found = sent.repartition(1 << bits, "shard").groupBy("shard").applyInArrow(meet, "shard long, rows binary")
     pairs = found.groupBy("shard").applyInArrow(merge, "pivot_a long, pivot_b long, sig_a long, sig_b long")
     live = pairs.select("sig_a", "sig_b").distinct().join(reps, ["sig_a", "sig_b"]).select("bucket", "rep", "sig_a", "sig_b")
     sets = by_bucket.cogroup(live.groupBy("bucket")).applyInArrow(shingles, "sig_a long, sig_b long, shingles binary")
