@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import trim, written
+from .common import hashed_sample, trim, written
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -130,13 +130,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0), np.float32)
 
 
-def hashed_sample(df: DataFrame, n_rows: int, wanted: int, *keys: str) -> DataFrame:
-    """The ``wanted`` rows (all, if fewer) with the smallest hash of ``keys``; only about that many are sorted."""
-    h = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
-    share = min(1.0, 1.3 * wanted / max(n_rows, 1) + 200 / max(n_rows, 1))
-    return df.withColumn("_h", h).filter(F.col("_h") < int(share * (1 << 40))).orderBy("_h", *keys).limit(wanted).drop("_h")
-
-
 def _shards(sizes: dict[int, int], shard_rows: int) -> tuple[dict[int, int], dict[int, int]]:
     """First shard and number of shards of each list: runs of short lists share one, a long list has several."""
     first, parts, shard, room = {}, {}, 0, shard_rows

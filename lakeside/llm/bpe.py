@@ -8,7 +8,8 @@ Words are independent of each other, so replaying block by block gives the same
 one replay over all words; blocks run in parallel, keep no global vocabulary, and a word
 already replayed in the same worker is not replayed again.
 
-Results: a null text counts as empty and has no ids; every row keeps its own result.
+Results: a null text counts as empty and has no ids; every row keeps its own result, an empty table has
+none, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import keyed
+from .common import keyed, spread
 
 SHIFT = 24
 BLOCK_CHARS = 1 << 20
@@ -162,7 +163,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 ids = [b"".join(map(known.__getitem__, s)) for s in split]
                 yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return spread(keyed(docs, id_col, text_col)).mapInArrow(run, "doc_id long, ids binary")
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str) -> DataFrame:

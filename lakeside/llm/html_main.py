@@ -38,6 +38,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import spread
+
 # Element names of HTML.
 BLOCK_TAGS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -336,4 +338,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 yield pa.record_batch([part.column(0), part.column(1), pa.array([main_text(x.as_py()) for x in part.column(2)], pa.string())], ["page_id", "url", "text"])
 
     base = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    return base.mapInArrow(run, "page_id long, url string, text string")
+    return spread(base).mapInArrow(run, "page_id long, url string, text string")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import buckets_for, keyed, trim, written
+from .common import buckets_for, keyed, spread, trim, written
 from .external import SortedQueue, range_minima
 from .hashing import Buffer, mix, shingle_sets
 
@@ -81,7 +81,7 @@ def profile(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(a), pa.array(b)], ["doc_id", "n_shingles", "sig_a", "sig_b"])
         trim()
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long")
+    return spread(docs).mapInArrow(run, "doc_id long, n_shingles long, sig_a long, sig_b long")
 
 
 def _is_in(h: np.ndarray, sorted_values: np.ndarray) -> np.ndarray:

@@ -8,7 +8,7 @@ of a partition its open windows are merged end to end, which leaves at most one
 window; those are merged in groups, in rounds, until one is left in all.
 
 Results: null texts have only the end id; each id lies in one piece; repeated rows are
-packed each on its own.
+packed each on its own, as are rows without a doc_id; an empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import text_blocks
-from .common import keyed, trim, written
+from .common import keyed, spread, trim, written
 from .word_cache import encoder
 
 PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int64()), ("ids", pa.binary())])
@@ -152,7 +152,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, size: int
         yield rows.take()
         trim()
 
-    first = written(keyed(docs, id_col, text_col).mapInArrow(run, PIECE_DDL))
+    first = written(spread(keyed(docs, id_col, text_col)).mapInArrow(run, PIECE_DDL))
     done = [first.filter(F.col("sequence_id").isNotNull())]
     left = first.filter(F.col("sequence_id").isNull())
     fan, level = 64, 0

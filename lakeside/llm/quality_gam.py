@@ -9,7 +9,8 @@ A score is the logistic function of a sum of table entries.
 The model is fitted on the driver on at most ``sample_rows`` labelled rows, those with the
 smallest hash of doc_id; its tables have a fixed size.  Labels, lang, source and doc_id are
 not features.  With no labels, or labels of one class, every score is the share of label 1
-(0.5 without labels).  Empty texts are scored like any other.
+(0.5 without labels).  Null texts count as empty; empty texts are scored like any other, equal
+texts alike; null labels and labels without a doc_id teach nothing; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, written
+from .common import hashed_sample, spread, trim, written
 from .hashing import Buffer
 from .text_counts import counts
 
@@ -144,7 +145,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), flat, *(c.slice(lo, hi - lo) for c in batch.columns[2:])], ["doc_id", "features", *carry])
         trim()
 
-    return base.mapInArrow(run, ", ".join(["doc_id long, features array<double>", *(f"{c} {base.schema[c].dataType.simpleString()}" for c in carry)]))
+    return spread(base).mapInArrow(run, ", ".join(["doc_id long, features array<double>", *(f"{c} {base.schema[c].dataType.simpleString()}" for c in carry)]))
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -155,7 +156,8 @@ def held_out(doc_id: str = "doc_id"):
 def fit(features: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> Gam:
     """A model of ``labels`` (doc_id, quality) that aren't held out; several labels of one document count by majority."""
     y = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    train = features.join(y, "doc_id").filter(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    y = written(y.filter(~held_out()))
+    train = features.join(hashed_sample(y, y.count(), 2 * sample_rows, "doc_id"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # labels without a document leave room for others
     rows = train.select("features", "y").toPandas()
     x = np.array(rows["features"].tolist(), float).reshape(len(rows), len(FEATURES))
     return Gam().fit(x, rows["y"].to_numpy(float))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trim, written
+from .common import spread, trim, written
 from .hashing import Buffer
 from .text_counts import counts
 
@@ -50,7 +50,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         trim()
 
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COLUMNS))
+    return spread(base).mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COLUMNS))
 
 
 def sketch(rates: DataFrame, keys: tuple[str, ...] = ("lang", "source")) -> DataFrame:

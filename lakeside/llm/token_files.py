@@ -11,7 +11,7 @@ order, rolling to a new file at ``file_bytes``.  A task writes under names of it
 attempt; only files listed in the manifest, which Spark commits, count.
 
 Results: null texts have only the end id; rows that share a doc_id are ordered by text; a
-null doc_id comes first (stored as the smallest 64-bit number).
+null doc_id comes first (stored as the smallest 64-bit number); an empty table gives no file.
 """
 
 from __future__ import annotations
@@ -117,9 +117,12 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, folder:
     base = keyed(docs, id_col, text_col)
     ordered = base.repartitionByRange(buckets_for(docs, partition_bytes, 1), "doc_id").sortWithinPartitions("doc_id", "text")
     manifest = written(ordered.mapInArrow(run, "file string, part long, piece long, n_docs long, n_tokens long"))
-    # one row a file: its place among all ids
-    before = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    # a file's place among all ids: within a group of parts, then among the groups (a row each)
+    manifest = manifest.withColumn("group", F.floor(F.col("part") / 1024))
+    groups = manifest.groupBy("group").agg(F.sum("n_tokens").alias("tokens"))
+    base = groups.select("group", F.coalesce(F.sum("tokens").over(Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    before = Window.partitionBy("group").orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).join(base, "group").withColumn("start", F.col("start") + F.col("base")).drop("group", "base")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
