@@ -119,7 +119,7 @@ def _run_of(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(step.view(np.uint64).ravel()), np.frombuffer(raw, "<u2", n, 8 + 6 * n)
 
 
-def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, width: int = 5, bucket_bytes: int = 3 << 20, queue_bytes: int = 48 << 20) -> tuple[DataFrame, DataFrame]:
+def points_and_cells(docs: DataFrame, classes: DataFrame, num: int, den: int, width: int = 5, bucket_bytes: int = 3 << 20, queue_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """Regions as (pivot_a, pivot_b, sig_a, sig_b), a pivot with a row of its own, and
     (sig_a, sig_b, shingles) of every point in one.
 

@@ -193,7 +193,7 @@ def _by_bucket(rows: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(bucket[cut], pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "rows"])
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, grain: int = 20, bucket_bytes: int = 3 << 20, queue_bytes: int = 48 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, grain: int = 20, bucket_bytes: int = 3 << 20, queue_bytes: int = 32 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, spans (array of start, end of the maximal removed runs, in bytes), kept (binary), and with ``carry`` a struct ``row`` of those columns."""
     n_docs = buckets_for(docs, bucket_bytes)
     bits = 3 + ((n_docs - 1).bit_length() + 1) // 2  # shards grow with the square root of the buckets, blobs with the power 3/2
