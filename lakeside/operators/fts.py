@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import fold_literal, fold_text
+from ..functions.text import fold_literal, fold_text, path_tokens
 
 # Function words left out of queries (Vietnamese ones in folded form).
 VN_STOPWORDS = frozenset("cac con dang trong that roi kem cho voi cua mot nhung khi nhu van chi toi theo den ra vao len tren duoi giua ngoai vay thi ma la va hoac hay neu vi boi do da se rat qua lam nen cung deu moi tung bi co khong duoc nay kia day gi ai thu".split())
@@ -56,23 +57,56 @@ def postings(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
     return long.groupBy("id", "field", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25f(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """id, score of all that match a clause: each clause a phrase of its own, tf weighted by field, length over all fields."""
+def index_fields(content: Column, path: Column, symbols: Column) -> dict[str, Column]:
+    """The four fields of the index: content, tokens of the path and of the symbols' names, all of it folded."""
+    return {"content": content, "path": F.array_join(path_tokens(path), " "), "symbol": F.array_join(path_tokens(symbols), " "), "folded": fold_text(F.concat_ws(" ", content, path, symbols))}
+
+
+def lengths(post: DataFrame) -> DataFrame:
+    return post.groupBy("id").agg(F.sum("tf").alias("len"))
+
+
+def bm25f(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, sized: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """id, score of all that match a clause: each clause a phrase of its own, tf weighted by field, length over all fields.
+
+    Clauses are prefixes, with ``exact`` whole tokens; they reach the scan, so that an index ordered by
+    token is read only where they can be.  ``sized``: ``lengths`` of all fields.
+    """
     spark = post.sparkSession
-    sized = post.groupBy("id").agg(F.sum("tf").alias("len"))
+    sized = lengths(post) if sized is None else sized
     total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
+    token = F.col("token")
+    asked = reduce(lambda x, y: x | y, [(token == p) if exact else token.startswith(p) for p, _ in clauses])
     wanted = spark.createDataFrame([(i, p, f) for i, (p, f) in enumerate(clauses)], "clause int, prefix string, only string")
     # the clauses of one query: a few rows by construction
-    hit = post.join(F.broadcast(wanted), F.expr("startswith(token, prefix) and (only is null or only = field)"))
+    hit = post.filter(asked & F.col("field").isin(*weights)).join(F.broadcast(wanted), F.expr(("token = prefix" if exact else "startswith(token, prefix)") + " and (only is null or only = field)"))
     weight = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, float(w))])
     tf = hit.groupBy("clause", "id").agg(F.sum(F.col("tf") * weight[F.col("field")]).alias("tf"))
     df = tf.groupBy("clause").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    scored = tf.join(df, "clause").join(sized, "id").crossJoin(total)  # total is one row
+    scored = tf.join(F.broadcast(df), "clause").join(sized, "id").crossJoin(total)  # df: a row a clause; total: one row
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return scored.groupBy("id").agg(F.sum(part).alias("score"))
 
 
+def folded_variants(query: str) -> list[tuple[str, str | None]]:
+    """Clauses on the folded field alone: each content word without its marks, and its singular."""
+    words = [w for w, f in query_clauses(query) if f is None]
+    folded = [fold_literal(w) for w in words]
+    return [(w, "folded") for w in dict.fromkeys([*folded, *filter(None, map(singular, folded))])]
+
+
+def snippet(text: Column, prefixes: list[str], width: int = 24) -> Column:
+    """About ``width`` words around the first that begins with a prefix, such words marked, cut ends shown."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    hit = lambda w: reduce(lambda x, y: x | y, [F.lower(w).startswith(p.lower()) for p in prefixes])
+    first = F.array_position(F.transform(words, hit), F.lit(True))
+    start = F.greatest(F.lit(1), F.least(first - F.lit(width // 2), F.size(words) - F.lit(width - 1))).cast("int")
+    marked = F.transform(F.slice(words, start, F.lit(width)), lambda w: F.when(hit(w), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+    before, after = F.when(start > 1, "… ").otherwise(""), F.when(start + width <= F.size(words), " …").otherwise("")
+    return F.when(F.size(words) > 0, F.concat(before, F.array_join(marked, " "), after)).otherwise("")
+
+
 def tail_fill(first: DataFrame, second: DataFrame, limit: int) -> DataFrame:
     """The second leg's hits after the first leg's, without those already there: id, score, tier."""
     tail = second.join(first, "id", "left_anti").withColumn("tier", F.lit(1))

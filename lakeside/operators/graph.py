@@ -11,19 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.storage import shared_folder
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed where the session has a shared folder for it."""
+    """Checkpointed in the folder that the session shares; see ``storage``."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            import os
-            import tempfile
-
-            base = os.path.join(tempfile.gettempdir(), "lakeside-checkpoints")
-        spark.sparkContext.setCheckpointDir(base)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
@@ -48,11 +43,10 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both"
     return found
 
 
-def neighbours(edges: DataFrame, chunk: int, depth: int = 1, direction: str = "both", kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """Edges met by a breadth-first walk, with the depth they are met at; unresolved ones too."""
-    spark = edges.sparkSession
+def neighbours(edges: DataFrame, seeds: DataFrame, depth: int = 1, direction: str = "both", kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
+    """Edges met by a breadth-first walk from seeds (node), with the depth they are met at; unresolved ones too."""
     e = edges.filter(F.col("kind").isin(*kinds)) if kinds else edges
-    near = reach(e, spark.createDataFrame([(chunk,)], "node long"), max(0, min(depth, 3) - 1), direction)
+    near = reach(e, seeds, max(0, min(depth, 3) - 1), direction)
     sides = []
     if direction in ("out", "both"):
         sides.append(e.join(near, e["src_chunk"] == near["node"]).select(e["*"], "depth"))
@@ -62,10 +56,9 @@ def neighbours(edges: DataFrame, chunk: int, depth: int = 1, direction: str = "b
     return out.groupBy("src_chunk", "dst_chunk", "dst_name", "kind").agg((F.min("depth") + 1).alias("depth")).orderBy("depth", "src_chunk", "dst_name", "kind", "dst_chunk").limit(min(limit, 200))
 
 
-def impact(edges: DataFrame, chunk: int, hops: int = 2) -> DataFrame:
-    """node, depth of all that depend on a chunk, itself left out."""
-    seed = edges.sparkSession.createDataFrame([(chunk,)], "node long")
-    return reach(edges, seed, min(hops, 4), "in").filter(F.col("depth") > 0)
+def impact(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """node, depth of all that depend on the seeds (node), themselves left out, in breadth-first order."""
+    return reach(edges, seeds, min(hops, 4), "in").filter(F.col("depth") > 0)
 
 
 def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.7, limit: int = 60) -> DataFrame:
@@ -80,32 +73,33 @@ def expand(edges: DataFrame, seeds: DataFrame, depth: int = 2, decay: float = 0.
     return best.filter("depth > 0").select("node", "depth", F.round("score", 4).alias("score")).orderBy("depth", F.desc("score"), "node").limit(limit)
 
 
-def shortest_path(edges: DataFrame, start: int, end: int, hops: int = 5, kinds: list[str] | None = None) -> DataFrame:
+def shortest_path(edges: DataFrame, start: DataFrame, end: DataFrame, hops: int = 5, kinds: list[str] | None = None) -> DataFrame:
     """One shortest path (array of nodes), the smallest predecessors deciding between equals; no row if none."""
     arcs = _arcs(edges, "out", kinds)
-    found = frontier = edges.sparkSession.createDataFrame([(start, [start])], "node long, path array<long>")
+    found = frontier = start.select("node", F.array("node").alias("path"))
     for _ in range(min(hops, 8)):
         step = frontier.join(arcs, frontier["node"] == arcs["a"]).groupBy(F.col("b").alias("node")).agg(F.min("path").alias("path"))
         frontier = step.join(found, "node", "left_anti").select("node", F.concat("path", F.array("node")).alias("path"))
         found = found.unionByName(frontier)
-    return found.filter(F.col("node") == end).select("path")
+    return found.join(end, "node", "left_semi").select("path")
 
 
-def simple_paths(edges: DataFrame, start: int, end: int, hops: int = 5, limit: int = 10, kinds: list[str] | None = None) -> DataFrame:
-    """Paths without repeated nodes, shortest and smallest first, ``limit`` at most."""
+def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, hops: int = 5, limit: int = 10, kinds: list[str] | None = None) -> DataFrame:
+    """Paths without repeated nodes from start to end (node, one row each), shortest and smallest first, ``limit`` at most."""
     arcs = _arcs(edges, "out", kinds)
     # only nodes that can still reach the end are followed
-    ends = edges.sparkSession.createDataFrame([(end,)], "node long")
-    useful = reach(edges if not kinds else edges.filter(F.col("kind").isin(*kinds)), ends, hops, "in").select(F.col("node").alias("b"), F.col("depth").alias("left"))
+    useful = reach(edges if not kinds else edges.filter(F.col("kind").isin(*kinds)), end, hops, "in").select(F.col("node").alias("b"), F.col("depth").alias("left"))
     arcs = arcs.join(useful, "b")
-    frontier = edges.sparkSession.createDataFrame([(start, [start])], "node long, path array<long>")
+    goal = end.select(F.col("node").alias("goal"))
+    frontier = start.select("node", F.array("node").alias("path"))
     done = None
     for h in range(1, min(hops, 8) + 1):
         step = frontier.join(arcs, frontier["node"] == arcs["a"]).filter(~F.array_contains("path", F.col("b")) & (F.col("left") <= hops - h)).select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        hit = step.filter(F.col("node") == end)
+        step = step.join(F.broadcast(goal), F.col("node") == F.col("goal"), "left")  # one row
+        hit = step.filter("goal is not null").select("path").orderBy("path").limit(limit)
         done = hit if done is None else done.unionByName(hit)
-        frontier = step.filter(F.col("node") != end)
-    return done.select("path").orderBy(F.size("path"), "path").limit(limit)
+        frontier = step.filter("goal is null").select("node", "path")
+    return done.orderBy(F.size("path"), "path").limit(limit)
 
 
 def one_hop(edges: DataFrame, seeds: DataFrame, per_seed: int) -> DataFrame:

@@ -25,16 +25,19 @@ def workspace_tree(files: DataFrame, chunks: DataFrame, symbols: DataFrame, root
     return j.select("path", depth.alias("depth"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"))
 
 
-def find_definitions(symbols: DataFrame, names: list[str], each: int = 25) -> DataFrame:
+def find_definitions(symbols: DataFrame, names: DataFrame, files: DataFrame, chunks: DataFrame, each: int = 25) -> DataFrame:
+    """Symbols (id, file_id, chunk_id, name) of the wanted names (name; 20 at most) with their file's path and their chunk's lines, if any."""
     w = Window.partitionBy("name").orderBy("id")
-    return symbols.filter(F.col("name").isin(*names[:20])).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= each).drop("rn")
+    first = symbols.join(F.broadcast(names.limit(20)), "name", "left_semi").withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= each).drop("rn")
+    return first.join(files.select(F.col("id").alias("file_id"), "path"), "file_id").join(chunks.select("chunk_id", "start_line", "end_line"), "chunk_id", "left")
 
 
-def find_usages(edges: DataFrame, symbols: DataFrame, name: str, kinds: list[str], limit: int = 50) -> DataFrame:
-    """Chunks with an edge to the name or to a chunk that defines it."""
-    defs = symbols.filter(F.col("name") == name).select(F.col("chunk_id").alias("dst_chunk")).distinct()
+def find_usages(edges: DataFrame, symbols: DataFrame, name: DataFrame, kinds: list[str], limit: int = 50) -> DataFrame:
+    """Chunks with an edge to the name (one row: name) or to a chunk that defines it."""
+    name = F.broadcast(name.limit(1))  # one row
+    defs = symbols.join(name, "name", "left_semi").select(F.col("chunk_id").alias("dst_chunk")).distinct()
     e = edges.filter(F.col("kind").isin(*kinds))
-    by_name = e.filter(F.col("dst_name") == name).select("src_chunk")
+    by_name = e.join(name, e["dst_name"] == name["name"], "left_semi").select("src_chunk")
     by_chunk = e.join(defs, "dst_chunk", "left_semi").select("src_chunk")
     return by_name.union(by_chunk).distinct().orderBy("src_chunk").limit(min(limit, 1000))
 

@@ -15,10 +15,10 @@ def normalize(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(v)
 
 
-def semantic(vectors: DataFrame, query: list[float], limit: int = 20, least: float | None = 0.05) -> DataFrame:
-    """vec_id, score of the nearest by inner product with a unit query, above ``least``; other dimensions are skipped."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    scored = vectors.filter(F.size("vec") == len(query)).select("vec_id", dot(F.col("vec"), q).alias("score"))
+def semantic(vectors: DataFrame, query: DataFrame, limit: int = 20, least: float | None = 0.05) -> DataFrame:
+    """vec_id, score of the nearest by inner product with a unit query (one row: vec), above ``least``; other dimensions are skipped."""
+    q = F.broadcast(query.select(F.col("vec").alias("query")).limit(1))  # one row
+    scored = vectors.join(q, F.expr("size(vec) = size(query)")).select("vec_id", dot(F.col("vec"), F.col("query")).alias("score"))
     if least is not None:
         scored = scored.filter(F.col("score") > least)
     return scored.orderBy(F.desc("score"), "vec_id").limit(limit)

@@ -16,14 +16,14 @@ ORACLES: dict[str, str] = {}
 
 # --- the engine's tables in SQL ------------------------------------------------------------------
 FILES = "files as (select doc_id as id, 'src/' || source || '/' || lang || '/doc_' || doc_id || '.txt' as path, lang, text as content, sha256(text) as sha, n_chars as size, cast(doc_id * 97 % 1000 as double) as mtime from documents)"
-CHUNKS = FILES + ", lined as (select *, string_split(content, chr(10)) as lines from files), cut as (select *, unnest(range(0, greatest(len(lines) - 1 - 5, 0) + 1, 15)) as at_line from lined), chunks as (select id as file_id, path, at_line // 15 as idx, at_line + 1 as start_line, least(at_line + 20, len(lines)) as end_line, array_to_string(lines[at_line + 1 : at_line + 20], chr(10)) as content, id * 1000 + at_line // 15 as chunk_id from cut)"
+CHUNKS = FILES + ", lined as (select *, string_split(content, chr(10)) as lines from files), cut as (select *, unnest(range(0, greatest(len(lines) - 1 - 5, 0) + 1, 15)) as at_line from lined), chunks as (select id as file_id, path, at_line // 15 as idx, at_line + 1 as start_line, least(at_line + 20, len(lines)) as end_line, array_to_string(lines[at_line + 1 : at_line + 20], chr(10)) as content, id * 1048576 + at_line // 15 as chunk_id from cut)"
 SYMBOLS = "symbols as (select p_partkey as id, p_partkey as chunk_id, p_name as name, p_brand as file, p_type as kind, p_size as line from part)"
 
 
 EDGES = f"{SYMBOLS}, l as (select distinct l_orderkey as o, l_linenumber as n, l_partkey as p from lineitem), arcs as (select distinct a.p as src_chunk, b.p as dst from l a join l b on a.o = b.o and a.n + 1 = b.n and a.p <> b.p), edges as (select src_chunk, case when dst % 7 <> 0 then dst end as dst_chunk, name as dst_name, case when (src_chunk + dst) % 5 = 0 then 'imports' else 'calls' end as kind, cast((src_chunk * 31 + dst) % 100 + 1 as int) as line from arcs join symbols on id = dst), both_ways as (select src_chunk as a, dst_chunk as b from edges where dst_chunk is not null union select dst_chunk, src_chunk from edges where dst_chunk is not null), backwards as (select distinct dst_chunk as a, src_chunk as b from edges where dst_chunk is not null), forwards as (select distinct src_chunk as a, dst_chunk as b from edges where dst_chunk is not null)"
 
 
-RECORDS = "records as (select conv_id * 100 + turn as id, conv_id % 3 as ws, role as kind, 'chat' as source, case when turn % 2 = 0 then 'completed' else 'open' end as status, string_split(text, chr(10))[1] as title, text as payload, case when conv_id % 4 = 0 then 'sha' || conv_id end as head_sha from conversations)"
+RECORDS = "records as (select conv_id * 1048576 + turn as id, conv_id % 3 as ws, role as kind, 'chat' as source, case when turn % 2 = 0 then 'completed' else 'open' end as status, string_split(text, chr(10))[1] as title, text as payload, case when conv_id % 4 = 0 then 'sha' || conv_id end as head_sha from conversations)"
 USAGE = "usage as (select event_id as id, event_type as tool, cast(floor(value * 100) as bigint) as latency_ms, event_type <> 'error' as ok, user_id as session, cast(json_extract_string(props, '$.k') as bigint) as hits from events)"
 
 
@@ -188,14 +188,14 @@ def i7_stale_files(spark, d):
     return ingest.stale(old, new).select("path")
 
 
-@query(f"with {CHUNKS}, emb as (select vec_id * 1000 as chunk_id from embeddings) select chunk_id from chunks where chunk_id not in (select chunk_id from emb)")
+@query(f"with {CHUNKS}, emb as (select vec_id * 1048576 as chunk_id from embeddings) select chunk_id from chunks where chunk_id not in (select chunk_id from emb)")
 def j9_pending_embeddings(spark, d):
-    emb = T.vectors(spark, d).select((F.col("vec_id") * 1000).alias("chunk_id"))
+    emb = T.vectors(spark, d).select((F.col("vec_id") * 1048576).alias("chunk_id"))
     return ingest.pending_embeddings(T.chunks(spark, d), emb).select("chunk_id")
 
 
 @query(f"with {CHUNKS} select chunk_id, md5(left(path || chr(10) || 'window' || chr(10) || content, 1800)) as text_md5 from chunks")
-def i24_embed_text(spark, d):
+def i23_embed_text(spark, d):
     c = T.chunks(spark, d).withColumn("symbol", F.lit(None).cast("string")).withColumn("kind", F.lit("window"))
     return ingest.embed_text(c).select("chunk_id", F.md5(F.col("embed_text").cast("binary")).alias("text_md5"))
 
@@ -225,7 +225,7 @@ CALLS = [("api/main.py", 1, "get", "calls"), ("api/main.py", 3, "load", "calls")
 
 @query(f"select path, cast(line as int) as line, name, kind from {sql_values('path line name kind', CALLS)}")
 def i15_y8_call_edges(spark, d):
-    return ingest.call_edges(values(spark, "path content", CODE))
+    return ingest.call_edges(values(spark, "path content", CODE)).drop("qualifier")
 
 
 @query(f"select path, cast(line as int) as line, name, kind from {sql_values('path line name kind', [('web/client.ts', 5, 'Base', 'extends'), ('web/client.ts', 5, 'Face', 'implements')])}")
@@ -244,10 +244,10 @@ def f4_o2_inspect_path(spark, d):
     return lookup.under_path(T.chunks(spark, d), "src/src1", itself=True).orderBy("path", "idx").offset(10).limit(50).select("chunk_id", "path", F.col("start_line").cast("long"))
 
 
-@query(f"with {CHUNKS} select f.path, len(string_split(f.path, '/')) - 1 as depth, coalesce(c.n, 0) as n_chunks, 0 as n_symbols from files f left join (select file_id, count(*) as n from chunks group by 1) c on c.file_id = f.id where starts_with(f.path, 'src/') order by f.path limit 100 offset 20")
+@query(f"with {CHUNKS} select f.path, len(string_split(f.path, '/')) - 1 as depth, coalesce(c.n, 0) as n_chunks, coalesce(y.n, 0) as n_symbols from files f left join (select file_id, count(*) as n from chunks group by 1) c on c.file_id = f.id left join (select p_partkey % 300 as file_id, count(*) as n from part group by 1) y on y.file_id = f.id where starts_with(f.path, 'src/') order by f.path limit 100 offset 20")
 def f5_workspace_tree(spark, d):
-    none = T.symbols(spark, d).select(F.lit(-1).cast("long").alias("file_id")).limit(0)
-    return lookup.workspace_tree(T.files(spark, d), T.chunks(spark, d), none, "src", 100, 20).select("path", F.col("depth").cast("long"), F.col("n_chunks").cast("long"), F.col("n_symbols").cast("int"))
+    placed = T.symbols(spark, d).select((F.col("id") % 300).alias("file_id"))
+    return lookup.workspace_tree(T.files(spark, d), T.chunks(spark, d), placed, "src", 100, 20).select("path", F.col("depth").cast("long"), F.col("n_chunks").cast("long"), F.col("n_symbols").cast("long"))
 
 
 @query(f"with {FILES} select id, len(list_filter(['the', 'que', 'ver'], lambda t: contains(lower(content), t))) as n_terms from files where len(list_filter(['the', 'que', 'ver'], lambda t: contains(lower(content), t))) > 0")
@@ -256,18 +256,18 @@ def f12_substring_terms(spark, d):
     return fts.substring_filter(s, F.col("content"), ["the", "que", "ver", "ab"]).select("id", F.col("n_terms").cast("long"))
 
 
-@query(f"with {SYMBOLS}, wanted as (select distinct name from symbols order by name limit 5), r as (select *, row_number() over (partition by name order by id) as rn from symbols where name in (select name from wanted)) select name, id, file, kind from r where rn <= 25")
+@query(f"with {CHUNKS}, {SYMBOLS}, wanted as (select distinct name from symbols order by name limit 5), r as (select *, row_number() over (partition by name order by id) as rn from symbols where name in (select name from wanted)) select r.name, r.id, f.path, c.start_line, c.end_line from r join files f on f.id = r.id % 200 left join chunks c on c.chunk_id = (r.id % 200) * 1048576 + r.line % 3 where rn <= 25")
 def j2_find_definitions(spark, d):
-    s = T.symbols(spark, d)
+    s = T.symbols(spark, d).withColumn("file_id", F.col("id") % 200).withColumn("chunk_id", F.col("file_id") * 1048576 + F.col("line") % 3)
     names = s.select("name").distinct().orderBy("name").limit(5)
-    w = Window.partitionBy("name").orderBy("id")
-    return s.join(names, "name", "left_semi").withColumn("rn", F.row_number().over(w)).filter("rn <= 25").select("name", "id", "file", "kind")
+    found = lookup.find_definitions(s, names, T.files(spark, d), T.chunks(spark, d))
+    return found.select("name", "id", "path", F.col("start_line").cast("long"), F.col("end_line").cast("long"))
 
 
 @query(f"with {EDGES}, n as (select min(name) as name from symbols), e as (select * from edges where kind in ('calls', 'imports')) select distinct src_chunk from e where dst_name = (select name from n) or dst_chunk in (select chunk_id from symbols where name = (select name from n)) order by 1 limit 50")
 def j3_find_usages(spark, d):
     s = T.symbols(spark, d)
-    return lookup.find_usages(T.edges(spark, d), s, s.agg(F.min("name")).first()[0], ["calls", "imports"])
+    return lookup.find_usages(T.edges(spark, d), s, s.agg(F.min("name").alias("name")), ["calls", "imports"])
 
 
 @query(f"with {EDGES} select distinct e.src_chunk, e.dst_chunk, e.kind from edges e where e.dst_chunk in (select p_partkey from part)")
@@ -327,7 +327,7 @@ def j8_relabel_bases(spark, d):
     return lookup.relabel_bases(e, s).select("src_chunk", "dst_name", "kind")
 
 
-@query(f"with {CHUNKS}, q as (select path, id % 40 + 1 as line from files) select q.path, q.line, arg_min(c.chunk_id, (c.end_line - c.start_line) * 100000000 + c.chunk_id) as chunk_id from q join chunks c on c.path = q.path and q.line between c.start_line and c.end_line group by 1, 2")
+@query(f"with {CHUNKS}, q as (select path, id % 40 + 1 as line from files) select q.path, q.line, arg_min(c.chunk_id, (c.end_line - c.start_line) * 1000000000000 + c.chunk_id) as chunk_id from q join chunks c on c.path = q.path and q.line between c.start_line and c.end_line group by 1, 2")
 def j10_line_in_chunk(spark, d):
     q = T.files(spark, d).select("path", (F.col("id") % 40 + 1).alias("line"))
     return lookup.chunk_at(q, T.chunks(spark, d))
@@ -354,9 +354,9 @@ def j13_union_scopes(spark, d):
     return ledger.union_scopes(r.filter("status = 'completed'"), r).select("id", "scope")
 
 
-@query(f"with {RECORDS}, {FILES}, {SYMBOLS}, a as (select id, unnest(['src/src0/fr/doc_' || (id // 100) || '.txt', 'name_' || id]) as anchor from records where head_sha is not null and head_sha <> 'sha4') select id, list_sort(list(distinct anchor)) as missing from a where not (contains(anchor, '/') and anchor in (select path from files)) and not (not contains(anchor, '/') and anchor in (select name from symbols)) group by 1")
+@query(f"with {RECORDS}, {FILES}, {SYMBOLS}, a as (select id, unnest(['src/src0/fr/doc_' || (id // 1048576) || '.txt', 'name_' || id]) as anchor from records where head_sha is not null and head_sha <> 'sha4') select id, list_sort(list(distinct anchor)) as missing from a where not (contains(anchor, '/') and anchor in (select path from files)) and not (not contains(anchor, '/') and anchor in (select name from symbols)) group by 1")
 def j14_stale_anchors(spark, d):
-    anchors = F.array(F.concat(F.lit("src/src0/fr/doc_"), F.floor(F.col("id") / 100).cast("string"), F.lit(".txt")), F.concat(F.lit("name_"), F.col("id").cast("string")))
+    anchors = F.array(F.concat(F.lit("src/src0/fr/doc_"), F.floor(F.col("id") / 1048576).cast("string"), F.lit(".txt")), F.concat(F.lit("name_"), F.col("id").cast("string")))
     return ledger.stale_anchors(T.records(spark, d).withColumn("anchors", anchors), T.files(spark, d), T.symbols(spark, d), "sha4")
 
 
@@ -456,19 +456,22 @@ def a17_ir_metrics(spark, d):
 
 # --- full text ---------------------------------------------------------------------------------------
 CLAUSES = [("theor", None), ("queil", None), ("vere", None), ("src1", "path")]
-_POST = FILES + ", f as (select id, 'content' as field, lower(content) as x from files union all select id, 'path', lower(path) from files), tok as (select id, field, unnest(list_filter(regexp_split_to_array(x, '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as token from f), post as (select id, field, token, count(*) as tf from tok group by all), sized as (select id, sum(tf) as len from post group by 1), tot as (select count(*) as n, avg(len) as mean from sized)"
+_RUNS = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda t: t <> '')"
+_TWICE = "array_to_string(flatten(list_transform(" + _RUNS + ", lambda r: [r, r])), ' ')"
+_POST = FILES + f", g as (select *, 'doc' || id || ' ' || lang as sym from files), f as (select id, 'content' as field, lower(content) as x from g union all select id, 'path', {_TWICE.format('path')} from g union all select id, 'symbol', {_TWICE.format('sym')} from g union all select id, 'folded', {STRIP.format("concat_ws(' ', content, path, sym)")} from g)" + ", tok as (select id, field, unnest(list_filter(regexp_split_to_array(x, '[^\\p{L}\\p{N}]+'), lambda t: t <> '')) as token from f), post as (select id, field, token, count(*) as tf from tok group by all), sized as (select id, sum(tf) as len from post group by 1), tot as (select count(*) as n, avg(len) as mean from sized)"
 
 
-def bm25_sql(clauses: list[tuple[str, str | None]], weights: dict[str, float], post: str = _POST) -> str:
+def bm25_sql(clauses: list[tuple[str, str | None]], weights: dict[str, float], post: str = _POST, exact: bool = False, tag: str = "") -> str:
+    """Tables up to bm<tag> (id, score); with an empty ``post`` those of the index are there already."""
     w = "case field " + " ".join(f"when '{f}' then {x}" for f, x in weights.items()) + " end"
     rows = ", ".join(f"({i}, '{p}', {'null' if f is None else repr(f)})" for i, (p, f) in enumerate(clauses))
-    return f"{post}, cl(clause, prefix, only_field) as (values {rows}), tf as (select clause, id, sum(tf * {w}) as tf from post join cl on starts_with(token, prefix) and (only_field is null or only_field = field) group by 1, 2), df as (select clause, count(*) as df from tf group by 1), bm as (select tf.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from tf join df using (clause) join sized on sized.id = tf.id cross join tot group by 1)"
+    match = "token = prefix" if exact else "starts_with(token, prefix)"
+    index = f"{post}, " if post else ""
+    return f"{index}cl{tag}(clause, prefix, only_field) as (values {rows}), tf{tag} as (select clause, id, sum(tf * {w}) as tf from post join cl{tag} on {match} and (only_field is null or only_field = field) group by 1, 2), df{tag} as (select clause, count(*) as df from tf{tag} group by 1), bm{tag} as (select t.id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) as score from tf{tag} t join df{tag} using (clause) join sized on sized.id = t.id cross join tot group by 1)"
 
 
-def _bm25(spark, d, clauses=None, weights=None):
-    s = T.sources(spark, d).withColumnRenamed("doc_id", "id")
-    post = fts.postings(s, {"content": F.col("content"), "path": F.col("path")})
-    return fts.bm25f(post, clauses or CLAUSES, weights or fts.WEIGHTS)
+def _bm25(spark, d, clauses=None, weights=None, exact=False):
+    return fts.bm25f(T.postings(spark, d), clauses or CLAUSES, weights or fts.WEIGHTS, sized=T.lengths(spark, d), exact=exact)
 
 
 @query(f"with {bm25_sql(CLAUSES, fts.WEIGHTS)} select id, round(score, 6) as score from bm order by bm.score desc, id limit 20")
@@ -476,19 +479,22 @@ def t8_bm25f(spark, d):
     return _bm25(spark, d).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
 
 
-Y1 = {"content": 5.0, "path": 2.0}
+Y1 = {"content": 5.0, "path": 2.0, "symbol": 4.0, "folded": 1.0}
 
 
-@query(f"with {bm25_sql([('the', None), ('src1', None)], Y1)} select id, round(score, 6) as score from bm order by bm.score desc, id limit 20")
+@query(f"with {bm25_sql([('the', None), ('src1', None)], Y1, exact=True)} select id, round(score, 6) as score from bm order by bm.score desc, id limit 20")
 def y1_bm25f_port_weights(spark, d):
-    return _bm25(spark, d, [("the", None), ("src1", None)], Y1).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+    return _bm25(spark, d, [("the", None), ("src1", None)], Y1, exact=True).orderBy(F.desc("score"), "id").limit(20).select("id", F.round("score", 6).alias("score"))
+
+
+ACCENTED = [("été", None), ("première", None)]
+FOLDED = fts.folded_variants("été première")
 
 
-@query(f"with {bm25_sql(CLAUSES[:1], fts.WEIGHTS)}, first as (select id, score from bm order by score desc, id limit 5), second as (select id, cast(size as double) as score from files where id not in (select id from first)), u as (select id, score, 0 as tier from first union all select id, score, 1 from second) select id, tier from u order by tier, score desc, id limit 12")
+@query(f"with {bm25_sql(ACCENTED, fts.WEIGHTS)}, {bm25_sql(FOLDED, fts.WEIGHTS, '', tag='2')}, first as (select id, score, 0 as tier from bm order by bm.score desc, id limit 5) select id, tier from (select * from first union all select id, score, 1 as tier from bm2 where id not in (select id from first)) order by tier, score desc, id limit 12")
 def t9_tail_fill(spark, d):
-    first = _bm25(spark, d, CLAUSES[:1]).orderBy(F.desc("score"), "id").limit(5)
-    second = T.files(spark, d).select("id", F.col("size").cast("double").alias("score"))
-    return fts.tail_fill(first, second, 12).select("id", "tier")
+    first = _bm25(spark, d, ACCENTED).orderBy(F.desc("score"), "id").limit(5)
+    return fts.tail_fill(first, _bm25(spark, d, FOLDED), 12).select("id", "tier")
 
 
 @query(f"""with {FILES}, h as (select id, ' ' || array_to_string(list_filter(regexp_split_to_array({STRIP.format('content')}, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> ''), ' ') || ' ' as hay from files), n as (select id, cast(contains(hay, ' of the ') as int) + cast(contains(hay, ' the by ') as int) + cast(contains(hay, ' by la ') as int) as n_pairs from h) select id, n_pairs from n where n_pairs > 0""")
@@ -527,7 +533,7 @@ _V = "q as (select embedding as v from embeddings where vec_id = 0), sem as (sel
 
 
 def _first_vector(spark, d):
-    return T.vectors(spark, d).filter("vec_id = 0").first()["vec"]
+    return T.vectors(spark, d).filter("vec_id = 0").select("vec")
 
 
 @query(f"with {_V} select id as vec_id, round(score, 6) as score from sem where score > 0.05 order by sem.score desc, id limit 20")
@@ -583,7 +589,7 @@ def r3_a12_symbol_leg(spark, d):
 
 # --- graph -------------------------------------------------------------------------------------------
 def _seed(spark, d):
-    return T.edges(spark, d).filter("dst_chunk is not null").agg(F.min("src_chunk")).first()[0]
+    return T.edges(spark, d).filter("dst_chunk is not null").agg(F.min("src_chunk").alias("node"))
 
 
 _SEED = "s as (select min(src_chunk) as x from edges where dst_chunk is not null)"
@@ -601,7 +607,7 @@ def g1_neighbours(spark, d):
 @query(f"with recursive {EDGES}, s as (select max(dst_chunk) as x from edges), {_bfs_sql('backwards', 3)} select node, depth from best where depth > 0")
 def g5_impact(spark, d):
     e = T.edges(spark, d)
-    return graph.impact(e, e.agg(F.max("dst_chunk")).first()[0], 3)
+    return graph.impact(e, e.agg(F.max("dst_chunk").alias("node")), 3)
 
 
 @query(f"with {EDGES}, seeds as (select distinct src_chunk as node, 1.0 / (src_chunk + 1) as score from edges where dst_chunk is not null order by 1 limit 3), s0 as (select node, max(score) as score from seeds group by 1), s1 as (select b as node, max(score) * 0.7 as score from s0 join both_ways on a = node where b not in (select node from s0) group by 1), s2 as (select b as node, max(score) * 0.7 as score from s1 join both_ways on a = node where b not in (select node from s0 union select node from s1) group by 1), u as (select node, 1 as depth, round(score, 4) as score from s1 union all select node, 2, round(score, 4) from s2) select node, depth, score from u order by depth, score desc, node limit 60")
@@ -614,8 +620,8 @@ def g2_expand(spark, d):
 def _pair(spark, d):
     e = T.edges(spark, d)
     start = _seed(spark, d)
-    far = graph.reach(e, spark.createDataFrame([(start,)], "node long"), 3, "out").orderBy(F.desc("depth"), "node").first()
-    return start, far["node"]
+    far = graph.reach(e, start, 3, "out").orderBy(F.desc("depth"), "node").limit(1)
+    return start, far.select("node")
 
 
 _TARGET = f"{_bfs_sql('forwards', 3)}, t as (select node as y from best order by depth desc, node limit 1)"

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import fts
 from ..operators.ingest import window_chunks
+from .storage import kept
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +34,11 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consecutive parts of an order call each other; each seventh target is unresolved."""
+    """Consecutive parts of an order call each other; each seventh target is unresolved.  Kept, ordered by source."""
+    return kept(spark, sf_dir, "edges", lambda: _edges(spark, sf_dir), ("src_chunk", "dst_name"))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     a, b = l.alias("a"), l.alias("b")
     arcs = a.join(b, F.expr("a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber and a.l_partkey <> b.l_partkey")).select(F.col("a.l_partkey").alias("src_chunk"), F.col("b.l_partkey").alias("dst")).distinct()
@@ -43,7 +49,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), (F.col("conv_id") % 3).alias("ws"), F.col("role").alias("kind"), F.lit("chat").alias("source"), F.when(F.col("turn") % 2 == 0, "completed").otherwise("open").alias("status"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("payload"), (F.col("conv_id") * 100 + F.col("turn")).cast("double").alias("created_at"), F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("sha"), F.col("conv_id").cast("string"))).alias("head_sha"))
+    return c.select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("id"), (F.col("conv_id") % 3).alias("ws"), F.col("role").alias("kind"), F.lit("chat").alias("source"), F.when(F.col("turn") % 2 == 0, "completed").otherwise("open").alias("status"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("payload"), (F.col("conv_id") * (1 << 20) + F.col("turn")).cast("double").alias("created_at"), F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("sha"), F.col("conv_id").cast("string"))).alias("head_sha"))
 
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,3 +59,18 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("vec"), "label")
+
+
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index of all documents: id, field, token, tf.  Kept, ordered by token."""
+
+    def build() -> DataFrame:
+        s = sources(spark, sf_dir).withColumnRenamed("doc_id", "id")
+        return fts.postings(s, fts.index_fields(F.col("content"), F.col("path"), F.concat_ws(" ", F.concat(F.lit("doc"), F.col("id").cast("string")), "lang")))
+
+    return kept(spark, sf_dir, "postings", build, ("token",))
+
+
+def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and number of tokens over all fields of every document.  Kept."""
+    return kept(spark, sf_dir, "lengths", lambda: fts.lengths(postings(spark, sf_dir)))

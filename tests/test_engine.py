@@ -19,7 +19,7 @@ def duck(sf):
     return compare.connect(sf)
 
 
-@pytest.mark.parametrize("name", sorted(engine.QUERIES))
+@pytest.mark.parametrize("name", sorted(engine.ORACLES))
 def test_query_equals_sql(spark, sf, duck, name):
     df = engine.QUERIES[name](spark, sf)
     cols, rows = compare.duck_rows(duck, engine.ORACLES[name])
