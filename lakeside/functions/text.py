@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -188,3 +189,25 @@ def norm_route(raw: Column) -> Column:
     p = F.regexp_replace(p, r"(?<=.)/+$", "")
     known = p.rlike(r"(?i)^/(api|graphql|auth|health|status|webhook|oauth)(/|$)") | p.rlike(r"^/v\d*(/|$)")
     return F.when(~gone & (F.length(p) > 1) & ~p.contains(" ") & (p.rlike(r"^/[^/]*/.") | known), p)
+
+
+def _glob(pattern: str, star: str) -> str:
+    return "".join(star if c == "*" else "." if c == "?" else re.escape(c) for c in pattern)
+
+
+def ignored_by(path: Column, patterns: list[str]) -> Column:
+    """Whether an ignore pattern covers a path: ``dir/`` a directory of it, one with a slash the whole path, else its name; lines with ! count for nothing."""
+    out = F.lit(False)
+    for raw in patterns:
+        p = raw.strip().removeprefix("/")
+        if not p or raw.startswith(("!", "#")):
+            continue
+        if p.endswith("/"):
+            body = _glob(p[:-1], "[^/]*")
+            hit = path.rlike(f"^{body}/") if "/" in p[:-1] else path.rlike(f"(^|/){body}/")
+        elif "/" in p:
+            hit = path.rlike(f"^{_glob(p, '.*')}$")
+        else:
+            hit = base_name(path).rlike(f"^{_glob(p, '.*')}$")
+        out = out | hit
+    return out

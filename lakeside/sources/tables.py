@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fts
+from ..operators import code as codeops
+from ..operators import fts, ingest, lookup
 from ..operators.ingest import window_chunks
 from .storage import kept
 
@@ -38,13 +39,17 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "edges", lambda: _edges(spark, sf_dir), ("src_chunk", "dst_name"))
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src_chunk, dst of parts that follow one another in an order, each pair once."""
     l = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
     a, b = l.alias("a"), l.alias("b")
-    arcs = a.join(b, F.expr("a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber and a.l_partkey <> b.l_partkey")).select(F.col("a.l_partkey").alias("src_chunk"), F.col("b.l_partkey").alias("dst")).distinct()
+    return a.join(b, F.expr("a.l_orderkey = b.l_orderkey and a.l_linenumber + 1 = b.l_linenumber and a.l_partkey <> b.l_partkey")).select(F.col("a.l_partkey").alias("src_chunk"), F.col("b.l_partkey").alias("dst")).distinct()
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = symbols(spark, sf_dir).select(F.col("id").alias("dst"), F.col("name").alias("dst_name"))
     kind = F.when((F.col("src_chunk") + F.col("dst")) % 5 == 0, "imports").otherwise("calls")
-    return arcs.join(names, "dst").select("src_chunk", F.when(F.col("dst") % 7 != 0, F.col("dst")).alias("dst_chunk"), "dst_name", kind.alias("kind"), ((F.col("src_chunk") * 31 + F.col("dst")) % 100 + 1).cast("int").alias("line"))
+    return arcs(spark, sf_dir).join(names, "dst").select("src_chunk", F.when(F.col("dst") % 7 != 0, F.col("dst")).alias("dst_chunk"), "dst_name", kind.alias("kind"), ((F.col("src_chunk") * 31 + F.col("dst")) % 100 + 1).cast("int").alias("line"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,3 +79,59 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id and number of tokens over all fields of every document.  Kept."""
     return kept(spark, sf_dir, "lengths", lambda: fts.lengths(postings(spark, sf_dir)))
+
+
+def module_path(p: Column) -> Column:
+    """File of a part's module: a quarter of them are tests."""
+    p = p.cast("string")
+    return F.when(p.cast("long") % 4 == 0, F.concat(F.lit("tests/test_m"), p, F.lit(".py"))).otherwise(F.concat(F.lit("pkg"), (p.cast("long") % 10).cast("string"), F.lit("/m"), p, F.lit(".py")))
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p, k, path, content: a Python module for each part that imports and calls the k parts after it in orders.  Kept.
+
+    Line 1 is a comment, then k imports, a class with an annotated member, a function with k calls (each third
+    one qualified) and a return.
+    """
+
+    def build() -> DataFrame:
+        callees = arcs(spark, sf_dir).groupBy(F.col("src_chunk").alias("p")).agg(F.array_sort(F.collect_list("dst")).alias("c"))
+        all_parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("p")).join(callees, "p", "left")
+        s, c = F.col("p").cast("string"), F.coalesce("c", F.array().cast("array<bigint>"))
+        mod = lambda m: (F.col("p") % m).cast("string")
+        imports = F.transform(c, lambda x: F.concat(F.lit("import m"), x.cast("string")))
+        calls = F.transform(c, lambda x: F.concat(F.lit("    "), F.when(x % 3 == 0, F.concat(F.lit("m"), x.cast("string"), F.lit("."))).otherwise(""), F.lit("f"), x.cast("string"), F.lit("(a)")))
+        head = F.array(F.concat(F.lit("# module m"), s, F.lit(" f0(a)")))
+        body = F.array(F.concat(F.lit("class C"), s, F.lit("(B"), mod(7), F.lit("):")), F.concat(F.lit("    kind: K"), mod(5), F.lit(" = K"), mod(5), F.lit("("), s, F.lit(")")), F.lit(""), F.concat(F.lit("def f"), s, F.lit("(a, b="), mod(3), F.lit("):")))
+        tail = F.array(F.concat(F.lit("    return g"), mod(11), F.lit("(b)")))
+        return all_parts.select("p", F.size(c).cast("long").alias("k"), module_path(F.col("p")).alias("path"), F.array_join(F.concat(head, imports, body, calls, tail), "\n").alias("content"))
+
+    return kept(spark, sf_dir, "code", build)
+
+
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations found in the modules.  Kept."""
+    return kept(spark, sf_dir, "code_symbols", lambda: codeops.symbols(code(spark, sf_dir)))
+
+
+def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, line, name, qualifier, kind, target (file, or null) of the calls found in the modules, resolved.  Kept."""
+
+    def build() -> DataFrame:
+        src = code(spark, sf_dir)
+        calls = ingest.call_edges(src).withColumn("edge_id", F.xxhash64("path", "line", "name", "kind"))
+        found = code_symbols(spark, sf_dir).select(F.xxhash64("path", "name").alias("id"), F.xxhash64("path", "name").alias("chunk_id"), "name", F.col("path").alias("file"))
+        scope = codeops.import_scope(ingest.import_edges(src), src.select("path"))
+        asked = calls.select("edge_id", F.col("path").alias("file"), F.col("name").alias("dst_name"), "qualifier")
+        to = lookup.resolve_edges(asked, found, scope.select("file", F.col("target").alias("imported")).distinct(), scope)
+        return calls.join(to, "edge_id").join(found.select(F.col("id").alias("dst_chunk"), F.col("file").alias("target")), "dst_chunk", "left").select("path", "line", "name", "qualifier", "kind", "target")
+
+    return kept(spark, sf_dir, "code_edges", build)
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log: the orders of a customer as a git log, the modules of their parts as files."""
+    files = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct().groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l_partkey")), module_path), "\n").alias("files"))
+    o = read(spark, sf_dir, "orders").join(files, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    row = F.concat(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256), F.lit("\x1forder "), F.col("o_orderkey").cast("string"), F.lit("\x1f"), F.coalesce("files", F.lit("")))
+    return o.groupBy("o_custkey").agg(F.concat(F.lit("\x1e"), F.array_join(F.array_sort(F.collect_list(row)), "\x1e")).alias("log"))
