@@ -139,9 +139,10 @@ def record_relevance(records: DataFrame, query: str) -> DataFrame:
 
 
 def substring_filter(docs: DataFrame, text: Column, terms: list[str]) -> DataFrame:
-    """id and number of terms (3 characters and more, 12 at most) contained in the text, cases folded."""
+    """id and number of terms (3 characters and more, 12 at most) contained in the text, cases folded, or in the text without marks."""
     terms = [t.lower() for t in terms if len(t) >= 3][:12]
-    n = sum((F.when(F.lower(text).contains(t), 1).otherwise(0) for t in terms), F.lit(0))
+    low, plain = F.lower(text), fold_text(text)
+    n = sum((F.when(low.contains(t) | plain.contains(fold_literal(t)), 1).otherwise(0) for t in terms), F.lit(0))
     return docs.select("id", n.alias("n_terms")).filter("n_terms > 0")
 
 

@@ -131,3 +131,21 @@ def embed_text(chunks: DataFrame) -> DataFrame:
     """What is embedded of a chunk: path, symbol or kind, content; the first 1800 characters."""
     label = F.coalesce("symbol", "kind", F.lit(""))
     return chunks.withColumn("embed_text", F.substring(F.concat(F.col("path"), F.lit("\n"), label, F.lit("\n"), F.col("content")), 1, 1800))
+
+
+def section_chunks(src: DataFrame, least: int = 4) -> DataFrame:
+    """Sections of Markdown: path, idx, start_line, end_line; a line that begins with # cuts when more than ``least`` lines came since the last cut.
+
+    The cuts of a file depend on one another, so its lines are folded into an array of starts.
+    """
+    lines = src.select("path", F.split("content", "\n").alias("lines"))
+    heads = F.filter(F.transform("lines", lambda t, i: F.when(t.startswith("#"), i + 1)), lambda at: at.isNotNull())
+    starts = F.aggregate(heads, F.array(F.lit(1)), lambda acc, at: F.when(at - F.element_at(acc, -1) > least, F.concat(acc, F.array(at))).otherwise(acc))
+    cut = lines.select("path", F.size("lines").alias("n"), starts.alias("starts")).select("path", "n", "starts", F.posexplode("starts").alias("idx", "start_line"))
+    return cut.select("path", "idx", "start_line", F.coalesce(F.try_element_at("starts", F.col("idx") + 2) - 1, F.col("n")).alias("end_line"))
+
+
+def cascade(stale_files: DataFrame, *tables: DataFrame) -> tuple[DataFrame, ...]:
+    """Each table (file_id, ...) without the rows of deleted files (id)."""
+    gone = stale_files.select(F.col("id").alias("file_id"))
+    return tuple(t.join(gone, "file_id", "left_anti") for t in tables)

@@ -51,3 +51,39 @@ def usage_stats(usage: DataFrame) -> DataFrame:
 
 def zero_hits(usage: DataFrame, tool: str = "search", limit: int = 20) -> DataFrame:
     return usage.filter((F.col("tool") == tool) & (F.col("hits") == 0) & F.col("query").isNotNull()).groupBy("query").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "query").limit(limit)
+
+
+# Kinds of records that may be put.
+PUT_KINDS = ("note", "finding", "decision", "todo", "context_pack", "ask", "commit", "checkpoint", "miss")
+
+
+def put_records(local: DataFrame, shared: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both ledgers with the new records of an allowed kind appended."""
+    ok = new.filter(F.col("kind").isin(*PUT_KINDS))
+    return local.unionByName(ok), shared.unionByName(ok)
+
+
+def get_records(local: DataFrame, shared: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted ids from the local ledger, else from the shared one."""
+    both = local.withColumn("scope", F.lit(0)).unionByName(shared.withColumn("scope", F.lit(1))).join(wanted, "id", "left_semi")
+    w = Window.partitionBy("id").orderBy("scope")
+    return both.withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+
+
+def search_records(ranked: DataFrame, folded: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
+    """A page of full-text hits (id, score) followed by folded ones (id, relevance) not among them: id, match."""
+    first = ranked.select("id", "score", F.lit("fts").alias("match"), F.lit(0).alias("tier"))
+    more = folded.join(ranked.select("id"), "id", "left_anti").select("id", F.col("relevance").alias("score"), F.lit("folded").alias("match"), F.lit(1).alias("tier"))
+    return first.unionByName(more).orderBy("tier", F.desc("score"), F.desc("id")).offset(offset).limit(limit).select("id", "match")
+
+
+def telemetry(calls: DataFrame) -> DataFrame:
+    """id, ok, hits, top_paths of tool calls (id, response as JSON): an error makes it not ok, hits are the results' number, five paths stay."""
+    r = F.from_json("response", "error string, results array<struct<path:string>>")
+    return calls.select("id", r["error"].isNull().alias("ok"), F.when(r["results"].isNotNull(), F.size(r["results"])).alias("hits"), F.slice(F.coalesce(r["results"]["path"], F.array().cast("array<string>")), 1, 5).alias("top_paths"))
+
+
+def snapshot_restored(snapshot: DataFrame, chunks: DataFrame, dim: int) -> DataFrame:
+    """chunk_id, vec of chunks whose embedded text (embed_text) a snapshot (embed_text, vec) has, if of the same dimension; the smallest vec between several."""
+    fits = snapshot.filter(F.size("vec") == dim).groupBy(F.sha2(F.col("embed_text").cast("binary"), 256).alias("h")).agg(F.min("vec").alias("vec"))
+    return chunks.select("chunk_id", F.sha2(F.col("embed_text").cast("binary"), 256).alias("h")).join(fits, "h").select("chunk_id", "vec")

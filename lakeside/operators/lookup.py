@@ -122,3 +122,18 @@ def implicit_targets(events: DataFrame) -> DataFrame:
     w = Window.partitionBy("session").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
     last = F.last(F.when(F.col("tool") == "search", F.struct("id", "top")), ignorenulls=True).over(w)
     return events.withColumn("s", last).filter("tool <> 'search' and s is not null and array_contains(s.top, target)").select("id", "session", F.col("s.id").alias("search_id"), "target")
+
+
+def fetch_chunks(chunks: DataFrame, ids: DataFrame, most: int = 100, bodies: int = 50) -> DataFrame:
+    """Chunks of wanted ids (chunk_id), ``most`` at most, the first ``bodies`` with their content."""
+    # an answer's ids: at most ``most`` rows, so one window over all of them is small
+    wanted = ids.distinct().orderBy("chunk_id").limit(most).withColumn("rn", F.row_number().over(Window.orderBy("chunk_id")))
+    return chunks.join(F.broadcast(wanted), "chunk_id").withColumn("content", F.when(F.col("rn") <= bodies, F.col("content"))).drop("rn")
+
+
+def nearest_root(paths: DataFrame, roots: DataFrame, levels: int = 64) -> DataFrame:
+    """path and the longest root that is one of its directories, ``levels`` up at most; paths below none are left out."""
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.least(F.size(parts) - 1, F.lit(levels))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    j = paths.filter(F.contains("path", F.lit("/"))).select("path", F.explode(ups).alias("root")).join(roots.distinct(), "root")
+    return j.groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))

@@ -45,6 +45,6 @@ def boosts(hits: DataFrame, symbol_overlap: Column, path_overlap: Column, archiv
 
 
 def ir_metrics(ranks: DataFrame) -> DataFrame:
-    """recall at 1, 5, 10 and mean reciprocal rank of (query, rank; null: not found)."""
+    """recall at 1, 5, 10, mean reciprocal rank, nearest-rank median and p95 of (query, rank; null: not found)."""
     at = [F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}") for k in (1, 5, 10)]
-    return ranks.agg(*at, F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"))
+    return ranks.agg(*at, F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), *(F.expr(f"percentile_disc({p}) within group (order by rank)").alias(n) for p, n in ((0.5, "median"), (0.95, "p95"))))

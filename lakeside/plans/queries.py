@@ -48,7 +48,18 @@ def sql_values(cols: str, rows: list[tuple]) -> str:
     return "(values " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") as t({', '.join(cols.split())})"
 
 
-PATHS = [("src/app/Main.swift",), ("web/client.test.ts",), ("Makefile",), ("docs/_archive-2020/README.md",), ("lib/old/x.py",), ("tests/test_a.py",), ("contest.py",), ("a/b/.env",), ("conf/app.toml",), ("data/x.CSV",), ("noext",), ("pkg/spec/thing_test.go",), ("a/id_rsa.pub",), ("my/Secrets.json",), ("web/api.mock.js",), ("dir.v1/file",)]
+DIRS = ["src/app", "web", "", "docs/_archive-2020", "lib/old", "tests", "a/b", "conf", "pkg/spec", "my", "dir.v1"]
+LEAVES = ["Main.swift", "client.test.ts", "Makefile", "README.md", "x.py", "test_a.py", "contest.py", ".env", "app.toml", "x.CSV", "noext", "thing_test.go", "id_rsa.pub", "Secrets.json", "api.mock.js", "file"]
+#: A path for each part: folders and names of all kinds in turn.
+ODD = f"(select p_partkey as id, case when {DIRS}[p_partkey % {len(DIRS)} + 1] = '' then '' else {DIRS}[p_partkey % {len(DIRS)} + 1] || '/' end || {LEAVES}[p_partkey // {len(DIRS)} % {len(LEAVES)} + 1] as path from part) as t"
+
+
+def odd_paths(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("p_partkey")
+    at = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    folder = at(DIRS, i)
+    return T.read(spark, d, "part").select(i.alias("id"), F.concat(F.when(folder == "", "").otherwise(F.concat(folder, F.lit("/"))), at(LEAVES, F.floor(i / len(DIRS)))).alias("path"))
+
 
 # --- functions -----------------------------------------------------------------------------------
 STRIP = "replace(replace(strip_accents(lower({})), 'đ', 'd'), 'ı', 'ı')"
@@ -66,26 +77,29 @@ def s3_alnum_split(spark, d):
     return T.read(spark, d, "documents").select("doc_id", F.size(w).cast("long").alias("n"), F.md5(F.array_join(w, " ").cast("binary")).alias("words_md5"))
 
 
-NAMES = [("CMSRedirects", "cms redirects"), ("P8Catalog", "p8 catalog"), ("URLSession", "url session"), ("AB", "ab"), ("base64", "base64"), ("resolve_edges", "resolve edges"), ("fooBar", "foo bar"), ("HTTPServerV2", "http server v2")]
+CASES = "case p_partkey % 4 when 0 then a || upper(b[1]) || b[2:] when 1 then a || '_' || b when 2 then upper(a) || upper(b[1]) || b[2:] else upper(a[1]) || a[2:] || upper(b) end"
 
 
-@query(f"select name, parts from {sql_values('name parts', NAMES)}")
+@query(f"with w as (select p_partkey, string_split(p_name, ' ')[1] as a, string_split(p_name, ' ')[2] as b from part) select p_partkey as id, {CASES} as name, a || ' ' || b as parts from w")
 def t3_symbol_tokens(spark, d):
-    return values(spark, "name parts", NAMES).select("name", F.array_join(X.symbol_tokens(F.col("name")), " ").alias("parts"))
-
-
-TOKENIZED = [("cham_cong.py", "cham cham cong cong py py"), ("src/fooBar.ts", "src src foobar foo bar ts ts")]
+    w, i = F.split("p_name", " "), F.col("p_partkey")
+    a, b = F.element_at(w, 1), F.element_at(w, 2)
+    name = F.when(i % 4 == 0, F.concat(a, F.initcap(b))).when(i % 4 == 1, F.concat(a, F.lit("_"), b)).when(i % 4 == 2, F.concat(F.upper(a), F.initcap(b))).otherwise(F.concat(F.initcap(a), F.upper(b)))
+    return T.read(spark, d, "part").select(i.alias("id"), name.alias("name")).select("id", "name", F.array_join(X.symbol_tokens(F.col("name")), " ").alias("parts"))
 
 
-@query(f"select path, tokens from {sql_values('path tokens', TOKENIZED)}")
+@query("with w as (select p_partkey as id, string_split(p_name, ' ')[1] as a, string_split(p_name, ' ')[2] as b from part) select id, 'src/' || a || '_' || b || '/' || a || upper(b[1]) || b[2:] || '.ts' as path, concat_ws(' ', 'src', 'src', a, a, b, b, a || b, a, b, 'ts', 'ts') as tokens from w")
 def t4_path_tokens(spark, d):
-    return values(spark, "path tokens", TOKENIZED).select("path", F.array_join(X.path_tokens(F.col("path")), " ").alias("tokens"))
+    w = F.split("p_name", " ")
+    a, b = F.element_at(w, 1), F.element_at(w, 2)
+    path = F.concat(F.lit("src/"), a, F.lit("_"), b, F.lit("/"), a, F.initcap(b), F.lit(".ts"))
+    return T.read(spark, d, "part").select(F.col("p_partkey").alias("id"), path.alias("path")).select("id", "path", F.array_join(X.path_tokens(F.col("path")), " ").alias("tokens"))
 
 
-@query(f"""select path, string_split(path, '/')[-1] as base, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as dir, case when contains(path, '/') then string_split(path, '/')[1] else '' end as top, lower(regexp_extract(string_split(path, '/')[-1], '[^.]\\.([^.]*)$', 1)) as ext from {sql_values('path', PATHS)}""")
+@query(f"""select id, path, string_split(path, '/')[-1] as base, case when contains(path, '/') then regexp_replace(path, '/[^/]*$', '') else '' end as dir, case when contains(path, '/') then string_split(path, '/')[1] else '' end as top, lower(regexp_extract(string_split(path, '/')[-1], '[^.]\\.([^.]*)$', 1)) as ext from {ODD}""")
 def s4_path_ops(spark, d):
     p = F.col("path")
-    return values(spark, "path", PATHS).select("path", X.base_name(p).alias("base"), X.dir_name(p).alias("dir"), X.top_dir(p).alias("top"), X.extension(p).alias("ext"))
+    return odd_paths(spark, d).select("id", "path", X.base_name(p).alias("base"), X.dir_name(p).alias("dir"), X.top_dir(p).alias("top"), X.extension(p).alias("ext"))
 
 
 @query("select doc_id, case when length(text) > 40 then left(text, 39) || '…' else text end as head, case when length(text) > 40 then '…' || right(text, 39) else text end as tail, cast(ceil(length(text) / 4.0) as bigint) as tokens, trim(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g')) as norm from documents")
@@ -117,37 +131,37 @@ def _case(table: dict[str, str], key: str) -> str:
 _BASE, _EXT = "lower(string_split(path, '/')[-1])", "lower(regexp_extract(string_split(path, '/')[-1], '[^.]\\.([^.]*)$', 1))"
 
 
-@query(f"select path, coalesce({_case(X.BASE_NAMES, _BASE)}, {_case(X.EXTENSIONS, _EXT)}) as lang, coalesce({_case({e: k for k, es in X.KIND_TAGS.items() for e in es.split()}, _EXT)}, 'other') as tag from {sql_values('path', PATHS)}")
+@query(f"select id, path, coalesce({_case(X.BASE_NAMES, _BASE)}, {_case(X.EXTENSIONS, _EXT)}) as lang, coalesce({_case({e: k for k, es in X.KIND_TAGS.items() for e in es.split()}, _EXT)}, 'other') as tag from {ODD}")
 def i5_s13_language(spark, d):
-    return values(spark, "path", PATHS).select("path", X.language(F.col("path")).alias("lang"), X.kind_tag(F.col("path")).alias("tag"))
+    return odd_paths(spark, d).select("id", "path", X.language(F.col("path")).alias("lang"), X.kind_tag(F.col("path")).alias("tag"))
 
 
-@query(f"select path, (" + " or ".join(f"starts_with({_BASE}, '{s}') or ends_with({_BASE}, '{s}')" for s in X.SECRET_NAMES) + f" or contains({_BASE}, 'secret')) as secret from {sql_values('path', PATHS)}")
+@query(f"select id, path, (" + " or ".join(f"starts_with({_BASE}, '{s}') or ends_with({_BASE}, '{s}')" for s in X.SECRET_NAMES) + f" or contains({_BASE}, 'secret')) as secret from {ODD}")
 def i3_secret_names(spark, d):
-    return values(spark, "path", PATHS).select("path", X.is_secret_name(X.base_name(F.col("path"))).alias("secret"))
+    return odd_paths(spark, d).select("id", "path", X.is_secret_name(X.base_name(F.col("path"))).alias("secret"))
 
 
-@query(f"select path, regexp_matches(path, '^(tests|test|__tests__)/|/(tests|test|__tests__)/|\\.(test|spec)\\.|_test\\.') or contains(lower(path), '.mock.') or regexp_matches({_BASE}, '^test[-_]') as ranking, regexp_matches(path, '(?i)(test|spec)') as impact from {sql_values('path', PATHS)}")
+@query(f"select id, path, regexp_matches(path, '^(tests|test|__tests__)/|/(tests|test|__tests__)/|\\.(test|spec)\\.|_test\\.') or contains(lower(path), '.mock.') or regexp_matches({_BASE}, '^test[-_]') as ranking, regexp_matches(path, '(?i)(test|spec)') as impact from {ODD}")
 def f8_f9_test_paths(spark, d):
-    return values(spark, "path", PATHS).select("path", X.is_test_like(F.col("path")).alias("ranking"), X.is_test_path(F.col("path")).alias("impact"))
+    return odd_paths(spark, d).select("id", "path", X.is_test_like(F.col("path")).alias("ranking"), X.is_test_path(F.col("path")).alias("impact"))
 
 
-@query(f"select path, len(list_filter(string_split(lower(path), '/')[:-2], lambda s: list_has_any(regexp_split_to_array(s, '[^\\p{{L}}\\p{{N}}]+'), {list(X.ARCHIVE_WORDS)}))) as n from {sql_values('path', PATHS)}")
+@query(f"select id, path, len(list_filter(string_split(lower(path), '/')[:-2], lambda s: list_has_any(regexp_split_to_array(s, '[^\\p{{L}}\\p{{N}}]+'), {list(X.ARCHIVE_WORDS)}))) as n from {ODD}")
 def f11_archive_segments(spark, d):
-    return values(spark, "path", PATHS).select("path", X.archive_segments(F.col("path")).cast("long").alias("n"))
+    return odd_paths(spark, d).select("id", "path", X.archive_segments(F.col("path")).cast("long").alias("n"))
 
 
-@query(f"select name, true as identifier from {sql_values('name parts', [n for n in NAMES if n[0] != 'base64'])} union all select 'base64', false")
-def f10_identifier_like(spark, d):
-    return values(spark, "name parts", NAMES).select("name", X.identifier_like(F.col("name")).alias("identifier"))
+RAW_KINDS = [r for rs in X.NORM_KINDS.values() for r in rs.split()] + ["unknown_node"]
+DECLS = ["final class A", "struct B", "", "extension Y", "enum E { }", "trait T"]
+_DECL = f"{DECLS}[p_partkey // 7 % {len(DECLS)} + 1]"
 
 
-KINDS = [("class_declaration", "final class A", "class"), ("class_declaration", "struct B", "struct"), ("function_item", None, "function"), ("impl_item", "impl X", "extension"), ("extension_declaration", "extension Y", "extension"), ("unknown_node", "", "unknown_node"), ("trait_item", "trait T", "trait")]
-
-
-@query(f"select raw, decl, kind from {sql_values('raw decl kind', KINDS)}")
+@query(f"with k as (select p_partkey as id, {RAW_KINDS}[p_partkey % {len(RAW_KINDS)} + 1] as raw, {_DECL} as decl from part), w as (select *, regexp_extract(decl, '\\b(struct|enum|actor|extension|protocol|interface|class)\\b', 1) as word from k) select id, raw, case when raw in ('class_declaration', 'extension_declaration') and word <> '' then word else coalesce({_case({r: k for k, rs in X.NORM_KINDS.items() for r in rs.split()}, 'raw')}, raw) end as kind from w")
 def i14_norm_kind(spark, d):
-    return values(spark, "raw decl kind", KINDS).select("raw", "decl", X.norm_kind(F.col("raw"), F.coalesce("decl", F.lit(""))).alias("kind"))
+    i = F.col("p_partkey")
+    at = lambda xs, k: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    k = T.read(spark, d, "part").select(i.alias("id"), at(RAW_KINDS, i).alias("raw"), at(DECLS, F.floor(i / 7)).alias("decl"))
+    return k.select("id", "raw", X.norm_kind(F.col("raw"), F.col("decl")).alias("kind"))
 
 
 @query("""with a as (select page_id, regexp_replace(trim(url), '^https?://[^/]+', '') as p from pages), b as (select page_id, p = '' as gone, regexp_replace(p, '[?#][\\s\\S]*$', '') as p from a), c as (select page_id, gone, case when starts_with(p, '/') then p else '/' || p end as p from b), e as (select page_id, gone, case when length(p) > 1 then '/' || rtrim(substr(p, 2), '/') else p end as p from c)
@@ -206,31 +220,18 @@ def i21_line_to_chunk(spark, d):
     return ingest.line_owner(q, T.chunks(spark, d)).select("file_id", "line", F.col("idx").cast("long"))
 
 
-CODE = [("api/main.py", '@app.get("/api/users")\ndef users():\n    return Repo.load(helper(1))\n@app.post("/api/users/{uid}/ban")\ndef ban(uid):\n    check(uid)  # note'), ("web/client.ts", "export async function go() {\n  await fetch('/api/users');\n  const u = axios.get(`/api/users/1?x=1`);\n}\nclass A extends Base implements Face {}"), ("api/env.sh", "ROOT=/srv\nx='/etc/hosts'\ncall(\"/v1/ping/\")"), ("doc/readme.md", "# Title here\ntext\n## Part two\n# not (a) call")]
-ROUTES = [("api/main.py", 1, "/api/users", "route"), ("api/main.py", 4, "/api/users/{uid}/ban", "route"), ("web/client.ts", 2, "/api/users", "api_call"), ("web/client.ts", 3, "/api/users/1", "api_call"), ("api/env.sh", 3, "/v1/ping", "api_call")]
-
-
-@query(f"select path, cast(line as int) as line, route, kind from {sql_values('path line route kind', ROUTES)}")
+@query("select 'api/m' || p_partkey || '.py' as path, unnest([1, 2, 4]) as line, unnest(['/api/items/' || p_partkey, '/api/items/' || (p_partkey + 1), '/v1/ping']) as route, unnest(['route', 'api_call', 'api_call']) as kind from part")
 def i19_routes(spark, d):
-    return ingest.route_edges(values(spark, "path content", CODE))
+    s = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit('@app.get("/api/items/'), s, F.lit('")\nawait fetch("/api/items/'), (F.col("p_partkey") + 1).cast("string"), F.lit('?x=1")\nx = \'/etc/hosts\'\ncall("/v1/ping/")'))
+    return ingest.route_edges(T.read(spark, d, "part").select(F.concat(F.lit("api/m"), s, F.lit(".py")).alias("path"), text.alias("content")))
 
 
-@query(f"select path, cast(line as int) as line, name, kind, signature from {sql_values('path line name kind signature', [('doc/readme.md', 1, 'Title here', 'heading', '# Title here'), ('doc/readme.md', 3, 'Part two', 'heading', '## Part two'), ('doc/readme.md', 4, 'not (a) call', 'heading', '# not (a) call')])}")
+@query("select 'doc/d' || p_partkey || '.md' as path, unnest([1, 3]) as line, unnest([p_name, 'Part ' || p_brand]) as name, 'heading' as kind, unnest(['# ' || p_name, '## Part ' || p_brand]) as signature from part")
 def i13_headings(spark, d):
-    return ingest.heading_symbols(values(spark, "path content", CODE))
-
-
-CALLS = [("api/main.py", 1, "get", "calls"), ("api/main.py", 3, "load", "calls"), ("api/main.py", 3, "helper", "calls"), ("api/main.py", 4, "post", "calls"), ("api/main.py", 6, "check", "calls"), ("web/client.ts", 2, "fetch", "calls"), ("web/client.ts", 3, "get", "calls"), ("api/env.sh", 3, "call", "calls")]
-
-
-@query(f"select path, cast(line as int) as line, name, kind from {sql_values('path line name kind', CALLS)}")
-def i15_y8_call_edges(spark, d):
-    return ingest.call_edges(values(spark, "path content", CODE)).drop("qualifier")
-
-
-@query(f"select path, cast(line as int) as line, name, kind from {sql_values('path line name kind', [('web/client.ts', 5, 'Base', 'extends'), ('web/client.ts', 5, 'Face', 'implements')])}")
-def i18_base_edges(spark, d):
-    return ingest.base_edges(values(spark, "path content", CODE))
+    s = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("# "), F.col("p_name"), F.lit("\ntext\n## Part "), F.col("p_brand"), F.lit("\n not # one"))
+    return ingest.heading_symbols(T.read(spark, d, "part").select(F.concat(F.lit("doc/d"), s, F.lit(".md")).alias("path"), text.alias("content")))
 
 
 # --- lookups and joins -----------------------------------------------------------------------------
@@ -250,10 +251,13 @@ def f5_workspace_tree(spark, d):
     return lookup.workspace_tree(T.files(spark, d), T.chunks(spark, d), placed, "src", 100, 20).select("path", F.col("depth").cast("long"), F.col("n_chunks").cast("long"), F.col("n_symbols").cast("long"))
 
 
-@query(f"with {FILES} select id, len(list_filter(['the', 'que', 'ver'], lambda t: contains(lower(content), t))) as n_terms from files where len(list_filter(['the', 'que', 'ver'], lambda t: contains(lower(content), t))) > 0")
+_HAS = f"len(list_filter(['thé', 'que', 'ver'], lambda t: contains(lower(content), t) or contains({STRIP.format('content')}, replace(t, 'é', 'e'))))"
+
+
+@query(f"with {FILES} select id, {_HAS} as n_terms from files where {_HAS} > 0")
 def f12_substring_terms(spark, d):
     s = T.sources(spark, d).withColumnRenamed("doc_id", "id")
-    return fts.substring_filter(s, F.col("content"), ["the", "que", "ver", "ab"]).select("id", F.col("n_terms").cast("long"))
+    return fts.substring_filter(s, F.col("content"), ["thé", "que", "ver", "ab"]).select("id", F.col("n_terms").cast("long"))
 
 
 @query(f"with {CHUNKS}, {SYMBOLS}, wanted as (select distinct name from symbols order by name limit 5), r as (select *, row_number() over (partition by name order by id) as rn from symbols where name in (select name from wanted)) select r.name, r.id, f.path, c.start_line, c.end_line from r join files f on f.id = r.id % 200 left join chunks c on c.chunk_id = (r.id % 200) * 1048576 + r.line % 3 where rn <= 25")
@@ -377,12 +381,13 @@ def j16_edge_audit(spark, d):
 
 
 # --- aggregates --------------------------------------------------------------------------------------
-@query(f"with {CHUNKS}, {EDGES} select (select count(*) from files) as files, (select count(*) from chunks) as chunks, (select count(*) from symbols) as symbols, (select count(*) from edges) as edges, (select count(dst_chunk) from edges) as resolved, (select count(*) from embeddings) as vectors, (select max(mtime) from files) as last_indexed")
+@query(f"with {CHUNKS}, {EDGES} select (select count(*) from files) as files, (select count(*) from chunks) as chunks, (select count(*) from symbols) as symbols, (select count(*) from edges) as edges, (select count(dst_chunk) from edges) as resolved, (select count(*) from embeddings) as vectors, (select string_agg(lang, ',' order by n desc, lang) from (select lang, count(*) as n from files group by 1)) as languages, (select max(mtime) from files) as last_indexed")
 def a1_status(spark, d):
     one = T.files(spark, d).agg(F.count(F.lit(1)).alias("files"), F.max("mtime").alias("last_indexed"))
     for df, aggs in ((T.chunks(spark, d), {"chunks": F.count(F.lit(1))}), (T.symbols(spark, d), {"symbols": F.count(F.lit(1))}), (T.edges(spark, d), {"edges": F.count(F.lit(1)), "resolved": F.count("dst_chunk")}), (T.vectors(spark, d), {"vectors": F.count(F.lit(1))})):
         one = one.crossJoin(df.agg(*[a.alias(n) for n, a in aggs.items()]))  # one row each
-    return one
+    langs = T.files(spark, d).groupBy("lang").count().agg(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "lang"))).alias("l"))  # a row a language
+    return one.crossJoin(langs.select(F.array_join(F.transform("l", lambda x: x["lang"]), ",").alias("languages")))
 
 
 @query(f"with {FILES} select lang, count(*) as n from files group by 1 order by n desc, lang limit 8")
@@ -444,14 +449,28 @@ def a19_top_dirs(spark, d):
     return T.files(spark, d).groupBy(X.top_dir(F.substring("path", 5, 10_000)).alias("top")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("with b as (select b.item_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)), r as (select b2.item_id, min(case when d.doc_id is not null then 1 + d.doc_id % 12 end) as rank from benchmark b2 left join b d on d.item_id = b2.item_id group by 1) select round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as recall_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as recall_5, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 6) as recall_10, round(avg(coalesce(1.0 / rank, 0.0)), 6) as mrr from r")
+_RANKS = "b as (select b.item_id, d.doc_id, d.n_chars from benchmark b join documents d on contains(d.text, b.text)), k as (select *, row_number() over (partition by item_id order by n_chars desc, doc_id) as pos, min(doc_id) over (partition by item_id) as expected from b), r as (select i.item_id, k.pos as rank from benchmark i left join k on k.item_id = i.item_id and k.doc_id = k.expected)"
+
+
+@query(f"with {_RANKS} select round(avg(case when rank <= 1 then 1.0 else 0.0 end), 6) as recall_1, round(avg(case when rank <= 5 then 1.0 else 0.0 end), 6) as recall_5, round(avg(case when rank <= 10 then 1.0 else 0.0 end), 6) as recall_10, round(avg(coalesce(1.0 / rank, 0.0)), 6) as mrr, quantile_disc(rank, 0.5) as median, quantile_disc(rank, 0.95) as p95 from r")
 def a17_ir_metrics(spark, d):
-    b, docs = T.read(spark, d, "benchmark").alias("b"), T.read(spark, d, "documents").alias("d")
-    # the labelled set is a small table by its nature
-    hit = docs.join(F.broadcast(b), F.expr("contains(d.text, b.text)")).select("b.item_id", (1 + F.col("d.doc_id") % 12).alias("r"))
-    ranks = T.read(spark, d, "benchmark").join(hit, "item_id", "left").groupBy("item_id").agg(F.min("r").alias("rank"))
+    """The longest documents that hold an item's passage, ranked; the smallest doc_id is the expected one."""
+    items, docs = T.read(spark, d, "benchmark"), T.read(spark, d, "documents")
+    words = lambda c: F.split(c, " ")
+    # an equality join on the passage's first words finds the candidates, the whole passage decides
+    head = items.select("item_id", F.col("text").alias("passage"), F.array_join(F.slice(words("text"), 2, 4), " ").alias("key"), F.size(words("text")).alias("n"))
+    w = words("text")
+    four = F.arrays_zip(w.alias("a"), *[F.slice(w, k + 1, F.size(w)).alias(n) for k, n in ((1, "b"), (2, "c"), (3, "d"))])
+    grams = docs.select("doc_id", F.explode(F.transform(four, lambda g: F.concat_ws(" ", g["a"], g["b"], g["c"], g["d"]))).alias("key"))
+    candidates = grams.join(head.filter("n >= 6"), "key").select("doc_id", "item_id", "passage").distinct()
+    held = candidates.join(docs, "doc_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id", "n_chars")
+    short = docs.join(F.broadcast(head.filter("n < 6").limit(1000)), F.contains("text", F.col("passage"))).select("item_id", "doc_id", "n_chars")  # passages too short for a key: a labelled set has few
+    hit = held.unionByName(short).distinct()
+    w = Window.partitionBy("item_id")
+    placed = hit.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n_chars"), "doc_id"))).withColumn("expected", F.min("doc_id").over(w)).filter("doc_id = expected")
+    ranks = items.select("item_id").join(placed.select("item_id", "rank"), "item_id", "left")
     m = vector.ir_metrics(ranks)
-    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
+    return m.select(*[F.round(c, 6).alias(c) if c not in ("median", "p95") else F.col(c).cast("long") for c in m.columns])
 
 
 # --- full text ---------------------------------------------------------------------------------------

@@ -39,3 +39,10 @@ def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFr
         _kept[key] = (path, df.schema)
     path, schema = _kept[key]
     return spark.read.schema(schema).parquet(path)
+
+
+def spread(df: DataFrame, bytes_a_core: int = 4 << 20) -> DataFrame:
+    """A table of a few megabytes, often one row group, dealt to all cores; larger ones as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < bytes_a_core * cores else df

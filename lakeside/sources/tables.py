@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import code as codeops
 from ..operators import fts, ingest, lookup
 from ..operators.ingest import window_chunks
-from .storage import kept
+from .storage import kept, spread
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +70,7 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index of all documents: id, field, token, tf.  Kept, ordered by token."""
 
     def build() -> DataFrame:
-        s = sources(spark, sf_dir).withColumnRenamed("doc_id", "id")
+        s = spread(sources(spark, sf_dir).withColumnRenamed("doc_id", "id"))
         return fts.postings(s, fts.index_fields(F.col("content"), F.col("path"), F.concat_ws(" ", F.concat(F.lit("doc"), F.col("id").cast("string")), "lang")))
 
     return kept(spark, sf_dir, "postings", build, ("token",))

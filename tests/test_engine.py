@@ -9,10 +9,10 @@ import compare
 import pytest
 from pyspark.sql import functions as F
 
-from lakeside.operators import analysis, graph
+from lakeside.operators import analysis, graph, ingest
 from lakeside.plans import code_queries, search_queries  # noqa: F401
 from lakeside.plans import queries as engine
-from lakeside.streaming import watch
+from lakeside.streaming import debounce, watch
 
 
 @pytest.fixture(scope="module")
@@ -60,6 +60,47 @@ def test_normalized_ranks_and_communities(spark):
     assert got == {c: (2 + c, {9: "c", 8: "a"}.get(c, "?")) for c in range(2, 10)}
 
 
+CODE = [("api/main.py", '@app.get("/api/users")\ndef users():\n    return Repo.load(helper(1))\n@app.post("/api/users/{uid}/ban")\ndef ban(uid):\n    check(uid)  # note'), ("web/client.ts", "export async function go() {\n  await fetch('/api/users');\n  const u = axios.get(`/api/users/1?x=1`);\n}\nclass A extends Base implements Face {}"), ("api/env.sh", "ROOT=/srv\nx='/etc/hosts'\ncall(\"/v1/ping/\")"), ("s.swift", "class View: Base {"), ("r.rs", "impl Draw for Shape {")]
+
+
+def test_edges_of_other_languages(spark):
+    src = spark.createDataFrame(CODE, "path string, content string")
+    assert sorted((r.path, r.line, r.route, r.kind) for r in ingest.route_edges(src).collect()) == [("api/env.sh", 3, "/v1/ping", "api_call"), ("api/main.py", 1, "/api/users", "route"), ("api/main.py", 4, "/api/users/{uid}/ban", "route"), ("web/client.ts", 2, "/api/users", "api_call"), ("web/client.ts", 3, "/api/users/1", "api_call")]
+    calls = {(r.path, r.line, r.qualifier, r.name) for r in ingest.call_edges(src).filter("kind = 'calls'").collect()}
+    assert calls == {("api/main.py", 1, "app", "get"), ("api/main.py", 3, "Repo", "load"), ("api/main.py", 3, None, "helper"), ("api/main.py", 4, "app", "post"), ("api/main.py", 6, None, "check"), ("web/client.ts", 2, None, "fetch"), ("web/client.ts", 3, "axios", "get"), ("api/env.sh", 3, None, "call")}
+    assert {(r.path, r.name, r.kind) for r in ingest.base_edges(src).collect()} == {("web/client.ts", "Base", "extends"), ("web/client.ts", "Face", "implements"), ("s.swift", "Base", "implements"), ("r.rs", "Draw", "implements")}
+
+
+def test_watch_helpers(spark, tmp_path):
+    now = [0.0]
+    seen = watch.Cached(lambda: now[0], 30, lambda: now[0])
+    assert seen.get() == 0
+    now[0] = 20
+    assert seen.get() == 0
+    now[0] = 31
+    assert seen.get() == 31
+    assert watch.wait_for_lock(lambda: True, 0.0) is False and watch.wait_for_lock(lambda: False) is True
+    where = str(tmp_path / "t")
+    watch.check_version(spark, where)
+    watch.check_version(spark, where)
+    spark.createDataFrame([(99,)], "version int").write.mode("overwrite").parquet(where + "_version")
+    with pytest.raises(RuntimeError):
+        watch.check_version(spark, where)
+
+
+def test_debounce_on_a_stream_equals_batch(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:00:01"), (1, "2024-01-01 00:00:09"), (2, "2024-01-01 00:00:00"), (1, "2024-01-02 00:00:00"), (2, "2024-01-02 00:00:00")]
+    df = spark.createDataFrame(rows, "k int, t string").selectExpr("k", "cast(t as timestamp) as ts")
+    for i in range(len(rows)):
+        df.limit(i + 1).subtract(df.limit(i)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = debounce.debounced(stream, "k", late="1 hour").writeStream.outputMode("append").format("memory").queryName("bursts").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    batch = {tuple(r) for r in debounce.debounced(df, "k").collect()}
+    done = {tuple(r) for r in spark.table("bursts").collect()}
+    assert done <= batch and {(r[0], r[3]) for r in done} == {(1, 2), (1, 1), (2, 1)}
+
+
 def test_trace_and_diff():
     t = 'File "src/x.py", line 42, in run\n  at go (web/a.ts:10:5)\nlib/b.rs:7 oops'
     assert analysis.parse_trace(t) == [("src/x.py", 42, "run"), ("web/a.ts", 10, "go"), ("lib/b.rs", 7, None)]
