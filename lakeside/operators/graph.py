@@ -11,15 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.storage import shared_folder
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Checkpointed in the folder that the session shares; see ``storage``."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+from ..sources.storage import written
 
 
 def _arcs(edges: DataFrame, direction: str, kinds: list[str] | None = None) -> DataFrame:
@@ -116,16 +108,16 @@ def pagerank(arcs: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance
     e = arcs.filter("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     nodes = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
     out = e.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = _cut(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    share = written(e.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     n = nodes.count()
-    ranks = _cut(nodes.join(out, nodes["node"] == out["src"], "left").select("node", F.col("total").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")))
+    ranks = written(nodes.join(out, nodes["node"] == out["src"], "left").select("node", F.col("total").isNull().alias("dangling"), F.lit(1.0 / max(n, 1)).alias("rank")))
     for k in range(rounds):
         loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("dangling"), F.col("rank"))), F.lit(0.0)).alias("loose"))
         given = share.join(ranks, share["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         nxt = ranks.withColumnRenamed("rank", "was").join(given, F.col("node") == F.col("dst"), "left").crossJoin(loose)  # one row
         nxt = nxt.select("node", "dangling", "was", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("rank"))
         if k % 4 == 3:
-            nxt = _cut(nxt)
+            nxt = written(nxt)
             if nxt.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] < tolerance:
                 return nxt.select("node", "rank")
         ranks = nxt.drop("was")
@@ -150,14 +142,14 @@ def communities(components: DataFrame, paths: DataFrame, top: int = 8) -> DataFr
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) over resolved edges, by large-star and small-star rounds."""
     e = edges.filter("dst_chunk is not null").select(F.greatest("src_chunk", "dst_chunk").alias("u"), F.least("src_chunk", "dst_chunk").alias("v")).filter("u <> v").distinct()
-    e = _cut(e)
+    e = written(e)
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = _cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+        nxt = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         if nxt.count() == e.count() and nxt.exceptAll(e).isEmpty():
             roots = nxt.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
             return nxt.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

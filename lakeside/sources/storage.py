@@ -21,6 +21,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, reread: lineage is cut, and the rows survive the loss of any executor."""
+    path = f"{shared_folder(df.sparkSession)}/lakeside-step-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _kept: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
