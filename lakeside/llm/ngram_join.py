@@ -24,7 +24,7 @@ space is therefore first cut, without loss, where the metric is informative:
    most points, the region stays one without them.  Regions beyond ``region_limit``
    points take these steps spread over tasks, each with copies of the pivots, and never
    meet in one task.
-4. ``components``: links are contracted to the smallest id by alternating large-star
+4. Links are contracted to the smallest id by alternating large-star
    and small-star rounds.
 
 Results: a null or blank text has an empty set and no link; repeated rows and equal sets
@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import connected_components
 from .common import buckets_for, keyed, spread, trim, written
 from .external import SortedQueue, range_minima
 from .hashing import Buffer, mix, shingle_sets
@@ -542,27 +543,6 @@ def regions(pairs: DataFrame, sets: DataFrame, num: int, den: int, region_limit:
     return links
 
 
-def components(links: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """(node, component): the smallest node reachable, for every node with a link.
-
-    Alternating large-star and small-star steps; each writes its edges to the shared
-    folder.  Steps grow with the logarithm of the longest chain.
-    """
-    e = written(links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).filter("u <> v").distinct())
-    while True:
-        # large star: every larger neighbour of u moves to u's smallest neighbour (or u)
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: every smaller neighbour and u itself move to the smallest
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = written(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        if nxt.count() == e.count() and nxt.exceptAll(e).isEmpty():
-            return nxt.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        e = nxt
-
-
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, width: int = 5, region_limit: int = 1000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``.
 
@@ -576,7 +556,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pairs, sets = points_and_cells(base, classes, num, den, width)
     links = written(regions(pairs, sets, num, den, region_limit))
     ids = links.join(classes.select(F.col("sig_a").alias("src_a"), F.col("sig_b").alias("src_b"), F.col("rep").alias("src")), ["src_a", "src_b"]).join(classes.select(F.col("sig_a").alias("dst_a"), F.col("sig_b").alias("dst_b"), F.col("rep").alias("dst")), ["dst_a", "dst_b"])
-    comp = components(ids)
+    comp = connected_components(ids.select(F.col("src").alias("src_chunk"), F.col("dst").alias("dst_chunk")))
     named = classes.join(comp, classes["rep"] == comp["node"], "left").select("sig_a", "sig_b", F.coalesce("component", "rep").alias("found"))
     return per_doc.join(named, ["sig_a", "sig_b"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("found")).otherwise(F.col("doc_id")).alias("component_id"))
 
