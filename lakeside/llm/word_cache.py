@@ -11,6 +11,7 @@ other kinds go to the library whole.
 from __future__ import annotations
 
 import json
+import os
 import sys
 import unicodedata
 from array import array
@@ -35,6 +36,8 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)  # as it is, for texts with added tokens
         self.added = [t["content"] for t in spec.get("added_tokens") or []]
         self.folded = [a.lower() for a in self.added] if spec.get("normalizer") else []  # normalising must not make one
+        lead = os.path.commonprefix([*self.added, *self.folded])
+        self.lead = lead if lead.lower() == lead.upper() else ""  # no letters, so cases and normalising leave it
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.by_words = self._splits_at_spaces(spec.get("pre_tokenizer") or {})
         self.normalize = None
@@ -111,6 +114,8 @@ class WordEncoder:
             words[w] = words[w[:-1]] + signs[w[-1]]
 
     def _has_added(self, text: str) -> bool:
+        if self.lead and self.lead not in text:
+            return False
         return any(a in text for a in self.added) or bool(self.folded) and any(a in text.lower() for a in self.folded)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -141,8 +146,9 @@ class WordEncoder:
         every = set().union(*(s[1:] for s in split))
         new = [w for w in every if w not in words]
         if len(words) + len(new) > self.kept:
+            recurring = {w: words[w] for w in every if w in words}  # the rest was seen in earlier blocks only
             words.clear()
-            new = list(every)
+            words.update(recurring)
         self._learn(new)
         out: list[bytes | None] = []
         get = words.__getitem__
