@@ -82,7 +82,7 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences; null and empty texts have their end id alone."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 1, kept_words=300_000)  # workers still hold what earlier stages left them
 
 
 STAGES = [

@@ -129,14 +129,14 @@ def _merger(level: int, last: bool, size: int):
     return merge
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, n_open: int = 64, least_cut: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = 2048, n_open: int = 64, least_cut: int = 16, kept_words: int = 600_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     sequence_id: 2**32 * partition + number in it; of merged windows, 2**62 + round * 2**54 + 2**22 * group + number.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, kept_words)
         kind = np.dtype("<u2" if enc.width == 2 else "<u4")
         end = np.array([end_id], "<u4")
         part = TaskContext.get().partitionId()
