@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 import random
+import re
+import zlib
 
+import compare
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
+
+from lakeside.llm import quality_gam
+from lakeside.llm.oracles import ORACLES
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, row string, score double, bucket int, component_id long"
 
@@ -78,3 +87,49 @@ def test_verdicts_and_copies_without_ids(spark, sf):
     assert sorted(joined, key=repr) == sorted([texts[1], *texts[3:9]], key=repr)
     cut = [r.text for r in corpus_pipeline.suffix_dedup_stage(spark, docs.filter(f"text like '%{shared}'"), sf).collect()]
     assert sum(t.endswith(shared) for t in cut) == 1 and len(cut) == 2
+
+
+def test_run_equals_a_plain_pipeline(spark, sf):
+    """All stages on a whole table against loops over its rows; the classifier's verdicts are its own, on its stage's input."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    passed = {i for i, kept in compare.connect(sf).execute(f"select doc_id, kept from ({ORACLES['op6_quality_rules']})").fetchall() if kept}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = {r.doc_id for r in quality_gam.classify(table.filter(table.doc_id.isin(*passed)), labels).collect() if r.predicted == 1}
+    texts = {r.doc_id: r.text for r in table.collect() if r.doc_id in good}
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    group = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and group[a] != group[b] and 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {i: new if g == old else g for i, g in group.items()}
+    stay = {i for i, g in group.items() if i == g}
+    assert len(stay) < len(texts) < table.count()
+    raw = {i: texts[i].encode() for i in stay}
+    first: dict[bytes, int] = {}
+    for i in sorted(stay):
+        for k in range(len(raw[i]) - 49):
+            first.setdefault(raw[i][k : k + 50], i)
+    lib = Tokenizer.from_file(path)
+    want = {}
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < i:
+                gone[k : k + 50] = b"\1" * 50
+        text = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+        want[i] = [*lib.encode(text, add_special_tokens=False).ids, 1]
+    pieces: dict = {}
+    for r in corpus_pipeline.run(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    assert pieces.keys() == want.keys()
+    for i, have in pieces.items():
+        at = 0
+        for start, n, crc, total in sorted(have):
+            assert start == at and total == len(want[i]) and crc == zlib.crc32(np.array(want[i][at : at + n], "<u4").tobytes())
+            at += n
+        assert at == len(want[i])
