@@ -87,3 +87,9 @@ def snapshot_restored(snapshot: DataFrame, chunks: DataFrame, dim: int) -> DataF
     """chunk_id, vec of chunks whose embedded text (embed_text) a snapshot (embed_text, vec) has, if of the same dimension; the smallest vec between several."""
     fits = snapshot.filter(F.size("vec") == dim).groupBy(F.sha2(F.col("embed_text").cast("binary"), 256).alias("h")).agg(F.min("vec").alias("vec"))
     return chunks.select("chunk_id", F.sha2(F.col("embed_text").cast("binary"), 256).alias("h")).join(fits, "h").select("chunk_id", "vec")
+
+
+def checkpointed(records: DataFrame, head: str) -> DataFrame:
+    """The ledger (id, kind, head_sha) with a checkpoint at ``head`` as its newest record."""
+    newest = records.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("id"))
+    return records.unionByName(newest.select("id", F.lit("checkpoint").alias("kind"), F.lit(head).alias("head_sha")))

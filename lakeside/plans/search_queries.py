@@ -404,3 +404,19 @@ def w3_debounced(spark, d):
 
 
 _ = (ACCENTED, _POST, X)
+
+
+@query(f"with {RECORDS}, t as (select max(id) + 1 as id from records) select id, 'sha-new' as head_sha, (select count(*) from records) + 1 as records from t")
+def l4_checkpoint(spark, d):
+    r = T.records(spark, d).select("id", "kind", "head_sha")
+    after = ledger.checkpointed(r, "sha-new")
+    return ledger.latest_checkpoint(after).crossJoin(after.agg(F.count(F.lit(1)).alias("records")))  # one row each
+
+
+@query(f"with f as (select p_partkey as p from part), g as (select {_ODD_CASE} as path, p_partkey * 1000 as size from f, lateral (select p as p_partkey)) select path, size from g where size <= 524288 and path like 'lib/%'")
+def y13_port_discovery(spark, d):
+    p = F.col("p_partkey")
+    s = p.cast("string")
+    path = F.when(p % 8 == 0, F.concat(F.lit("node_modules/x"), s, F.lit(".js"))).when(p % 8 == 1, F.concat(F.lit(".git/h"), s, F.lit(".py"))).when(p % 8 == 2, "a/.env").when(p % 8 == 3, F.concat(F.lit("a/b"), s, F.lit(".unknown"))).when(p % 8 == 4, F.concat(F.lit(".github/w"), s, F.lit(".yml"))).otherwise(F.concat(F.lit("lib/m"), s, F.lit(".py")))
+    listing = T.read(spark, d, "part").select(path.alias("path"), (p * 1000).alias("size"), F.lit(b"x").alias("content"))
+    return watch.listed(listing, 512 * 1024, ("*.yml",)).select("path", "size")

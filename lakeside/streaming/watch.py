@@ -22,10 +22,10 @@ def relevant(df: DataFrame) -> DataFrame:
     return df.filter(~hidden & ~denied & ~X.base_name(F.col("path")).startswith(".") & ~X.is_secret_name(X.base_name(F.col("path"))) & X.language(F.col("path")).isNotNull())
 
 
-def listed(df: DataFrame) -> DataFrame:
-    """Rows (path, size, content as bytes) that are indexed: relevant, neither empty nor large, no zero byte at the start."""
+def listed(df: DataFrame, most_bytes: int = MAX_BYTES, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (path, size, content as bytes) that are indexed: relevant, not ignored, neither empty nor large, no zero byte at the start."""
     plain = F.instr(F.decode(F.substring("content", 1, 8192), "ISO-8859-1"), "\0") == 0
-    return relevant(df.filter((F.col("size") > 0) & (F.col("size") <= MAX_BYTES))).filter(plain)
+    return relevant(df.filter((F.col("size") > 0) & (F.col("size") <= most_bytes))).filter(plain & ~X.ignored_by(F.col("path"), list(ignore)))
 
 
 def discover(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), most: int = 60_000) -> DataFrame:
@@ -33,7 +33,7 @@ def discover(spark: SparkSession, root: str, ignore: tuple[str, ...] = (), most:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rel = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace("/", "/+") + "/", "")
     named = raw.select(rel.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
-    return listed(named).filter(~X.ignored_by(F.col("path"), list(ignore))).withColumn("content", F.decode("content", "UTF-8")).orderBy("path").limit(most)
+    return listed(named, ignore=ignore).withColumn("content", F.decode("content", "UTF-8")).orderBy("path").limit(most)
 
 
 SCHEMA_VERSION = 1
