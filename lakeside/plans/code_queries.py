@@ -181,9 +181,9 @@ def i22_git_log(spark, d):
     return reports.commits(T.logs(spark, d)).select("sha12", "subject", F.size("files").cast("long").alias("n_files"))
 
 
-@query(f"with {MODULES}, seen as (select distinct left(sha256(o_orderkey::varchar), 12) as sha12 from orders where o_orderkey % 3 <> 0) select left(sha256(o_orderkey::varchar), 12) as sha12 from orders where left(sha256(o_orderkey::varchar), 12) not in (select sha12 from seen)")
+@query(f"with {MODULES}, seen as (select distinct left(sha256(o_orderkey::varchar), 12) as sha12 from orders where o_orderstatus <> 'O') select left(sha256(o_orderkey::varchar), 12) as sha12 from orders where left(sha256(o_orderkey::varchar), 12) not in (select sha12 from seen)")
 def w9_new_commits(spark, d):
-    seen = T.read(spark, d, "orders").filter("o_orderkey % 3 <> 0").select(F.left(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256), F.lit(12)).alias("sha12"))
+    seen = T.read(spark, d, "orders").filter("o_orderstatus <> 'O'").select(F.left(F.sha2(F.col("o_orderkey").cast("string").cast("binary"), 256), F.lit(12)).alias("sha12"))
     return reports.commits(T.logs(spark, d)).join(seen, "sha12", "left_anti").select("sha12")
 
 

@@ -102,10 +102,10 @@ def s4_path_ops(spark, d):
     return odd_paths(spark, d).select("id", "path", X.base_name(p).alias("base"), X.dir_name(p).alias("dir"), X.top_dir(p).alias("top"), X.extension(p).alias("ext"))
 
 
-@query("select doc_id, case when length(text) > 40 then left(text, 39) || '…' else text end as head, case when length(text) > 40 then '…' || right(text, 39) else text end as tail, cast(ceil(length(text) / 4.0) as bigint) as tokens, trim(regexp_replace(lower(left(text, 60)), '\\s+', ' ', 'g')) as norm from documents")
-def s5_s12_s14_strings(spark, d):
+@query("select doc_id, case when length(text) > 40 then left(text, 39) || '…' else text end as head, case when length(text) > 40 then '…' || right(text, 39) else text end as tail, cast(ceil(length(text) / 4.0) as bigint) as tokens from documents")
+def s5_s12_strings(spark, d):
     t = F.col("text")
-    return T.read(spark, d, "documents").select("doc_id", X.trunc_head(t, 40).alias("head"), X.trunc_tail(t, 40).alias("tail"), X.est_tokens(t).alias("tokens"), X.normalize_query(F.left(t, F.lit(60))).alias("norm"))
+    return T.read(spark, d, "documents").select("doc_id", X.trunc_head(t, 40).alias("head"), X.trunc_tail(t, 40).alias("tail"), X.est_tokens(t).alias("tokens"))
 
 
 @query("with n as (select doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) as norm from documents) select doc_id, md5(norm) as norm_md5, length(norm) as n from n")
@@ -177,13 +177,15 @@ def i8_window_chunks(spark, d):
 
 
 def _manifests(spark, d):
+    """Two listings of all files: some renamed, some edited, some only touched between them."""
     f = T.files(spark, d).select("id", "path", "sha", "size", "mtime")
-    old = f.filter("id % 10 <> 1").drop("id")
-    new = f.filter("id % 10 <> 2").withColumn("sha", F.when(F.col("id") % 10 == 3, F.sha2(F.concat("sha", F.lit("x")).cast("binary"), 256)).otherwise(F.col("sha"))).withColumn("mtime", F.when(F.col("id") % 10 > 2, F.col("mtime") + F.col("id") % 2).otherwise(F.col("mtime")))
+    named = lambda tail, rest: F.when(F.col("id") % 10 == rest, F.concat("path", F.lit(tail))).otherwise(F.col("path"))
+    old = f.withColumn("path", named(".old", 1)).drop("id")
+    new = f.withColumn("path", named(".new", 2)).withColumn("sha", F.when(F.col("id") % 10 == 3, F.sha2(F.concat("sha", F.lit("x")).cast("binary"), 256)).otherwise(F.col("sha"))).withColumn("mtime", F.when(F.col("id") % 10 > 2, F.col("mtime") + F.col("id") % 2).otherwise(F.col("mtime")))
     return old, new.drop("id")
 
 
-MANIFESTS = FILES + ", old as (select path, sha, size, mtime from files where id % 10 <> 1), new as (select path, case when id % 10 = 3 then sha256(sha || 'x') else sha end as sha, size, case when id % 10 > 2 then mtime + id % 2 else mtime end as mtime from files where id % 10 <> 2), fresh as (select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'deleted' when o.size = n.size and o.mtime = n.mtime or o.sha = n.sha then 'unchanged' else 'changed' end as status from old o full join new n on o.path = n.path)"
+MANIFESTS = FILES + ", old as (select case when id % 10 = 1 then path || '.old' else path end as path, sha, size, mtime from files), new as (select case when id % 10 = 2 then path || '.new' else path end as path, case when id % 10 = 3 then sha256(sha || 'x') else sha end as sha, size, case when id % 10 > 2 then mtime + id % 2 else mtime end as mtime from files), fresh as (select coalesce(o.path, n.path) as path, case when o.path is null then 'added' when n.path is null then 'deleted' when o.size = n.size and o.mtime = n.mtime or o.sha = n.sha then 'unchanged' else 'changed' end as status from old o full join new n on o.path = n.path)"
 
 
 @query(f"with {MANIFESTS} select path, status from fresh")
@@ -280,35 +282,14 @@ def j4_usages_of_chunk(spark, d):
     return T.edges(spark, d).join(s, "dst_chunk", "left_semi").select("src_chunk", "dst_chunk", "kind").distinct()
 
 
-RESOLVE = f"{SYMBOLS}, chosen as (select id, chunk_id, name || '_' || id % 60 as name, file from symbols), e as (select id as edge_id, file, name || '_' || id * 7 % 60 as dst_name from symbols), scope as (select distinct a.file, b.file as imported from symbols a join symbols b on a.id + 1 = b.id and a.line = b.line), u as (select name, count(distinct file) as n from chosen group by 1), cand as (select e.edge_id, s.chunk_id, s.id, case when e.file = s.file then 1 when i.file is not null then 2 when u.n = 1 then 3 end as r from e join chosen s on s.name = e.dst_name join u on u.name = s.name left join scope i on i.file = e.file and i.imported = s.file)"
-
-
-def _resolve_inputs(spark, d):
-    s = T.symbols(spark, d)
-    e = s.select(F.col("id").alias("edge_id"), "file", F.concat("name", F.lit("_"), (F.col("id") * 7 % 60).cast("string")).alias("dst_name"), F.lit(None).cast("string").alias("qualifier"))
-    a, b = s.alias("a"), s.alias("b")
-    scope = a.join(b, F.expr("a.id + 1 = b.id and a.line = b.line")).select(F.col("a.file").alias("file"), F.col("b.file").alias("imported")).distinct()
-    return e, s.withColumn("name", F.concat("name", F.lit("_"), (F.col("id") % 60).cast("string"))), scope
-
-
-@query(f"with {RESOLVE} select e.edge_id, c.chunk_id as dst_chunk from e left join (select edge_id, arg_min(chunk_id, r * 1000000 + id) as chunk_id from cand where r is not null group by 1) c on c.edge_id = e.edge_id")
-def j5_j6_resolve_edges(spark, d):
-    return lookup.resolve_edges(*_resolve_inputs(spark, d))
-
-
-@query(f"with {RESOLVE} select e.edge_id, arg_min(s.chunk_id, case when e.file <> s.file then 1000000 else 0 end + s.chunk_id) as dst_chunk from e left join chosen s on s.name = e.dst_name group by 1")
-def y9_resolve_any(spark, d):
-    e, s, _ = _resolve_inputs(spark, d)
-    return lookup.resolve_any(e, s)
-
-
 RESOLVE_NAMES = f"{SYMBOLS}, e as (select a.id as edge_id, a.file, b.name as dst_name from symbols a left join symbols b on b.id = a.id + 1), scope as (select distinct a.file, b.file as imported from symbols a join symbols b on a.id + 1 = b.id and a.line = b.line), u as (select name, count(distinct file) as n from symbols group by 1), cand as (select e.edge_id, s.chunk_id, s.id, case when e.file = s.file then 1 when i.file is not null then 2 when u.n = 1 then 3 end as r from e join symbols s on s.name = e.dst_name join u on u.name = s.name left join scope i on i.file = e.file and i.imported = s.file)"
 
 
 def _named_inputs(spark, d):
     """An edge of every part to the next part's name, which all parts of that name define."""
-    _, _, scope = _resolve_inputs(spark, d)
     s = T.symbols(spark, d)
+    a, b = s.alias("a"), s.alias("b")
+    scope = a.join(b, F.expr("a.id + 1 = b.id and a.line = b.line")).select(F.col("a.file").alias("file"), F.col("b.file").alias("imported")).distinct()
     e = s.alias("a").join(s.alias("b"), F.expr("b.id = a.id + 1"), "left").select(F.col("a.id").alias("edge_id"), F.col("a.file").alias("file"), F.col("b.name").alias("dst_name"), F.lit(None).cast("string").alias("qualifier"))
     return e, s, scope
 
