@@ -56,7 +56,7 @@ def _place(text: str) -> tuple[str, int] | None:
     return (path, int(parts[len(parts) - numbers])) if numbers and path else None
 
 
-def _frames_of(line: str) -> list[tuple[str, int, str | None]]:
+def _frames_of(line: str, runtime: bool) -> list[tuple[str, int, str | None]]:
     """Frames of one line; the first form that fits decides."""
     text = line.strip()
     at = text.find('File "')
@@ -67,7 +67,7 @@ def _frames_of(line: str) -> list[tuple[str, int, str | None]]:
             return [(path, int(words[1]), words[3] if len(words) > 3 and words[2] == "in" else None)]
     words = text.replace(",", " ").split()
     low = [w.lower() for w in words]
-    if "file" in low:  # a runtime's report
+    if runtime and "file" in low:  # a runtime's report
         k = low.index("file")
         if low[k + 2 : k + 3] == ["line"] and "." in words[k + 1] and low[k + 3 : k + 4] and low[k + 3].isdigit():
             return [(words[k + 1], int(low[k + 3]), None)]
@@ -90,9 +90,9 @@ def _frames_of(line: str) -> list[tuple[str, int, str | None]]:
     return out
 
 
-def parse_trace(text: str) -> list[tuple[str, int, str | None]]:
-    """(path, line, symbol) of each frame in text order."""
-    return [f for line in text.splitlines() for f in _frames_of(line) if f[1] > 0]
+def parse_trace(text: str, runtime: bool = True) -> list[tuple[str, int, str | None]]:
+    """(path, line, symbol) of each frame in text order; without ``runtime`` a runtime's report has none of its own."""
+    return [f for line in text.splitlines() for f in _frames_of(line, runtime) if f[1] > 0]
 
 
 def glob_regex(pattern: str, crosses: bool) -> str:

@@ -66,8 +66,8 @@ def lengths(post: DataFrame) -> DataFrame:
     return post.groupBy("id").agg(F.sum("tf").alias("len"))
 
 
-def bm25f(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, sized: DataFrame | None = None, exact: bool = False) -> DataFrame:
-    """id, score of all that match a clause: each clause a phrase of its own, tf weighted by field, length over all fields.
+def clause_scores(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, sized: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """clause (its position), id, score of all that match a clause: each clause a phrase of its own, tf weighted by field, length over all fields.
 
     Clauses are prefixes, with ``exact`` whole tokens; they reach the scan, so that an index ordered by
     token is read only where they can be.  ``sized``: ``lengths`` of all fields.
@@ -76,7 +76,7 @@ def bm25f(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[
     sized = lengths(post) if sized is None else sized
     total = sized.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     token = F.col("token")
-    asked = reduce(lambda x, y: x | y, [(token == p) if exact else token.startswith(p) for p, _ in clauses])
+    asked = reduce(lambda x, y: x | y, [(token == p) if exact else token.startswith(p) for p in dict.fromkeys(p for p, _ in clauses)])
     wanted = spark.createDataFrame([(i, p, f) for i, (p, f) in enumerate(clauses)], "clause int, prefix string, only string")
     # the clauses of one query: a few rows by construction
     hit = post.filter(asked & F.col("field").isin(*weights)).join(F.broadcast(wanted), F.expr(("token = prefix" if exact else "startswith(token, prefix)") + " and (only is null or only = field)"))
@@ -86,7 +86,12 @@ def bm25f(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     scored = tf.join(F.broadcast(df), "clause").join(sized, "id").crossJoin(total)  # df: a row a clause; total: one row
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return scored.groupBy("id").agg(F.sum(part).alias("score"))
+    return scored.select("clause", "id", part.alias("score"))
+
+
+def bm25f(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, sized: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    """id, score of all that match a clause: the sum of ``clause_scores``."""
+    return clause_scores(post, clauses, weights, k1, b, sized, exact).groupBy("id").agg(F.sum("score").alias("score"))
 
 
 def folded_variants(query: str) -> list[tuple[str, str | None]]:

@@ -94,6 +94,14 @@ def nearest_declaration(lines: DataFrame, decls: DataFrame) -> DataFrame:
     return j.groupBy("path", "line").agg(F.max_by("name", key).alias("name"))
 
 
+def declared_spans(symbols: DataFrame, src: DataFrame) -> DataFrame:
+    """chunk_id, path, name, start_line, end_line of each declaration: up to the next one of its file, or the file's end."""
+    last = src.select("path", F.size(F.split("content", "\n")).alias("n_lines"))
+    w = Window.partitionBy("path").orderBy("line", "name")
+    span = symbols.join(last, "path").withColumn("end_line", F.coalesce(F.lead("line").over(w) - 1, F.col("n_lines")))
+    return span.select(F.xxhash64("path", "name", "line").alias("chunk_id"), "path", "name", F.col("line").alias("start_line"), "end_line")
+
+
 def match_suffix(traced: DataFrame, files: DataFrame) -> DataFrame:
     """traced path and the longest indexed path of which one ends with the other at a slash.
 

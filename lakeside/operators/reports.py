@@ -82,13 +82,13 @@ def simulate_patch(diffs: DataFrame, symbols: DataFrame, edges: DataFrame) -> Da
     return changes.join(hurt, "symbol", "left").select("id", "path", "symbol", "change", "before", "after", F.coalesce("callers", zero).alias("callers"), F.coalesce(F.size("prod_files").cast("long"), zero).alias("prod_files"), F.coalesce(F.size("test_files").cast("long"), zero).alias("test_files"))
 
 
-def parsed_traces(traces: DataFrame) -> DataFrame:
-    """id, ord, traced (path), line, hint of every frame of every trace (id, trace)."""
+def parsed_traces(traces: DataFrame, runtime: bool = True) -> DataFrame:
+    """id, ord, traced (path), line, hint of every frame of every trace (id, trace); without ``runtime`` no reports of a runtime."""
     ddl = "id long, ord int, traced string, line long, hint string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, f in enumerate(analysis.parse_trace(t or ""))]
+            rows = [(i, k, *f) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for k, f in enumerate(analysis.parse_trace(t or "", runtime))]
             kinds = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["id", "ord", "traced", "line", "hint"])
@@ -116,6 +116,23 @@ def suspects(frames: DataFrame, edges: DataFrame, recent: DataFrame, each: int =
     return marked.select("id", F.col("caller").alias("path"), F.coalesce("recent_commit", F.lit(False)).alias("recent_commit"), F.row_number().over(order).alias("rank"))
 
 
+def port_frames(frames: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Frames with the path that they name, the smallest chunk around the line and its name; no chunk, no name."""
+    at = frames.join(lookup.match_suffix(frames, files), "traced", "left")
+    around = lookup.chunk_at(at.filter("path is not null").select("path", "line").distinct(), chunks)
+    return at.join(around, ["path", "line"], "left").join(chunks.select("chunk_id", F.col("name").alias("symbol")), "chunk_id", "left")
+
+
+def port_suspects(frames: DataFrame, edges: DataFrame, chunks: DataFrame, each: int = 20) -> DataFrame:
+    """id, path, line, symbol, rank of the calls that resolve to the chunk of each trace's last matched frame, by path and line, ``each`` at most."""
+    deepest = frames.filter("path is not null").groupBy("id").agg(F.max_by(F.struct("path", "symbol"), "ord").alias("last")).select("id", F.col("last.path").alias("target"), F.col("last.symbol").alias("name"))
+    calls = edges.filter("target is not null").select("path", "line", "name", "target").distinct()
+    around = lookup.chunk_at(calls.select("path", "line").distinct(), chunks).join(chunks.select("chunk_id", F.col("name").alias("symbol")), "chunk_id").select("path", "line", "symbol")
+    hit = deepest.join(calls.join(around, ["path", "line"], "left"), ["target", "name"]).select("id", "path", "line", "symbol").distinct()
+    w = Window.partitionBy("id").orderBy("path", "line")
+    return hit.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= each)
+
+
 def commits(logs: DataFrame, most_files: int = 50) -> DataFrame:
     """sha12, subject, files of a git log (log) whose records are parted by \\x1e and fields by \\x1f: sha, subject, files a line each; each commit once."""
     rows = logs.select(F.explode(F.split("log", "\x1e")).alias("r")).filter(F.trim("r") != "").select(F.split("r", "\x1f").alias("f"))

@@ -134,3 +134,18 @@ def evidence_pack(hits: DataFrame, budget: int, items: int = 12, overhead: int =
     first = best.orderBy(F.desc("score"), "file_id").limit(items).select("file_id", "b.id", "score", (X.est_tokens(F.col("b.content")) + overhead).alias("tokens"))
     w = Window.orderBy(F.desc("score"), "file_id").rowsBetween(Window.unboundedPreceding, 0)
     return first.withColumn("used", F.sum("tokens").over(w)).filter(F.col("used") <= budget)
+
+
+def port_pack(hits: DataFrame, edges: DataFrame, chunks: DataFrame, budget: int, found: int = 16, direct: int = 6, related: int = 3, overhead: int = 14) -> DataFrame:
+    """id, why, tokens: the first files of the best ``found`` hits (id, file_id, score), then their neighbours (seed, node, why), the last one cut to the budget."""
+    best = F.struct("score", -F.col("id"))
+    top = hits.orderBy(F.desc("score"), "id").limit(found).groupBy("file_id").agg(F.max_by("id", best).alias("id"), F.max("score").alias("score"))
+    # packs: a few rows, so windows over all of them are small
+    seeds = top.orderBy(F.desc("score"), "id").limit(direct).withColumn("at", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    order = F.col("at") * 2 + F.when(F.col("why") == "calls", 0).otherwise(1)
+    near = edges.join(F.broadcast(seeds.select(F.col("id").alias("seed"), "at")), "seed").withColumn("at", order).join(seeds.select(F.col("id").alias("node")), "node", "left_anti")
+    fresh = near.join(chunks.select(F.col("id").alias("node")), "node", "left_semi").groupBy("node").agg(F.min_by("why", "at").alias("why"), F.min("at").alias("at")).orderBy("at", "node").limit(related)
+    items = seeds.select("id", F.lit("direct").alias("why"), "at", F.lit(0).alias("tier")).unionByName(fresh.select(F.col("node").alias("id"), "why", "at", F.lit(1).alias("tier")))
+    sized = chunks.join(F.broadcast(items), "id").select("id", "why", "tier", "at", (X.est_tokens(F.col("content")) + overhead).alias("tokens"))
+    before = F.coalesce(F.sum("tokens").over(Window.orderBy("tier", "at", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    return sized.withColumn("before", before).filter(F.col("before") < budget).select("id", "why", F.least("tokens", budget - F.col("before")).alias("tokens"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeside.operators import analysis, graph, ingest
-from lakeside.plans import code_queries, search_queries  # noqa: F401
+from lakeside.plans import code_queries, planner_queries, search_queries  # noqa: F401
 from lakeside.plans import queries as engine
 from lakeside.streaming import debounce, watch
 
