@@ -215,10 +215,16 @@ def plan(own: list[str], decide: Callable[[list[str], int], str], collect: Calla
         added = sum(search(q, 1) for q in now)
         if has_room():
             try:
-                queries, bad = decision(decide(report.tried, number))
+                reply = decide(report.tried, number)
             except OSError:
+                try:  # once more, if time allows
+                    reply = decide(report.tried, number) if left() >= 5 else None
+                except OSError:
+                    reply = None
+            if reply is None:
                 report.stopped = "planner_error"
                 return report
+            queries, bad = decision(reply)
             report.malformed += bad
             added += sum(search(q, 2) for q in queries)
         else:

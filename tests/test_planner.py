@@ -30,6 +30,17 @@ def test_planner_stops():
         raise OSError("gone")
 
     assert planner.plan([], failing, lambda q, f: 1, lambda: True, lambda: 9.0).stopped == "planner_error"
+    calls = []
+
+    def once(tried, n):
+        calls.append(n)
+        if len(calls) == 1:
+            raise OSError("cold")
+        return '{"action": "answer"}'
+
+    assert planner.plan([], once, lambda q, f: 1, lambda: True, lambda: 9.0).stopped == "answer" and calls == [1, 1]
+    calls.clear()
+    assert planner.plan([], once, lambda q, f: 1, lambda: True, lambda: 4.0).stopped == "planner_error"
 
 
 def test_decisions():
