@@ -78,16 +78,17 @@ def shortest_path(edges: DataFrame, start: DataFrame, end: DataFrame, hops: int
 
 def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, hops: int = 5, limit: int = 10, kinds: list[str] | None = None) -> DataFrame:
     """Paths without repeated nodes from start to end (node, one row each), shortest and smallest first, ``limit`` at most."""
-    arcs = _arcs(edges, "out", kinds)
+    # each hop uses the rows before it several times: written tables keep plans from growing with the hops
+    start, end = written(start), written(end)
     # only nodes that can still reach the end are followed
     useful = reach(edges if not kinds else edges.filter(F.col("kind").isin(*kinds)), end, hops, "in").select(F.col("node").alias("b"), F.col("depth").alias("left"))
-    arcs = arcs.join(useful, "b")
+    arcs = written(_arcs(edges, "out", kinds).join(useful, "b"))
     goal = end.select(F.col("node").alias("goal"))
     frontier = start.select("node", F.array("node").alias("path"))
     done = None
     for h in range(1, min(hops, 8) + 1):
         step = frontier.join(arcs, frontier["node"] == arcs["a"]).filter(~F.array_contains("path", F.col("b")) & (F.col("left") <= hops - h)).select(F.col("b").alias("node"), F.concat("path", F.array("b")).alias("path"))
-        step = step.join(F.broadcast(goal), F.col("node") == F.col("goal"), "left")  # one row
+        step = written(step.join(F.broadcast(goal), F.col("node") == F.col("goal"), "left"))  # one row
         hit = step.filter("goal is not null").select("path").orderBy("path").limit(limit)
         done = hit if done is None else done.unionByName(hit)
         frontier = step.filter("goal is null").select("node", "path")

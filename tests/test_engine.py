@@ -131,3 +131,17 @@ def test_discover(spark, tmp_path):
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_bytes(data)
     assert [r.path for r in watch.discover(spark, str(tmp_path)).collect()] == ["a/x.py"]
+
+
+def test_simple_paths_do_not_plan_hops_again(spark):
+    arcs = sorted({(k, (k * m + m) % 23) for k in range(23) for m in (3, 5, 7, 11)})
+    edges = spark.createDataFrame([(a, b, "x", "calls") for a, b in arcs if a != b], "src_chunk long, dst_chunk long, dst_name string, kind string")
+    start, end = (spark.createDataFrame([(x,)], "node long") for x in (0, 22))
+    got = graph.simple_paths(edges, start, end, hops=4, limit=1000)
+    paths, want = [[0]], []
+    for _ in range(4):
+        paths = [[*p, b] for p in paths for a, b in arcs if a == p[-1] and b not in p]
+        want += sorted(p for p in paths if p[-1] == 22)
+        paths = [p for p in paths if p[-1] != 22]
+    assert [r.path for r in got.collect()] == want and len(want) > 3
+    assert str(got._jdf.queryExecution().optimizedPlan()).count("Join") == 0  # each hop reads the written rows of the one before
