@@ -68,6 +68,31 @@ def test_word_encoder_equals_library(name):
     assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_word_encoder_gives_the_library_each_run_once(name):
+    path = public_tokenizers.path(name)
+    lib, enc = Tokenizer.from_file(path), WordEncoder(path)
+    rng = random.Random(5)
+    stems = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(60)]
+    signs = ["".join(map(chr, (c, d))) for c in range(33, 127) for d in (35, c) if not chr(c).isalnum()]
+    texts = [" ".join(rng.choice(stems) + rng.choice([".\n", ",", "\n", "-", rng.choice(signs)]) + rng.choice(stems).title() for _ in range(400)) for _ in range(5)]
+    given = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return lib.encode_batch_fast(texts, **options)
+
+    enc.tokenizer = Counted()
+    kind = "<u2" if enc.width == 2 else "<u4"
+    assert [np.frombuffer(b, kind).tolist() for b in enc.encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert 2 * sum(map(len, given)) < sum(map(len, texts))  # 60 words, and their capitals
+    every = "".join(map(chr, range(0x21, 0x250)))
+    odd = [f"x {a}{b}{c} y" for a in "aé." for b in every for c in "zÖ,\n"] + [" ".join(every), "a\n\nb. c.\n\nd", "x it's.\nI'll y,'s z", "a.\u0301b c,\u00d7d e-\u00aaf"]
+    assert [np.frombuffer(b, kind).tolist() for b in WordEncoder(path).encode(odd)] == [e.ids for e in lib.encode_batch(odd, add_special_tokens=False)]
+    assert enc.encode([]) == [] and len(enc.encode(["<|endoftext|>"])) == 1
+
+
 def brute_spans(rows, length):
     out = []
     for doc, text in rows:
