@@ -42,31 +42,38 @@ def load_ranks(path: str) -> list[bytes]:
 class MergeReplay:
     def __init__(self, tokens: list[bytes]):
         self.rank = rank = {t: i for i, t in enumerate(tokens)}
-        self.single = [rank[bytes([b])] for b in range(256)]
+        self.single = np.array([rank[bytes([b])] for b in range(256)])
         #: Of each pair of tokens, the rank of the token they form.
         self.pairs = {(rank[t[:k]] << SHIFT) | rank[t[k:]]: i for t, i in rank.items() for k in range(1, len(t)) if t[:k] in rank and t[k:] in rank}
+        #: The rank of each two bytes, -1 if they form no token.
+        self.doubles = np.array([[rank.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)])
+
+    def _start(self, words: list[bytes]) -> tuple[list[int], np.ndarray, dict[int, list[int]]]:
+        """Tokens of the words' single bytes, -1 after each word, where those stand, and the positions of each merge's pairs."""
+        ends = np.cumsum(np.array([len(w) + 1 for w in words], np.int64)) - 1
+        raw = np.frombuffer(b"\0".join([*words, b""]), np.uint8)
+        sym = self.single[raw]
+        sym[ends] = -1
+        first = self.doubles[raw[:-1], raw[1:]]
+        first[(sym[:-1] < 0) | (sym[1:] < 0)] = -1
+        at = np.flatnonzero(first >= 0)
+        at = at[np.argsort(first[at], kind="stable")]
+        ranks = first[at]
+        cuts = np.flatnonzero(np.diff(ranks, prepend=-1)).tolist()
+        spots = at.tolist()
+        index = {r: spots[i:j] for r, i, j in zip(ranks[cuts].tolist(), cuts, [*cuts[1:], len(spots)], strict=True)}
+        return sym.tolist(), ends, index
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word."""
-        single, pairs = self.single, self.pairs
-        sym: list[int] = []
-        starts: list[int] = []
-        index: dict[int, list[int]] = {}
-        for w in words:
-            starts.append(len(sym))
-            ids = [single[b] for b in w]
-            if len(ids) > 1:
-                at = len(sym)
-                for a, b in zip(ids, ids[1:], strict=False):
-                    r = pairs.get(a << SHIFT | b)
-                    if r is not None:
-                        if r in index:
-                            index[r].append(at)
-                        else:
-                            index[r] = [at]
-                    at += 1
-            sym += ids
-            sym.append(-1)  # ends the word
+        return [np.frombuffer(x, "<u4").tolist() for x in self.packed(words)]
+
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, little-endian unsigned 32-bit."""
+        if not words:
+            return []
+        pairs = self.pairs
+        sym, ends, index = self._start(words)
         n = len(sym)
         nxt = list(range(1, n + 1))
         prv = list(range(-1, n - 1))
@@ -111,8 +118,11 @@ class MergeReplay:
                     index[r] = spots[k + 1 :] + index.get(r, [])
                     heappush(heap, r)
                     break
-        starts.append(n)
-        return [[x for x in sym[i : j - 1] if x >= 0] for i, j in zip(starts, starts[1:], strict=False)]
+        left = np.array(sym)
+        kept = left >= 0
+        data = left[kept].astype("<u4").tobytes()
+        stops = (4 * np.cumsum(kept)[ends]).tolist()
+        return [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
 
 
 _loaded: dict[str, tuple] = {}
@@ -148,15 +158,16 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         for batch in batches:
             for first, texts in text_blocks(batch.column(1)):
                 split = [find(t) for t in texts]
-                new = list(set().union(*split).difference(known))
+                every = set().union(*split)
+                new = list(every.difference(known))
                 if len(known) + len(new) > KEPT_WORDS:
+                    recurring = {w: known[w] for w in every.intersection(known)}  # the rest was seen in earlier blocks only
                     known.clear()
-                    new = list(set().union(*split))
+                    known.update(recurring)
                 raw = [w.encode() for w in new]
                 whole = [replay.rank.get(b) for b in raw]
                 todo = [i for i, r in enumerate(whole) if r is None]
-                for i, ids in zip(todo, replay.encode([raw[i] for i in todo]), strict=True):
-                    known[new[i]] = np.array(ids, "<u4").tobytes()
+                known.update(zip([new[i] for i in todo], replay.packed([raw[i] for i in todo]), strict=True))
                 for w, r in zip(new, whole, strict=True):
                     if r is not None:
                         known[w] = r.to_bytes(4, "little")

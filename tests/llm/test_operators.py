@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -68,6 +69,41 @@ def test_word_encoder_equals_library(name):
     assert got == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_replays_recurring_words_once(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    replay = bpe.MergeReplay(bpe.load_ranks(path))
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=replay.rank, special_tokens={})
+    rng = random.Random(6)
+    odd = [b"", b"\0", b"\0\0a", b"", bytes(range(256)), *(bytes(rng.choices(b"abc\0\xc3\xa9 t", k=rng.randint(0, 30))) for _ in range(500)), b""]
+    assert replay.encode(odd) == [enc._encode_single_piece(w) if w else [] for w in odd] and replay.encode([]) == []
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 50)
+    monkeypatch.setattr(bpe, "spread", lambda df: df)
+    given = []
+
+    class Counted(bpe.MergeReplay):
+        def packed(self, words):
+            given.extend(words)
+            return super().packed(words)
+
+        def encode(self, words):
+            given.extend(words)
+            return super().encode(words)
+
+    monkeypatch.setitem(bpe._loaded, path, (Counted(bpe.load_ranks(path)), {}))
+    monkeypatch.setattr(bpe, "keyed", lambda df, *columns: df)
+    common = [f" qxz{a}vwk{b}" for a in "bcdfg" for b in "hjlmn"]
+    texts = ["".join(common) + "".join(f" jq{a}zx{k}" for a in "bcdfghjklm") + "." for k in "abcdefghij"]
+    batches = [pa.record_batch([[k], [t]], ["doc_id", "text"]) for k, t in enumerate(texts)]
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return list(run(iter(batches)))
+
+    out = bpe.encode_documents(Table(), path, public_tokenizers.PATTERN)
+    assert [np.frombuffer(b.column(1)[0].as_py(), "<u4").tolist() for b in out] == [enc.encode_ordinary(t) for t in texts]
+    assert max(Counter(given).values()) == 1
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_word_encoder_gives_the_library_each_run_once(name):
     path = public_tokenizers.path(name)
