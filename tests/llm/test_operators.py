@@ -378,6 +378,24 @@ def test_ann_visits_few_lists_of_clusters(spark):
     assert hit >= 0.9 * 20 * 200
 
 
+def test_ann_finds_near_copies_and_rare_rows(spark):
+    """Rows unlike most: many near copies of one vector, a few in directions of their own."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1, 64)) / 8
+    x = np.concatenate([rng.normal(size=(4000, 64)) / 8, v + 1e-3 * rng.normal(size=(2000, 64)), np.c_[np.zeros((100, 56)), rng.normal(size=(100, 8))]])
+    x[:4000, 56:] = 0
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(6100)].astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = {}
+    for r in ann.nearest_neighbours(df).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    shares = []
+    for i in range(0, 6100, 20):
+        s = x.astype(float) @ x[i].astype(float)
+        shares.append(len(found[i] & set([j for j in np.argsort(-s, kind="stable") if j != i][:20])) / 20)
+    assert np.mean(shares) >= 0.98 and np.quantile(shares, 0.02) >= 0.8
+
+
 def test_quality_counts_and_verdicts(docs, none, spark, sf):
     got = {(r.doc_id, r.n_words): r for r in quality_rules.judge(docs).collect()}
     for r in docs.collect():
