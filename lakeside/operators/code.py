@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.storage import written
+from . import ingest
 from .ingest import _found, _lines
 
 #: Words that open a declaration, and the kind of what they declare.
@@ -46,6 +48,38 @@ def import_scope(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.select(F.col("path").alias("file"), F.col("name").alias("qualifier")).distinct().join(stems, "qualifier").filter("file <> target")
 
 
+def resolved_calls(src: DataFrame, symbols: DataFrame) -> DataFrame:
+    """path, line, name, qualifier, kind, target of the calls of all files (path, content, each path once), by the rules of ``lookup.resolve_edges``.
+
+    ``symbols``: id, name, file.  A call meets its name once: names that one file declares are settled by that, qualified
+    ones by the imports of their own file; only calls of names with several files need the imports of others.
+    """
+    calls = ingest.call_edges(src.select("path", "content", ingest.imported_names(F.col("content")).alias("imports")))
+    own = F.coalesce("qualifier", F.lit("")).isin("", "self", "cls", "this", "super")
+    asked = F.when(own, "").when(F.array_contains("imports", F.col("qualifier")), F.col("qualifier"))
+    calls = calls.select("path", "line", "name", "qualifier", "kind", asked.alias("asked"))
+    per = symbols.filter("file is not null").groupBy("name", "file").agg(F.min("id").alias("id"))
+    stems = module_stems(per.select(F.col("file").alias("path")).distinct()).select(F.col("path").alias("file"), "stem")
+    # of the files that a name, or a name with a stem, may stand for the first two: the calling file itself is none of a stem's
+    offered = per.select("name", F.lit("").alias("asked"), "file", "id").unionByName(per.join(stems, "file").filter("stem not in ('', 'self', 'cls', 'this', 'super')").select("name", F.col("stem").alias("asked"), "file", "id"))
+    w = Window.partitionBy("name", "asked").orderBy("id", "file")
+    two = offered.withColumn("rn", F.row_number().over(w)).filter("rn <= 2").groupBy("name", "asked").agg(F.max(F.when(F.col("rn") == 1, F.col("file"))).alias("first"), F.max(F.when(F.col("rn") == 2, F.col("file"))).alias("second"))
+    met = calls.join(two, ["name", "asked"], "left")
+    several = two.filter("asked = '' and second is not null").select("name")
+    target = F.when(F.col("asked") != "", F.when(F.col("first") != F.col("path"), F.col("first")).otherwise(F.col("second"))).otherwise(F.col("first"))
+    out = ["path", "line", "name", "qualifier", "kind"]
+    if several.isEmpty():
+        return met.select(*out, target.alias("target"))
+    met = written(met)
+    shared = per.join(several, "name")
+    here = shared.select(F.col("file").alias("path"), "name", F.lit(1).alias("rank"), "id", F.col("file").alias("target"))
+    uses = import_scope(src.select("path", F.explode(ingest.imported_names(F.col("content"))).alias("name")), src.select("path")).select(F.col("file").alias("path"), F.col("target").alias("file")).distinct()
+    there = shared.join(uses, "file").select("path", "name", F.lit(2).alias("rank"), "id", F.col("file").alias("target"))
+    best = here.unionByName(there).groupBy("path", "name").agg(F.min_by("target", F.struct("rank", "id")).alias("target"))
+    unclear = F.coalesce((F.col("asked") == "") & F.col("second").isNotNull(), F.lit(False))
+    return met.filter(~unclear).select(*out, target.alias("target")).unionByName(met.filter(unclear).join(best, ["path", "name"], "left").select(*out, "target"))
+
+
 def bracket_delta(c: Column) -> Column:
     """Opening less closing brackets."""
     return F.length(F.translate(c, ")]}", "")) - F.length(F.translate(c, "([{", ""))
@@ -93,4 +127,4 @@ def text_usages(src: DataFrame, names: list[str]) -> DataFrame:
     return _lines(src).select("path", "line", F.explode(found).alias("name"))
 
 
-__all__ = ["_found", "arity", "bracket_delta", "declaration_chunks", "ident_tokens", "import_scope", "module_stems", "outline", "signature_slice", "symbols", "text_usages", "type_uses"]
+__all__ = ["_found", "arity", "bracket_delta", "declaration_chunks", "ident_tokens", "import_scope", "module_stems", "outline", "resolved_calls", "signature_slice", "symbols", "text_usages", "type_uses"]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import compare
 import pytest
+from pyspark.sql import functions as F
 
+from lakeside.operators import code, graph, lookup, reports  # noqa: F401
 from lakeside.plans import code_queries, planner_queries, search_queries  # noqa: F401
 from lakeside.plans import queries as engine
+from lakeside.sources import tables as T
 
 
 @pytest.fixture
@@ -37,3 +40,56 @@ def test_replies_with_letters_without_a_capital(spark, made):
 def test_citations_of_modules_over_a_million(spark, made):
     folder = made(part="select * from part union all select * replace (p_partkey + 1000000 as p_partkey) from part", lineitem="select * from lineitem union all select * replace (l_orderkey + 10000000 as l_orderkey, l_partkey + 1000000 as l_partkey) from lineitem")
     agree(spark, folder, "n12_citations")
+
+
+def steps(df) -> list[tuple[str, int]]:
+    """Name and rows out of each step of a query that has run."""
+
+    def walk(p):
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            yield from walk(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            yield from walk(p.plan())
+        else:
+            m, below = p.metrics().get("numOutputRows"), p.children()
+            yield name, m.get().value() if m.isDefined() else 0
+            for i in range(below.size()):
+                yield from walk(below.apply(i))
+
+    df.collect()
+    return list(walk(df._jdf.queryExecution().executedPlan()))
+
+
+def count(df, name: str) -> int:
+    return sum(n == name for n, _ in steps(df))
+
+
+def test_calls_are_resolved_in_one_meeting(spark):
+    """By hand: own file before imported before the only one, qualifiers within imports, two qualifiers on a line; calls are dealt once."""
+    src = spark.createDataFrame([
+        ("a.py", "import b\nimport c\ndef dup(x):\n    b.f(1) + c.f(2)\n    only(1)\n    dup(2)\n    z.f(3)"),
+        ("b.py", "def f(x):\n    dup(1)\ndef dup(x):\n    two(1)"),
+        ("c.py", "import d\ndef f(x):\n    two(1)\n    f(4)\n    nowhere(1)"),
+        ("d.py", "def two(x):\n    only(1)"),
+        ("e.py", "def two(x):\n    return self.two(1)\ndef only(x):\n    f(1)"),
+    ], "path string, content string")
+    found = code.symbols(src).select(F.xxhash64("path", "name").alias("id"), "name", F.col("path").alias("file"))
+    got = code.resolved_calls(src, found)
+    want = {("a.py", 4, "f", "b", "b.py"), ("a.py", 4, "f", "c", "c.py"), ("a.py", 5, "only", None, "e.py"), ("a.py", 6, "dup", None, "a.py"), ("a.py", 7, "f", "z", None), ("b.py", 2, "dup", None, "b.py"), ("b.py", 4, "two", None, None), ("c.py", 3, "two", None, "d.py"), ("c.py", 4, "f", None, "c.py"), ("c.py", 5, "nowhere", None, None), ("d.py", 2, "only", None, "e.py"), ("e.py", 2, "two", "self", "e.py"), ("e.py", 4, "f", None, None)}
+    rows = [(r.path, r.line, r.name, r.qualifier, r.target) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_code_edges_shuffle_calls_once(spark, sf):
+    symbols = T.code_symbols(spark, sf).select(F.xxhash64("path", "name").alias("id"), "name", F.col("path").alias("file"))
+    edges = code.resolved_calls(T.code(spark, sf), symbols)
+    joins = [n for n, rows in steps(edges) if "Join" in n and rows >= T.code_edges(spark, sf).count()]
+    assert len(joins) == 1
+
+
+def test_lines_with_two_parts_follow_one_another(spark, made):
+    """Repeated line numbers, gaps and repeated lines of an order."""
+    folder = made(lineitem="select * replace (l_orderkey // 3 as l_orderkey) from lineitem union all select * from lineitem where l_linenumber < 3 union all select * replace (null as l_partkey) from lineitem where l_linenumber = 2")
+    agree(spark, folder, "j5_resolve_qualified")
+    agree(spark, folder, "a13_grouped_edges")
