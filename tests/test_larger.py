@@ -93,3 +93,7 @@ def test_lines_with_two_parts_follow_one_another(spark, made):
     folder = made(lineitem="select * replace (l_orderkey // 3 as l_orderkey) from lineitem union all select * from lineitem where l_linenumber < 3 union all select * replace (null as l_partkey) from lineitem where l_linenumber = 2")
     agree(spark, folder, "j5_resolve_qualified")
     agree(spark, folder, "a13_grouped_edges")
+
+
+def test_patches_count_callers_without_ranking_them(spark, sf):
+    assert count(engine.QUERIES["n5_n6_simulate_patch"](spark, sf), "WindowExec") == 0
