@@ -78,10 +78,10 @@ def relabel_bases(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     return j.select(*[F.col(f"e.{c}") if c != "kind" else kind.alias("kind") for c in edges.columns])
 
 
-def chunk_at(lines: DataFrame, chunks: DataFrame) -> DataFrame:
-    """path, line and the smallest chunk that spans the line."""
-    j = lines.join(chunks.select("path", "chunk_id", "start_line", "end_line"), "path").filter("line between start_line and end_line")
-    return j.groupBy("path", "line").agg(F.min_by("chunk_id", F.struct(F.expr("end_line - start_line"), "chunk_id")).alias("chunk_id"))
+def chunk_at(lines: DataFrame, chunks: DataFrame, *more: str) -> DataFrame:
+    """path, line and the smallest chunk that spans the line, with ``more`` of its columns."""
+    j = lines.join(chunks.select("path", "chunk_id", "start_line", "end_line", *more), "path").filter("line between start_line and end_line")
+    return j.groupBy("path", "line").agg(F.min_by(F.struct("chunk_id", *more), F.struct(F.expr("end_line - start_line"), "chunk_id")).alias("c")).select("path", "line", "c.*")
 
 
 def nearest_declaration(lines: DataFrame, decls: DataFrame) -> DataFrame:

@@ -97,3 +97,11 @@ def test_lines_with_two_parts_follow_one_another(spark, made):
 
 def test_patches_count_callers_without_ranking_them(spark, sf):
     assert count(engine.QUERIES["n5_n6_simulate_patch"](spark, sf), "WindowExec") == 0
+
+
+def test_suspects_are_ranked_once_a_chunk(spark, sf, made):
+    """As many traces again of the same places: the calls that are ranked stay the same."""
+    folder = made(events="select * from events union all select * replace (event_id + 1000000 as event_id) from events where event_id < 100")
+    agree(spark, folder, "y18_port_suspects")
+    plan = engine.QUERIES["y18_port_suspects"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(target" in plan and "windowspecdefinition(id" not in plan
