@@ -89,7 +89,9 @@ def nearest_declaration(lines: DataFrame, decls: DataFrame) -> DataFrame:
 
     ``decls``: id, path, name, decl_line, chunk_end.
     """
-    j = lines.join(decls, "path").filter("decl_line <= line")
+    # of declarations that begin and end alike only the one of the largest id can be the answer
+    first = decls.groupBy("path", "decl_line", "chunk_end").agg(F.max_by("name", "id").alias("name"), F.max("id").alias("id"))
+    j = lines.join(first, "path").filter("decl_line <= line")
     key = F.struct(F.coalesce(F.col("chunk_end") >= F.col("line"), F.lit(False)), "decl_line", "id")
     return j.groupBy("path", "line").agg(F.max_by("name", key).alias("name"))
 

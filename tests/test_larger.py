@@ -105,3 +105,13 @@ def test_suspects_are_ranked_once_a_chunk(spark, sf, made):
     agree(spark, folder, "y18_port_suspects")
     plan = engine.QUERIES["y18_port_suspects"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(target" in plan and "windowspecdefinition(id" not in plan
+
+
+def test_declarations_that_begin_and_end_alike_meet_lines_once(spark):
+    """50,000 declarations on 20 lines of a path, 20 lines asked: an all-pairs join had half a million rows."""
+    decls = spark.range(50_000).select("id", F.lit("p").alias("path"), F.concat(F.lit("n"), "id").alias("name"), (F.col("id") % 20 + 1).alias("decl_line"), (F.col("id") % 20 + 1 + F.col("id") % 3).alias("chunk_end"))
+    lines = spark.range(1, 21).select(F.lit("p").alias("path"), F.col("id").alias("line"))
+    df = lookup.nearest_declaration(lines, decls)
+    assert max(rows for n, rows in steps(df) if "Join" in n) <= 20 * 60
+    want = {line: max((d % 20 + 1 + d % 3 >= line, d % 20 + 1, d) for d in range(50_000) if d % 20 + 1 <= line)[2] for line in range(1, 21)}
+    assert {r.line: r.name for r in df.collect()} == {line: f"n{d}" for line, d in want.items()}
