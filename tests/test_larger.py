@@ -115,3 +115,7 @@ def test_declarations_that_begin_and_end_alike_meet_lines_once(spark):
     assert max(rows for n, rows in steps(df) if "Join" in n) <= 20 * 60
     want = {line: max((d % 20 + 1 + d % 3 >= line, d % 20 + 1, d) for d in range(50_000) if d % 20 + 1 <= line)[2] for line in range(1, 21)}
     assert {r.line: r.name for r in df.collect()} == {line: f"n{d}" for line, d in want.items()}
+
+
+def test_risk_groups_callers_without_ranking_them(spark, sf):
+    assert count(engine.QUERIES["a15_risk"](spark, sf), "WindowExec") == 0
