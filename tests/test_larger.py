@@ -119,3 +119,8 @@ def test_declarations_that_begin_and_end_alike_meet_lines_once(spark):
 
 def test_risk_groups_callers_without_ranking_them(spark, sf):
     assert count(engine.QUERIES["a15_risk"](spark, sf), "WindowExec") == 0
+
+
+def test_callers_are_ranked_once_a_symbol(spark, sf):
+    plan = engine.QUERIES["n9_suspects"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(name" in plan and "windowspecdefinition(id" not in plan
