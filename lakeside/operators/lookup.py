@@ -50,24 +50,30 @@ def resolve_edges(edges: DataFrame, symbols: DataFrame, scope: DataFrame, qualif
     files it stands for (``qualifiers``: file, qualifier, target), else to nothing.
     """
     own = F.coalesce(F.col("qualifier"), F.lit("")).isin("", "self", "cls", "this", "super")
-    unique = symbols.groupBy("name").agg(F.count_distinct("file").alias("n_files"))
-    symbols = symbols.groupBy("name", "file").agg(F.min_by("chunk_id", "id").alias("chunk_id"), F.min("id").alias("id"))  # ranks go by name and file
-    cand = edges.alias("e").join(symbols.alias("s"), F.expr("e.dst_name = s.name")).join(unique.alias("u"), F.expr("u.name = s.name")).join(scope.withColumn("seen", F.lit(True)).alias("i"), F.expr("i.file = e.file and i.imported = s.file"), "left")
-    rank = F.when(F.expr("e.file = s.file"), 1).when(F.col("seen"), 2).when(F.col("n_files") == 1, 3)
-    best = cand.filter(own).select("edge_id", "s.chunk_id", F.struct(rank.alias("rank"), F.col("s.id").alias("id")).alias("key")).filter("key.rank is not null")
+    per = symbols.groupBy("name", "file").agg(F.min_by("chunk_id", "id").alias("chunk_id"), F.min("id").alias("id"))  # ranks go by name and file
+    names = per.groupBy("name").agg(F.count("file").alias("n_files"), F.min_by("chunk_id", "id").alias("chunk_id"), F.min("id").alias("id"))
+    # what a name stands for in a file is found once for all its edges; a name meets only the files of its rank, never all
+    keys = edges.filter(own & F.col("dst_name").isNotNull()).select("file", F.col("dst_name").alias("name")).distinct()
+    here = keys.join(per, ["name", "file"]).select("file", "name", "chunk_id", F.lit(1).alias("rank"), "id")
+    seen = keys.join(scope.select("file", "imported").distinct(), "file").join(per.withColumnRenamed("file", "imported"), ["name", "imported"]).select("file", "name", "chunk_id", F.lit(2).alias("rank"), "id")
+    sole = keys.join(names.filter("n_files = 1"), "name").select("file", "name", "chunk_id", F.lit(3).alias("rank"), "id")
+    found = here.unionByName(seen).unionByName(sole).groupBy("file", "name").agg(F.min(F.struct("rank", "id")).alias("key"), F.min_by("chunk_id", F.struct("rank", "id")).alias("chunk_id"))
+    best = edges.filter(own).alias("e").join(found.alias("f"), F.expr("e.dst_name = f.name and e.file <=> f.file")).select("edge_id", "f.chunk_id", "f.key")
     if qualifiers is not None:
-        q = edges.alias("e").filter(~own).join(qualifiers.alias("q"), F.expr("q.file = e.file and q.qualifier = e.qualifier")).join(symbols.alias("s"), F.expr("s.name = e.dst_name and s.file = q.target"))
+        q = edges.alias("e").filter(~own).join(qualifiers.alias("q"), F.expr("q.file = e.file and q.qualifier = e.qualifier")).join(per.alias("s"), F.expr("s.name = e.dst_name and s.file = q.target"))
         best = best.unionByName(q.select("edge_id", "s.chunk_id", F.struct(F.lit(0).alias("rank"), F.col("s.id").alias("id")).alias("key")))
     picked = best.groupBy("edge_id").agg(F.min_by("chunk_id", "key").alias("dst_chunk"))
     return edges.select("edge_id").join(picked, "edge_id", "left")
 
 
 def resolve_any(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The looser rule: any symbol of the name, same file first, then the smallest chunk."""
-    symbols = symbols.groupBy("name", "file").agg(F.min("chunk_id").alias("chunk_id"))
-    cand = edges.alias("e").join(symbols.alias("s"), F.expr("e.dst_name = s.name"), "left")
-    key = F.struct(F.expr("e.file <> s.file").alias("other"), F.col("s.chunk_id").alias("c"))
-    return cand.groupBy("edge_id").agg(F.min_by("s.chunk_id", key).alias("dst_chunk"))
+    """The looser rule: any symbol of the name, same file first, then the smallest chunk; an unknown file counts as the same."""
+    per = symbols.groupBy("name", "file").agg(F.min("chunk_id").alias("own"))
+    names = per.groupBy("name").agg(F.min("own").alias("least"), F.min(F.when(F.col("file").isNull(), F.col("own"))).alias("loose"))
+    j = edges.select("edge_id", "file", F.col("dst_name").alias("name")).join(per, ["name", "file"], "left").join(names, "name", "left")
+    same = F.when(F.col("file").isNull(), F.col("least")).otherwise(F.least("own", "loose"))
+    to = j.select("edge_id", same.isNull().alias("other"), F.coalesce(same, "least").alias("c"))
+    return to.groupBy("edge_id").agg(F.min_by("c", F.when(F.col("c").isNotNull(), F.struct("other", "c"))).alias("dst_chunk"))
 
 
 def relabel_bases(edges: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -124,3 +124,22 @@ def test_risk_groups_callers_without_ranking_them(spark, sf):
 def test_callers_are_ranked_once_a_symbol(spark, sf):
     plan = engine.QUERIES["n9_suspects"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "windowspecdefinition(name" in plan and "windowspecdefinition(id" not in plan
+
+
+def test_common_names_meet_their_files_not_each_other(spark):
+    """1,000 edges to a name that 1,000 symbols of 5 files and none bear: an all-pairs join had a million rows."""
+    s = spark.range(1000).select("id", F.col("id").alias("chunk_id"), F.lit("n").alias("name"), F.concat(F.lit("f"), (F.col("id") % 5).cast("string")).alias("file"))
+    e = spark.range(1000).select(F.col("id").alias("edge_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("f"), (F.col("id") % 7).cast("string"))).alias("file"), F.when(F.col("id") % 11 > 0, "n").alias("dst_name"), F.lit(None).cast("string").alias("qualifier"))
+    loose = lookup.resolve_any(e, s)
+    assert max(rows for n, rows in steps(loose) if "Join" in n) <= 1000
+    assert {r.edge_id: r.dst_chunk for r in loose.collect()} == {i: None if i % 11 == 0 else i % 7 if i % 7 in range(1, 5) else 0 for i in range(1000)}
+    scope = spark.createDataFrame([("f6", "f3"), ("f6", "f2"), ("f1", "f0")], "file string, imported string")
+    strict = lookup.resolve_edges(e, s, scope)
+    assert max(rows for n, rows in steps(strict) if "Join" in n) <= 1000
+    assert {r.edge_id: r.dst_chunk for r in strict.collect()} == {i: None if i % 11 == 0 else i % 7 if i % 7 in range(1, 5) else 2 if i % 7 == 6 else None for i in range(1000)}
+
+
+def test_names_of_an_unknown_file(spark, made):
+    folder = made(part="select * replace (case when p_partkey % 5 = 0 then null else p_brand end as p_brand, case when p_partkey % 3 = 0 then 'a b' else p_name end as p_name) from part")
+    agree(spark, folder, "y9_resolve_any_name")
+    agree(spark, folder, "j5_j6_resolve_names")
