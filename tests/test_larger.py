@@ -143,3 +143,10 @@ def test_names_of_an_unknown_file(spark, made):
     folder = made(part="select * replace (case when p_partkey % 5 = 0 then null else p_brand end as p_brand, case when p_partkey % 3 = 0 then 'a b' else p_name end as p_name) from part")
     agree(spark, folder, "y9_resolve_any_name")
     agree(spark, folder, "j5_j6_resolve_names")
+
+
+def test_only_edges_of_tests_are_dealt(spark, sf):
+    df = engine.QUERIES["y10_port_coverage"](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    at = plan.index("REPARTITION_BY_COL")
+    assert "RLIKE" in plan[at : at + 400]
