@@ -150,3 +150,13 @@ def test_only_edges_of_tests_are_dealt(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     at = plan.index("REPARTITION_BY_COL")
     assert "RLIKE" in plan[at : at + 400]
+
+
+def test_siblings_meet_words_not_lists(spark, made):
+    """A folder's own words are looked up word by word, not as one list beside each of its files."""
+    picked = spark.range(300).select(F.format_string("d/w%d_x.py", "id").alias("path"))
+    files = spark.range(400).select(F.format_string("d/w%d_x.py", "id").alias("path")).union(spark.createDataFrame([("d/q.py",), ("e/w1.py",)], "path string"))
+    df = reports.sibling_hints(picked, files)
+    assert "array_intersect" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.path, r.shared) for r in df.orderBy(F.desc("shared"), "path").collect()] == [(f"d/w{i}_x.py", 1) for i in range(300, 306)]
+    agree(spark, made(part="select * from part union all select * replace (p_partkey + 5000 as p_partkey) from part"), "n14_sibling_hints")
