@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..sources.storage import written
+from ..sources.storage import dealt, written
 
 
 def _arcs(edges: DataFrame, direction: str, kinds: list[str] | None = None) -> DataFrame:
@@ -97,11 +97,13 @@ def simple_paths(edges: DataFrame, start: DataFrame, end: DataFrame, hops: int =
 
 def one_hop(edges: DataFrame, seeds: DataFrame, per_seed: int) -> DataFrame:
     """seed, node, via (calls, called_by): at most ``per_seed`` on each side, smallest first."""
-    e = edges.filter("dst_chunk is not null").select("src_chunk", "dst_chunk").distinct()
-    out = seeds.join(e, seeds["node"] == e["src_chunk"]).select(F.col("node").alias("seed"), F.col("dst_chunk").alias("node"), F.lit("calls").alias("via"))
-    back = seeds.join(e, seeds["node"] == e["dst_chunk"]).select(F.col("node").alias("seed"), F.col("src_chunk").alias("node"), F.lit("called_by").alias("via"))
+    e = edges.filter("dst_chunk is not null")
+    out = e.select(F.col("src_chunk").alias("seed"), F.col("dst_chunk").alias("node"), F.lit("calls").alias("via"))
+    back = e.select(F.col("dst_chunk").alias("seed"), F.col("src_chunk").alias("node"), F.lit("called_by").alias("via"))
+    # both sides go to their seed once
+    both = dealt(out.unionByName(back), "seed").join(seeds.select(F.col("node").alias("seed")), "seed", "left_semi").distinct()
     w = Window.partitionBy("seed", "via").orderBy("node")
-    return out.unionByName(back).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_seed).drop("rn")
+    return both.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= per_seed).select("seed", "node", "via")
 
 
 def pagerank(arcs: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:

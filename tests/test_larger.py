@@ -160,3 +160,9 @@ def test_siblings_meet_words_not_lists(spark, made):
     assert "array_intersect" not in df._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.path, r.shared) for r in df.orderBy(F.desc("shared"), "path").collect()] == [(f"d/w{i}_x.py", 1) for i in range(300, 306)]
     agree(spark, made(part="select * from part union all select * replace (p_partkey + 5000 as p_partkey) from part"), "n14_sibling_hints")
+
+
+def test_one_hop_deals_edges_once(spark, sf):
+    e = T.edges(spark, sf)
+    df = graph.one_hop(e, e.select(F.col("src_chunk").alias("node")).distinct(), 2)
+    assert count(df, "ShuffleExchangeExec") <= 3
