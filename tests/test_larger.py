@@ -10,6 +10,7 @@ from lakeside.operators import code, graph, lookup, reports  # noqa: F401
 from lakeside.plans import code_queries, planner_queries, search_queries  # noqa: F401
 from lakeside.plans import queries as engine
 from lakeside.sources import tables as T
+from lakeside.sources.storage import dealt
 
 
 @pytest.fixture
@@ -166,3 +167,10 @@ def test_one_hop_deals_edges_once(spark, sf):
     e = T.edges(spark, sf)
     df = graph.one_hop(e, e.select(F.col("src_chunk").alias("node")).distinct(), 2)
     assert count(df, "ShuffleExchangeExec") <= 3
+
+
+def test_larger_tables_are_dealt_to_more_tasks(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(400_000).select("id", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("x")).write.parquet(path)
+    df = spark.read.parquet(path)
+    assert dealt(df, "id", bytes_each=1 << 20).rdd.getNumPartitions() > 16 > dealt(df, "id").rdd.getNumPartitions()
