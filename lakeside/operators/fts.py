@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import fold_literal, fold_text, path_tokens
+from ..sources.storage import written
 
 # Function words left out of queries (Vietnamese ones in folded form).
 VN_STOPWORDS = frozenset("cac con dang trong that roi kem cho voi cua mot nhung khi nhu van chi toi theo den ra vao len tren duoi giua ngoai vay thi ma la va hoac hay neu vi boi do da se rat qua lam nen cung deu moi tung bi co khong duoc nay kia day gi ai thu".split())
@@ -51,10 +52,13 @@ def query_clauses(query: str) -> list[tuple[str, str | None]]:
 
 
 def postings(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """id, field, token, tf.  Tokens are lower-case runs of letters and digits."""
-    cols = F.array(*[F.struct(F.lit(f).alias("field"), F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != "").alias("tokens")) for f, c in fields.items()])
+    """id, field, token, tf: a row for each place of a token, so tf is 1.  Tokens are lower-case runs of letters and digits.
+
+    Nothing is dealt or sorted: a query keeps the rows of its clauses as the texts are read, and only these are grouped.
+    """
+    cols = F.array(*[F.struct(F.lit(f).alias("field"), F.split(F.lower(c), TOKEN_SPLIT).alias("tokens")) for f, c in fields.items()])
     long = docs.select("id", F.explode(cols).alias("f")).select("id", "f.field", F.explode("f.tokens").alias("token"))
-    return long.groupBy("id", "field", "token").agg(F.count(F.lit(1)).alias("tf"))
+    return long.filter("token <> ''").withColumn("tf", F.lit(1).cast("long"))
 
 
 def index_fields(content: Column, path: Column, symbols: Column) -> dict[str, Column]:
@@ -69,8 +73,8 @@ def lengths(post: DataFrame) -> DataFrame:
 def clause_scores(post: DataFrame, clauses: list[tuple[str, str | None]], weights: dict[str, float], k1: float = 1.2, b: float = 0.75, sized: DataFrame | None = None, exact: bool = False) -> DataFrame:
     """clause (its position), id, score of all that match a clause: each clause a phrase of its own, tf weighted by field, length over all fields.
 
-    Clauses are prefixes, with ``exact`` whole tokens; they reach the scan, so that an index ordered by
-    token is read only where they can be.  ``sized``: ``lengths`` of all fields.
+    Clauses are prefixes, with ``exact`` whole tokens.  ``sized``: ``lengths`` of all fields.  What matches is written once,
+    a row a clause and document, since its frequencies and scores both read it.
     """
     spark = post.sparkSession
     sized = lengths(post) if sized is None else sized
@@ -80,8 +84,8 @@ def clause_scores(post: DataFrame, clauses: list[tuple[str, str | None]], weight
     wanted = spark.createDataFrame([(i, p, f) for i, (p, f) in enumerate(clauses)], "clause int, prefix string, only string")
     # the clauses of one query: a few rows by construction
     hit = post.filter(asked & F.col("field").isin(*weights)).join(F.broadcast(wanted), F.expr(("token = prefix" if exact else "startswith(token, prefix)") + " and (only is null or only = field)"))
-    weight = F.create_map(*[F.lit(x) for f, w in weights.items() for x in (f, float(w))])
-    tf = hit.groupBy("clause", "id").agg(F.sum(F.col("tf") * weight[F.col("field")]).alias("tf"))
+    at = lambda f, w: F.coalesce(F.sum(F.when(F.col("field") == f, F.col("tf"))), F.lit(0)) * F.lit(float(w))
+    tf = written(hit.groupBy("clause", "id").agg(reduce(lambda x, y: x + y, [at(f, w) for f, w in weights.items()]).alias("tf")))
     df = tf.groupBy("clause").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     scored = tf.join(F.broadcast(df), "clause").join(sized, "id").crossJoin(total)  # df: a row a clause; total: one row

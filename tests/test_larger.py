@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeside.operators import code, graph, lookup, reports  # noqa: F401
 from lakeside.plans import code_queries, planner_queries, search_queries  # noqa: F401
 from lakeside.plans import queries as engine
+from lakeside.sources import storage
 from lakeside.sources import tables as T
 from lakeside.sources.storage import dealt
 
@@ -174,3 +175,16 @@ def test_larger_tables_are_dealt_to_more_tasks(spark, tmp_path):
     spark.range(400_000).select("id", F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("x")).write.parquet(path)
     df = spark.read.parquet(path)
     assert dealt(df, "id", bytes_each=1 << 20).rdd.getNumPartitions() > 16 > dealt(df, "id").rdd.getNumPartitions()
+
+
+def test_postings_are_neither_dealt_by_token_nor_sorted(spark, sf):
+    plan = T.postings(spark, sf).filter("token = 'the'").groupBy("id").count()._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort" not in plan and "postings" not in {name for _, _, name in storage._kept}
+    assert plan.count("hashpartitioning") == 1 and "partial_count" in plan  # only what matches
+
+
+@pytest.mark.parametrize("name", ["t8_bm25f", "y1_bm25f_port_weights", "r2_r4_hybrid", "r1_rrf", "t13_substring_topup", "f4_inspect_path_query"])
+def test_full_text_of_repeated_and_odd_documents(spark, made, name):
+    """Documents that come twice, empty ones, ones of marks alone."""
+    folder = made(documents="select * from documents where doc_id % 3 > 0 or doc_id > 60 union all select * from documents where doc_id % 40 = 1 and doc_id not in (select vec_id from embeddings) union all select * replace (doc_id + 100000 as doc_id, case doc_id % 3 when 0 then '' when 1 then '... --- !' else 'the the the theory, over the ver' end as text) from documents where doc_id < 30")
+    agree(spark, folder, name)
