@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.storage import written
 from . import fts
 
 # Words (folded) that mark a query for a command, and the atoms that such queries add.
@@ -100,7 +101,7 @@ def path_probe(post: DataFrame, sized: DataFrame, atoms: list[str], rare: int =
     """
     clauses = [(a, f) for f in ("path", "folded") for a in atoms]
     spark, width = post.sparkSession, len(atoms)
-    part = fts.clause_scores(post, clauses, {"path": fts.WEIGHTS["path"], "folded": fts.WEIGHTS["folded"]}, sized=sized)
+    part = written(fts.clause_scores(post, clauses, {"path": fts.WEIGHTS["path"], "folded": fts.WEIGHTS["folded"]}, sized=sized))  # each step below reads it
     # the atoms of a query: a few rows by construction
     names = spark.createDataFrame(list(enumerate(atoms)), "k int, atom string")
     found = part.groupBy("clause").agg(F.count(F.lit(1)).alias("df"))

@@ -188,3 +188,7 @@ def test_full_text_of_repeated_and_odd_documents(spark, made, name):
     """Documents that come twice, empty ones, ones of marks alone."""
     folder = made(documents="select * from documents where doc_id % 3 > 0 or doc_id > 60 union all select * from documents where doc_id % 40 = 1 and doc_id not in (select vec_id from embeddings) union all select * replace (doc_id + 100000 as doc_id, case doc_id % 3 when 0 then '' when 1 then '... --- !' else 'the the the theory, over the ver' end as text) from documents where doc_id < 30")
     agree(spark, folder, name)
+
+
+def test_path_probe_reads_texts_once(spark, sf):
+    assert count(engine.QUERIES["r7_path_probe"](spark, sf), "GenerateExec") == 0
