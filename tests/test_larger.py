@@ -192,3 +192,9 @@ def test_full_text_of_repeated_and_odd_documents(spark, made, name):
 
 def test_path_probe_reads_texts_once(spark, sf):
     assert count(engine.QUERIES["r7_path_probe"](spark, sf), "GenerateExec") == 0
+
+
+@pytest.mark.parametrize("name", ["n9_suspects", "y18_port_suspects", "n8_resolved_frames"])
+def test_traces_are_parsed_once(spark, sf, name):
+    df = engine.QUERIES[name](spark, sf)
+    assert count(df, "MapInArrowExec") == 0
